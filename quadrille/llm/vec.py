@@ -85,11 +85,11 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about `size` characters: index of the first, and the texts (null as empty)."""
+    """Runs of texts of about `size` characters, at most 2**16: index of the first, and the texts (null as empty)."""
     at, run, chars = 0, [], 0
     for i, t in enumerate(texts):
         t = t or ""
-        if run and chars + len(t) > size:
+        if run and (chars + len(t) > size or len(run) == 1 << 16):
             yield at, run
             at, run, chars = i, [], 0
         run.append(t)
