@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
+from quadrille.plans import (
+    crawl_queries,
+    entity_queries,
+    graph_queries,
+    profile_queries,
+    reason_queries,
+    relational_queries,
+    search_queries,
+)
+
+_MODULES = (relational_queries, graph_queries, profile_queries, entity_queries, reason_queries, search_queries, crawl_queries)
 QUERIES: dict = {}
 SQL: dict = {}
+for _m in _MODULES:
+    QUERIES.update(_m.BOOK.queries)
+    SQL.update(_m.BOOK.sql)
