@@ -1,17 +1,17 @@
 """N-gram Jaccard self-join by adaptive multi-match prefixes.
 
 A text's set is its word n-grams (words are runs of letters and numbers, in lower case), each kept as a
-48-bit hash. All sets share one token order: rare before frequent, by a fixed-size count sketch over the
-whole corpus, then by hash. With |x| tokens and threshold t, two sets of Jaccard t or more share at least
+48-bit hash. All sets share one token order: rare before frequent, then by hash. Frequencies are summed over
+the whole corpus from windows of WINDOW_TOKENS tokens, each of which reports what it repeats; the HEAVY
+most frequent tokens carry their counts, others count as rare (this guides the order only, any order is right). With |x| tokens and threshold t, two sets of Jaccard t or more share at least
 l tokens among their first |x| - ceil(t |x|) + l: the l-prefix. Each document picks its own l: a longer
 prefix costs more postings, but candidates must then share l tokens, so fewer are verified. The cost of
-l is estimated from the sketch: S postings met, and at most S / l candidates of that many matches, each
-`VERIFY` times a posting. A pair needs min(l_a, l_b) shared prefix tokens, then both sizes must allow
-the threshold, then the sets are intersected.
+l is estimated from those counts: S postings met, and at most S / l candidates of that many matches, each
+`VERIFY` times a posting. A pair needs min(l_a, l_b) shared prefix tokens, then the sets are intersected.
 
-Exchanges: packed blocks of prefix entries by token bucket; posting lists by their smallest member, so
-that the lists of a group of near copies meet and their pairs are counted once; sets of candidates only,
-one copy for each block of pairs. Documents with equal sets act as one throughout: `pairs` reports each
+Exchanges: packed blocks of prefix entries by token bucket; posting lists by a leading member, so that
+the lists of a group of near copies meet and their pairs are counted in one place; sets of candidates
+only, one copy for each block of pairs (pairs with one leader). Documents with equal sets act as one throughout: `pairs` reports each
 of them against the smallest doc_id of its set with similarity 1, and that one against other sets. No
 list, partner or candidate is capped.
 
@@ -38,11 +38,12 @@ from quadrille.operators.graph import components
 
 U64 = np.uint64
 N, THRESHOLD = 3, 0.5
-SKETCH_BITS, SLICES = 18, 64
+WINDOW_TOKENS, HEAVY = 4_000_000, 2_000_000
 LONGEST, VERIFY = 8, 40.0
 BUCKET_ENTRIES = 4_000_000
 BROADCAST_KEYS = 2_000_000
-TOKEN = U64((1 << 48) - 1)
+BLOCK_PAIRS = 600_000
+TOKEN, SHORT = U64((1 << 48) - 1), U64((1 << 40) - 1)
 
 
 def token_sets(texts: list[str | None], n: int = N) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,61 +92,88 @@ def set_keys(offset: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(np.diff(offset) > 0, np.where(key == 0, U64(8), key), U64(0))
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U64(48 - SKETCH_BITS)).astype(np.int64)
-
-
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, key, size), and (slice, counts) of the sketch of one task's documents."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    """Rows of two kinds: (doc_id, key, size), and (token, count) of tokens that a window of documents repeats."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("token", T.LongType()), T.StructField("count", T.IntegerType())])
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        token = np.concatenate(held)
+        token.sort()
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(edge, len(token)))
+        token, count = token[edge[count > 1]], count[count > 1]
+        none = pa.nulls(len(token))
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, total = [], 0
         for b in batches:
             ids = b.column("doc_id")
             for at, offset, tokens in token_sets(b.column("text").to_pylist(), n):
                 size = np.diff(offset)
                 real = ids.slice(at, len(size)).is_valid().to_numpy(zero_copy_only=False) & (size > 0)
-                counts += np.bincount(_slot(tokens), minlength=len(counts))
                 key = set_keys(offset, tokens).view(np.int64)
                 none = pa.nulls(int(real.sum()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(size)).cast(pa.int64()).filter(pa.array(real)), pa.array(key[real]), pa.array(size[real].astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())], names=schema.names)
-        none = pa.nulls(SLICES)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SLICES)], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(size)).cast(pa.int64()).filter(pa.array(real)), pa.array(key[real]), pa.array(size[real].astype(np.int32)), none.cast(pa.int64()), none.cast(pa.int32())], names=schema.names)
+                held.append(tokens)
+                total += len(tokens)
+                if total > WINDOW_TOKENS:
+                    yield repeated(held)
+                    held, total = [], 0
+        if total:
+            yield repeated(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _sketch(survey: DataFrame) -> np.ndarray:
-    """The summed counts: SLICES rows of fixed size reach the driver, however large the corpus."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+class Frequent:
+    """Counts of the most frequent tokens, at most HEAVY of them; all others count as rare."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.counts = tokens[order], counts[order].astype(np.float64)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.tokens >> U64(26)).astype(np.int64)] = True
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.ones(len(tokens))
+        if len(self.tokens):
+            some = np.flatnonzero(self.maybe[(tokens >> U64(26)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
+            hit = self.tokens[at] == tokens[some]
+            out[some[hit]] = self.counts[at[hit]]
+        return out
+
+
+def _frequent(survey: DataFrame) -> Frequent:
+    """Sums the windows' counts; the driver gets at most HEAVY tokens (16 bytes each), the most frequent ones."""
+    sums = written(survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where("count >= 4"), "near-counts")
+    level = F.floor(F.log2("count") * 4).cast("int")
+    least, total = 8, 0
+    for r in sorted(sums.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > HEAVY:
+            break
+        least = r["level"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.int64)
-                sums[i] = sums[i] + x if i in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b.column(1).to_numpy().tobytes()], pa.binary())], names=["tokens", "counts"])
 
-    rows = survey.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    width = (1 << SKETCH_BITS) // SLICES
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows:
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return out
+    rows = sums.where(level >= least).mapInArrow(pack, "tokens binary, counts binary").collect()
+    return Frequent(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r[0], U64) for r in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[1], np.int64) for r in rows)]))
 
 
-def prefixes(offset: np.ndarray, tokens: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(offset: np.ndarray, tokens: np.ndarray, frequent: Frequent, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each set's l, the index of the set of each prefix token, and those tokens."""
     size = np.diff(offset)
-    freq = counts[_slot(tokens)]
-    noise = int(np.median(counts))
-    rank = np.clip(np.log2(np.maximum(freq - noise, 1)) * 4, 0, 255).astype(U64)
+    freq = frequent.of(tokens)
+    rank = np.clip(np.log2(freq) * 4, 0, 255).astype(U64)
     doc = np.repeat(np.arange(len(size)), size)
-    order = np.argsort((doc.astype(U64) << U64(48)) | (rank << U64(40)) | (tokens & U64((1 << 40) - 1)))
+    order = np.argsort((doc.astype(U64) << U64(48)) | (rank << U64(40)) | (tokens & SHORT))
     shortest = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     met = np.zeros(len(tokens) + 1)
-    np.cumsum(np.maximum(freq[order] - noise, 1), out=met[1:])
+    np.cumsum(freq[order], out=met[1:])
     lengths = np.minimum(shortest[:, None] + np.arange(LONGEST), size[:, None])
     postings = met[offset[:-1, None] + lengths] - met[offset[:-1], None]
     asked = np.arange(1, LONGEST + 1)
@@ -171,33 +199,44 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, counts, buckets: int, n: int, threshold: float) -> DataFrame:
-    """Packed prefix entries: (bucket, tokens, keys)."""
+    """Packed prefix entries (bucket, tokens, keys, repeats): each set's key once, before its run of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = counts.value
+        frequent = counts.value
         for b in batches:
             real_ids = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for at, offset, tokens in token_sets(b.column("text").to_pylist(), n):
-                ell, doc, token = prefixes(offset, tokens, sketch, threshold)
+                ell, doc, token = prefixes(offset, tokens, frequent, threshold)
                 key = set_keys(offset, tokens) | (ell - 1).astype(U64)
                 real = real_ids[at + doc]
-                doc, token = doc[real], token[real]
+                doc, token = doc[real], token[real] & SHORT
                 bucket = (vec.mix(token) % U64(buckets)).astype(np.int64)
-                order = np.lexsort((token, bucket))
-                bucket, token, key = bucket[order], token[order], key[doc[order]]
+                order = np.argsort(bucket, kind="stable")  # a set's entries stay together
+                bucket, token, doc = bucket[order], token[order], doc[order]
+                edge = np.ones(len(bucket), bool)
+                edge[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
+                run_at = np.flatnonzero(edge)
+                run_size = np.diff(np.append(run_at, len(bucket)))
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cut[1:], len(bucket))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([_planes(token[a:z], 6) for a, z in zip(cut, ends, strict=True)], pa.binary()), pa.array([_planes(key[a:z], 8) for a, z in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "tokens", "keys"])
+                ra, rz = np.searchsorted(run_at, cut), np.searchsorted(run_at, ends)
+                keys = key[doc[run_at]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[cut].astype(np.int32)),
+                    pa.array([_planes(token[x:y], 5) for x, y in zip(cut, ends, strict=True)], pa.binary()),
+                    pa.array([_planes(keys[x:y], 8) for x, y in zip(ra, rz, strict=True)], pa.binary()),
+                    pa.array([_planes(run_size[x:y], 4) for x, y in zip(ra, rz, strict=True)], pa.binary()),
+                ], names=["bucket", "tokens", "keys", "repeats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, keys binary, repeats binary")
 
 
 def _postings(entries: DataFrame, buckets: int) -> DataFrame:
-    """Lists of two or more sets that share a prefix token: (leader, members as packed keys)."""
+    """Lists of two or more sets that share a prefix token: (leader, members as keys)."""
 
-    def lists(tokens: list[bytes], keys: list[bytes]) -> pa.RecordBatch:
-        token = np.concatenate([_unplanes(x, 6) for x in tokens])
-        key = np.concatenate([_unplanes(x, 8) for x in keys])
+    def lists(tokens: list[bytes], keys: list[bytes], repeats: list[bytes]) -> pa.RecordBatch:
+        token = np.concatenate([_unplanes(x, 5) for x in tokens])
+        key = np.concatenate([np.repeat(_unplanes(k, 8), _unplanes(r, 4).astype(np.int64)) for k, r in zip(keys, repeats, strict=True)])
         order = np.lexsort((key, token))
         token, key = token[order], key[order]
         fresh = np.ones(len(token), bool)
@@ -211,19 +250,26 @@ def _postings(entries: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.LargeListArray.from_arrays(pa.array(offset, pa.int64()), pa.array(key[at].view(np.int64))).cast(pa.list_(pa.int64()))], names=["leader", "members"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, tokens, keys = None, [], []
+        current, held = None, ([], [], [])
         for b in batches:
-            for bucket, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for bucket, *packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != current:
-                    if tokens:
-                        yield lists(tokens, keys)
-                    current, tokens, keys = bucket, [], []
-                tokens.append(t)
-                keys.append(k)
-        if tokens:
-            yield lists(tokens, keys)
-
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "leader long, members array<long>")
+                    if held[0]:
+                        yield lists(*held)
+                    current, held = bucket, ([], [], [])
+                for x, y in zip(held, packed, strict=True):
+                    x.append(y)
+        if held[0]:
+            yield lists(*held)
+
+    raw = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "leader long, members array<long>")
+    lists_ = written(raw, "near-lists")
+    # lists of one group of near copies should meet: a leader hands over to the smallest leader it shares a list with
+    seen = lists_.select("leader", F.explode("members").alias("key")).groupBy("key").agg(F.min("leader").alias("home"))
+    home = written(lists_.select(F.col("leader").alias("key")).distinct().join(seen, "key").where("home <> key"), "near-homes")
+    if home.count() <= BROADCAST_KEYS:
+        home = F.broadcast(home)
+    return lists_.join(home, lists_["leader"] == home["key"], "left").select(F.coalesce("home", "leader").alias("leader"), "members")
 
 
 def _pair_places(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,9 +283,9 @@ def _pair_places(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _counted(postings: DataFrame) -> DataFrame:
-    """(a, b): pairs of set keys that share min(l_a, l_b) prefix tokens."""
+    """(a, b, block): pairs of set keys that share min(l_a, l_b) prefix tokens, and a leader of theirs."""
 
-    def emit(known: np.ndarray, codes: list[np.ndarray]) -> pa.RecordBatch:
+    def emit(leader: int, known: np.ndarray, codes: list[np.ndarray]) -> pa.RecordBatch:
         code = np.concatenate(codes)
         if len(known) ** 2 <= 4 * len(code) + 1000:
             count = np.bincount(code, minlength=len(known) ** 2)
@@ -247,69 +293,92 @@ def _counted(postings: DataFrame) -> DataFrame:
             count = count[code]
         else:
             code, count = np.unique(code, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(known[code // len(known)]), pa.array(known[code % len(known)]), pa.array(count.astype(np.int64))], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(known[code // len(known)]), pa.array(known[code % len(known)]), pa.array(count.astype(np.int64)), pa.array(np.full(len(code), leader))], names=["a", "b", "n", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column("members")
-            offset = members.offsets.to_numpy()
-            size = np.diff(offset)
-            offset = offset - offset[0]
-            known, flat = np.unique(members.flatten().to_numpy(), return_inverse=True)
-            flat, wide = flat.astype(np.int64), len(known)
-            held, total = [], 0
-            for m in np.unique(size).tolist():  # lists of one length at a time, as a matrix
-                at = offset[:-1][size == m]
-                for i, j in _pair_places(m):
-                    step = max(1, 1_000_000 // len(i))
-                    for s in range(0, len(at), step):
-                        rows = at[s : s + step, None]
-                        held.append((flat[rows + i] * wide + flat[rows + j]).ravel())
-                        total += held[-1].size
-                        if total > 4_000_000:
-                            yield emit(known, held)
-                            held, total = [], 0
-            if held:
-                yield emit(known, held)
-
-    near = postings.repartition("leader").sortWithinPartitions("leader").mapInArrow(run, "a long, b long, n long")
-    shared = near.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+            leaders = batch.column("leader").to_numpy()
+            ends = members.offsets.to_numpy()
+            flat_all = members.values.to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], leaders[1:] != leaders[:-1]]))
+            small = []
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(leaders)], strict=True):
+                size = np.diff(ends[lo : hi + 1])
+                if hi - lo == 1 and size[0] == 2:  # most leaders: one list of two
+                    small.append(lo)
+                    continue
+                known, flat = np.unique(flat_all[ends[lo] : ends[hi]], return_inverse=True)
+                flat, wide, offset = flat.astype(np.int64), len(known), ends[lo:hi] - ends[lo]
+                held, total = [], 0
+                for m in np.unique(size).tolist():  # lists of one length at a time, as a matrix
+                    at = offset[size == m]
+                    for i, j in _pair_places(m):
+                        step = max(1, 1_000_000 // len(i))
+                        for s in range(0, len(at), step):
+                            rows = at[s : s + step, None]
+                            held.append((flat[rows + i] * wide + flat[rows + j]).ravel())
+                            total += held[-1].size
+                            if total > 4_000_000:
+                                yield emit(leaders[lo], known, held)
+                                held, total = [], 0
+                if held:
+                    yield emit(leaders[lo], known, held)
+            if small:
+                at = ends[np.array(small)]
+                yield pa.RecordBatch.from_arrays([pa.array(flat_all[at]), pa.array(flat_all[at + 1]), pa.array(np.ones(len(at), np.int64)), pa.array(leaders[small])], names=["a", "b", "n", "block"])
+
+    near = postings.repartition("leader").sortWithinPartitions("leader").mapInArrow(run, "a long, b long, n long, block long")
+    shared = near.groupBy("a", "b").agg(F.sum("n").alias("shared"), F.min("block").alias("block"))
     asked = F.least(F.col("a").bitwiseAND(7), F.col("b").bitwiseAND(7)) + 1
-    return shared.where(F.col("shared") >= asked).select(F.col("a").bitwiseAND(-8).alias("a"), F.col("b").bitwiseAND(-8).alias("b"))
+    return shared.where(F.col("shared") >= asked).select(F.col("a").bitwiseAND(-8).alias("a"), F.col("b").bitwiseAND(-8).alias("b"), "block")
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of candidate pairs (a, b) of set keys whose sets reach the threshold."""
+def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of candidate pairs (a, b, block) of set keys whose sets reach the threshold."""
     spark = docs.sparkSession
-    # a block of pairs: those whose first key has the same smallest neighbour; large blocks are cut in a grid
-    ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).union(candidates.select("b", "a"))
-    home = ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("block"))
-    homed = candidates.join(home.withColumnRenamed("x", "a"), "a")
-    blocks = homed.groupBy("block").agg(F.count("*").alias("pairs"))
-    cut = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("pairs") / 4_000_000.0)))
-    placed = written(homed.join(blocks, "block").select("block", F.pmod(F.xxhash64("a"), cut).cast("int").alias("i"), F.pmod(F.xxhash64("b"), cut).cast("int").alias("j"), "a", "b"), "near-pairs")
+    # a block is judged in one task; a large one is cut in a grid of tasks
+    large = written(candidates.groupBy("block").agg(F.count("*").alias("pairs")).where(f"pairs > {BLOCK_PAIRS}"), "near-large")
+    cut = F.ceil(F.sqrt(F.coalesce("pairs", F.lit(1)) / float(BLOCK_PAIRS)))
+    cell = candidates.join(large, "block", "left").select("block", F.pmod(F.xxhash64("a"), cut).cast("int").alias("i"), F.pmod(F.xxhash64("b"), cut).cast("int").alias("j"), "a", "b")
+    placed = written(cell.repartition("block", "i", "j"), "near-pairs")
     needed = placed.select("block", "i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = written(needed.select("key").distinct(), "near-keys")
-    many = wanted.count() > BROADCAST_KEYS
-    keys = None if many else spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
+    wanted = written(needed.join(speakers.select("key", "speaker"), "key"), "near-wanted")
+    known = None
+    if wanted.count() <= BROADCAST_KEYS:
+        rows = np.array([tuple(r) for r in wanted.select("key", "speaker", "block", "i", "j").toLocalIterator()], np.int64).reshape(-1, 5)
+        known = spark.sparkContext.broadcast(rows[np.argsort(rows[:, 0], kind="stable")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, offset, tokens in token_sets(b.column("text").to_pylist(), n):
+            ids = b.column("doc_id").fill_null(0).to_numpy()
+            real = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for at, offset, tokens in token_sets(b.column("text").to_pylist(), n):
                 key = set_keys(offset, tokens).view(np.int64)
-                if keys is None:
-                    pick = np.flatnonzero(key != 0)
+                able = real[at : at + len(key)] & (key != 0)
+                if known is None:
+                    text = np.flatnonzero(able)
+                    doc = ids[at + text]
+                    place = [np.zeros(len(text), np.int64)] * 3
                 else:
-                    known = keys.value
-                    where = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                    pick = np.flatnonzero(known[where] == key) if len(known) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array([_planes(tokens[offset[i] : offset[i + 1]], 6) for i in pick.tolist()], pa.binary())], names=["key", "tokens"])
-
-    sets = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, tokens binary").join(needed, "key").dropDuplicates(["block", "i", "j", "key"])
-    rows = sets.select("block", "i", "j", "key", F.lit(None).cast("long").alias("b"), "tokens").union(placed.select("block", "i", "j", F.col("a"), "b", F.lit(None).cast("binary")))
-
-    def judge(names: list[int], sets: list[bytes], a: list[int], b: list[int]):
+                    table = known.value
+                    lo, hi = np.searchsorted(table[:, 0], key, "left"), np.searchsorted(table[:, 0], key, "right")
+                    times = np.where(able, hi - lo, 0)
+                    text = np.repeat(np.arange(len(key)), times)
+                    row = np.repeat(lo, times) + np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
+                    speaks = table[row, 1] == ids[at + text]
+                    text, row = text[speaks], row[speaks]
+                    doc, place = table[row, 1], [table[row, k] for k in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[text]), pa.array(doc), pa.array(place[0]), *(pa.array(x.astype(np.int32)) for x in place[1:]), pa.array([_planes(tokens[offset[i] : offset[i + 1]], 6) for i in text.tolist()], pa.binary())], names=["key", "speaker", "block", "i", "j", "tokens"])
+
+    sets = docs.mapInArrow(run, "key long, speaker long, block long, i int, j int, tokens binary")
+    if known is None:
+        sets = sets.drop("block", "i", "j").join(wanted, ["key", "speaker"])
+    rows = sets.select("block", "i", "j", "key", "speaker", F.lit(None).cast("long").alias("b"), "tokens").union(placed.select("block", "i", "j", F.col("a"), F.lit(None).cast("long"), "b", F.lit(None).cast("binary")))
+
+    def judge(names: dict[int, int], sets: list[bytes], a: list[int], b: list[int]):
         unpacked = [_unplanes(x, 6) for x in sets]
+        speaker = np.fromiter(names.values(), np.int64, len(names))
         size = np.array([len(x) for x in unpacked])
         at = {k: i for i, k in enumerate(names)}
         ia = np.fromiter((at[x] for x in a), np.int64, len(a))
@@ -317,43 +386,56 @@ def _verified(docs: DataFrame, candidates: DataFrame, n: int, threshold: float)
         if len(a) < 4:
             both = np.array([len(np.intersect1d(unpacked[i], unpacked[j], assume_unique=True)) for i, j in zip(ia, ib, strict=True)])
         else:
-            tokens, column = np.unique(np.concatenate(unpacked), return_inverse=True)
+            flat = np.concatenate(unpacked)
             row = np.repeat(np.arange(len(size)), size)
-            both = np.zeros(len(a), np.float64)
-            step = max(1, 8_000_000 // max(1, len(size)))
-            for c in range(0, len(tokens), step):  # the sets as rows of a 0/1 matrix, some columns at a time
-                inside = (column >= c) & (column < c + step)
-                grid = np.zeros((len(size), min(step, len(tokens) - c)), np.float32)
-                grid[row[inside], column[inside] - c] = 1
-                for s in range(0, len(a), 20_000):
-                    lo = slice(s, s + 20_000)
-                    if len(size) <= 3000:
-                        if s == 0:
-                            product = grid @ grid.T
-                        both[lo] += product[ia[lo], ib[lo]]
+            order = np.argsort(flat, kind="stable")
+            flat, row = flat[order], row[order]
+            edge = np.concatenate([[True], flat[1:] != flat[:-1]])
+            df = np.diff(np.append(np.flatnonzero(edge), len(flat)))
+            column = np.cumsum(df > 1) - 1  # only tokens of two sets or more can count
+            column, row = np.repeat(np.where(df > 1, column, -1), df), row[np.repeat(df > 1, df)]
+            column = column[column >= 0]
+            width = int(column.max()) + 1 if len(column) else 0
+            both = np.zeros(len(a), np.float32)
+            tile = 1024
+            where = (ia // tile) * (len(size) // tile + 1) + ib // tile
+            by_tile = np.argsort(where, kind="stable")
+            cuts = np.flatnonzero(np.diff(where[by_tile], prepend=-1))
+            tiles = [by_tile[x:y] for x, y in zip(cuts, [*cuts[1:], len(where)], strict=True)]
+            step = max(1, 16_000_000 // max(1, len(size)))
+            for c in range(0, width, step):  # the sets as rows of a 0/1 matrix, some columns at a time
+                lo, hi = np.searchsorted(column, [c, c + step])
+                grid = np.zeros((len(size), min(step, width - c)), np.float32)
+                grid[row[lo:hi], column[lo:hi] - c] = 1
+                for pick in tiles:
+                    x, y = ia[pick[0]] // tile * tile, ib[pick[0]] // tile * tile
+                    if len(pick) < 64:
+                        both[pick] += np.einsum("ij,ij->i", grid[ia[pick]], grid[ib[pick]])
                     else:
-                        for q in range(s, min(s + 20_000, len(a)), 200):
-                            both[q : q + 200] += np.einsum("ij,ij->i", grid[ia[q : q + 200]], grid[ib[q : q + 200]])
+                        both[pick] += (grid[x : x + tile] @ grid[y : y + tile].T)[ia[pick] - x, ib[pick] - y]
+        both = both.astype(np.float64)
         jaccard = both / (size[ia] + size[ib] - both)
         good = jaccard >= threshold - 1e-12
-        return [np.array(a, np.int64)[good], np.array(b, np.int64)[good], jaccard[good]]
+        x, y = speaker[ia[good]], speaker[ib[good]]
+        return [np.minimum(x, y), np.maximum(x, y), jaccard[good]]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names, sets_, a, b, out = None, [], [], [], [], []
+        block, names, sets_, a, b, out = None, {}, [], [], [], []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], names=["a", "b", "jaccard"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], names=["doc_a", "doc_b", "jaccard"])
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for bl, i, j, key, other, tokens in zip(*cols, strict=True):
+            for bl, i, j, key, speaker, other, tokens in zip(*cols, strict=True):
                 if (bl, i, j) != block:
                     if a:
                         out.append(judge(names, sets_, a, b))
-                    block, names, sets_, a, b = (bl, i, j), [], [], [], []
+                    block, names, sets_, a, b = (bl, i, j), {}, [], [], []
                 if other is None:
-                    names.append(key)
-                    sets_.append(tokens)
+                    if key not in names:  # a repeated row
+                        names[key] = speaker
+                        sets_.append(tokens)
                 else:
                     a.append(key)
                     b.append(other)
@@ -364,27 +446,23 @@ def _verified(docs: DataFrame, candidates: DataFrame, n: int, threshold: float)
             out.append(judge(names, sets_, a, b))
             yield flush()
 
-    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long, jaccard double")
+    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", F.col("b").asc_nulls_first()).mapInArrow(check, "doc_a long, doc_b long, jaccard double")
 
 
 def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_a, doc_b, jaccard) of documents whose n-gram sets reach the threshold."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = written(_survey(docs, n), "near-survey")
-    counts = docs.sparkSession.sparkContext.broadcast(_sketch(survey))
+    counts = docs.sparkSession.sparkContext.broadcast(_frequent(survey))
     # equal sets count as one, whose smallest doc_id speaks for it
     members = survey.where("key IS NOT NULL").select("doc_id", "key", "size")
     total = members.agg(F.sum(F.floor(F.col("size") * (1 - threshold)) + 1)).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ENTRIES))
-    speakers = members.groupBy("key").agg(F.min("doc_id").alias("speaker"), F.min("size").alias("size"), F.count("*").alias("n"))
-
-    counted = _counted(_postings(_entries(docs, counts, buckets, n, threshold), buckets))
-    speak = speakers.select("key", "speaker", "size")
-    sized = counted.join(speak.toDF("a", "doc_a", "size_a"), "a").join(speak.toDF("b", "doc_b", "size_b"), "b")
-    possible = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
-    candidates = written(sized.where(possible).select("a", "b"), "near-candidates")
-    found = _verified(docs, candidates, n, threshold)
-    across = found.join(speak.toDF("a", "doc_a", "size_a"), "a").join(speak.toDF("b", "doc_b", "size_b"), "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    speakers = members.groupBy("key").agg(F.min("doc_id").alias("speaker"), F.count("*").alias("n"))
+
+    postings = _postings(_entries(docs, counts, buckets, n, threshold), buckets)
+    candidates = written(_counted(postings), "near-candidates")
+    across = _verified(docs, candidates, speakers, n, threshold)
     within = members.join(speakers.where("n > 1").select("key", "speaker"), "key").where("doc_id > speaker").select(F.col("speaker").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return across.where("doc_a < doc_b").union(within).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
