@@ -6,13 +6,14 @@ from quadrille.plans import (
     crawl_queries,
     entity_queries,
     graph_queries,
+    pipeline_queries,
     profile_queries,
     reason_queries,
     relational_queries,
     search_queries,
 )
 
-_MODULES = (relational_queries, graph_queries, profile_queries, entity_queries, reason_queries, search_queries, crawl_queries)
+_MODULES = (relational_queries, graph_queries, profile_queries, entity_queries, reason_queries, search_queries, crawl_queries, pipeline_queries)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in _MODULES:
