@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, metadata=METADATA, vocabulary: str = bpe.V
     """Encodes docs' texts and writes (metadata, n_tokens, token_ids) to path."""
     if clash := {"token_ids", "n_tokens"} & set(metadata):
         raise ValueError(f"metadata may not be named {sorted(clash)}")
-    coded = bpe.encode(docs.select(*metadata, "text"), vocabulary=vocabulary).select(*metadata, "n_tokens", "token_ids")
+    coded = bpe.encode(docs.select(*metadata, "text"), vocabulary=vocabulary, compiled=True).select(*metadata, "n_tokens", "token_ids")
     coded.sortWithinPartitions("doc_id").write.options(**options(row_group, page)).parquet(path)
 
 
