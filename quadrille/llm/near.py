@@ -11,9 +11,10 @@ l is estimated from those counts: S postings met, and at most S / l candidates o
 
 Exchanges: packed blocks of prefix entries by token bucket; posting lists by a leading member, so that
 the lists of a group of near copies meet and their pairs are counted in one place; sets of candidates
-only, one copy for each block of pairs (pairs with one leader). Documents with equal sets act as one throughout: `pairs` reports each
-of them against the smallest doc_id of its set with similarity 1, and that one against other sets. No
-list, partner or candidate is capped.
+only, one copy for each block of pairs (pairs with one leader), and the ids of their copies. Documents with equal sets act as one
+until a pair of sets is found; `all_pairs` then lists every document of one set with every one of the other, and all pairs within
+a set. `pairs` is the short form, enough for groups: each document of a set against its smallest doc_id with
+similarity 1, and that one against other sets. No list, partner or candidate is capped.
 
 Results: (doc_a, doc_b, jaccard), doc_a < doc_b, each pair once. Null texts, texts without words and rows
 with a null doc_id have no pairs. A text of fewer than n words is one shorter gram. Rows that repeat a
@@ -43,6 +44,7 @@ LONGEST, VERIFY = 8, 40.0
 BUCKET_ENTRIES = 4_000_000
 BROADCAST_KEYS = 2_000_000
 BLOCK_PAIRS = 600_000
+BATCH_ROWS = 1_000_000
 TOKEN, SHORT = U64((1 << 48) - 1), U64((1 << 40) - 1)
 
 
@@ -334,8 +336,24 @@ def _counted(postings: DataFrame) -> DataFrame:
     return shared.where(F.col("shared") >= asked).select(F.col("a").bitwiseAND(-8).alias("a"), F.col("b").bitwiseAND(-8).alias("b"), "block")
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of candidate pairs (a, b, block) of set keys whose sets reach the threshold."""
+def _products(members: list[np.ndarray], a: np.ndarray, b: np.ndarray, jaccard: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Every member of set a[i] with every one of set b[i], for all i, some rows at a time."""
+    size = np.array([len(m) for m in members])
+    start, flat = np.cumsum(size) - size, np.concatenate(members)
+    ends = np.cumsum(size[a] * size[b])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, BATCH_ROWS):
+        row = np.arange(lo, min(lo + BATCH_ROWS, int(ends[-1])))
+        pair = np.searchsorted(ends, row, "right")
+        i, j = a[pair], b[pair]
+        row -= ends[pair] - size[i] * size[j]
+        x, y = flat[start[i] + row // size[j]], flat[start[j] + row % size[j]]
+        yield [np.minimum(x, y), np.maximum(x, y), jaccard[pair]]
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: int, threshold: float, members: DataFrame | None = None) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of candidate pairs (a, b, block) of set keys whose sets reach the threshold.
+
+    Of each set the speaker is paired, with `members` (doc_id, key) all of its documents."""
     spark = docs.sparkSession
     # a block is judged in one task; a large one is cut in a grid of tasks
     large = written(candidates.groupBy("block").agg(F.count("*").alias("pairs")).where(f"pairs > {BLOCK_PAIRS}"), "near-large")
@@ -375,8 +393,11 @@ def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: in
     if known is None:
         sets = sets.drop("block", "i", "j").join(wanted, ["key", "speaker"])
     rows = sets.select("block", "i", "j", "key", "speaker", F.lit(None).cast("long").alias("b"), "tokens").union(placed.select("block", "i", "j", F.col("a"), F.lit(None).cast("long"), "b", F.lit(None).cast("binary")))
+    if members is not None:  # the ids of all others of a wanted set, without tokens
+        copies = members.join(wanted, "key").where("doc_id <> speaker")
+        rows = rows.union(copies.select("block", "i", "j", "key", "doc_id", F.lit(None).cast("long"), F.lit(None).cast("binary")))
 
-    def judge(names: dict[int, int], sets: list[bytes], a: list[int], b: list[int]):
+    def judge(names: dict[int, int], sets: list[bytes], copies: dict[int, list[int]], a: list[int], b: list[int]) -> Iterator[list[np.ndarray]]:
         unpacked = [_unplanes(x, 6) for x in sets]
         speaker = np.fromiter(names.values(), np.int64, len(names))
         size = np.array([len(x) for x in unpacked])
@@ -416,11 +437,14 @@ def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: in
         both = both.astype(np.float64)
         jaccard = both / (size[ia] + size[ib] - both)
         good = jaccard >= threshold - 1e-12
+        if copies:
+            yield from _products([np.array([x, *copies.get(k, ())], np.int64) for k, x in names.items()], ia[good], ib[good], jaccard[good])
+            return
         x, y = speaker[ia[good]], speaker[ib[good]]
-        return [np.minimum(x, y), np.maximum(x, y), jaccard[good]]
+        yield [np.minimum(x, y), np.maximum(x, y), jaccard[good]]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names, sets_, a, b, out = None, {}, [], [], [], []
+        block, names, sets_, copies, a, b, out, held = None, {}, [], {}, [], [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], names=["doc_a", "doc_b", "jaccard"])
@@ -429,28 +453,32 @@ def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: in
             cols = [c.to_pylist() for c in batch.columns]
             for bl, i, j, key, speaker, other, tokens in zip(*cols, strict=True):
                 if (bl, i, j) != block:
-                    if a:
-                        out.append(judge(names, sets_, a, b))
-                    block, names, sets_, a, b = (bl, i, j), {}, [], [], []
-                if other is None:
-                    if key not in names:  # a repeated row
-                        names[key] = speaker
-                        sets_.append(tokens)
-                else:
+                    for found in judge(names, sets_, copies, a, b) if a else ():
+                        out.append(found)
+                        held += len(found[0])
+                        if held >= BATCH_ROWS:
+                            yield flush()
+                            out, held = [], 0
+                    block, names, sets_, copies, a, b = (bl, i, j), {}, [], {}, [], []
+                if other is not None:
                     a.append(key)
                     b.append(other)
+                elif tokens is None:
+                    copies.setdefault(key, []).append(speaker)
+                elif key not in names:  # else a repeated row
+                    names[key] = speaker
+                    sets_.append(tokens)
             if out:
                 yield flush()
-                out = []
-        if a:
-            out.append(judge(names, sets_, a, b))
+                out, held = [], 0
+        for found in judge(names, sets_, copies, a, b) if a else ():
+            out = [found]
             yield flush()
 
     return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", F.col("b").asc_nulls_first()).mapInArrow(check, "doc_a long, doc_b long, jaccard double")
 
 
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a, doc_b, jaccard) of documents whose n-gram sets reach the threshold."""
+def _pairs(docs: DataFrame, n: int, threshold: float, every: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = written(_survey(docs, n), "near-survey")
     counts = docs.sparkSession.sparkContext.broadcast(_frequent(survey))
@@ -462,9 +490,27 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
 
     postings = _postings(_entries(docs, counts, buckets, n, threshold), buckets)
     candidates = written(_counted(postings), "near-candidates")
-    across = _verified(docs, candidates, speakers, n, threshold)
-    within = members.join(speakers.where("n > 1").select("key", "speaker"), "key").where("doc_id > speaker").select(F.col("speaker").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return across.where("doc_a < doc_b").union(within).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    ids = members.select("doc_id", "key").distinct() if every else None
+    across = _verified(docs, candidates, speakers, n, threshold, ids).where("doc_a < doc_b")
+    copied = speakers.where("n > 1").select("key", "speaker")
+    if not every:
+        within = members.join(copied, "key").where("doc_id > speaker").select(F.col("speaker").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    else:
+        equal = written(ids.join(copied.select("key"), "key"), "near-equal")
+        within = equal.withColumnRenamed("doc_id", "doc_a").join(equal.withColumnRenamed("doc_id", "doc_b"), "key").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+        if not ids.groupBy("doc_id").count().where("count > 1").head(1):  # an id has one set only: no pair comes twice
+            return across.union(within)
+    return across.union(within).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs (doc_a, doc_b, jaccard) of documents whose n-gram sets reach the threshold."""
+    return _pairs(docs, n, threshold, every=True)
+
+
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """all_pairs, with documents of equal sets only paired with their smallest doc_id, which alone is paired with other sets."""
+    return _pairs(docs, n, threshold, every=False)
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -129,6 +129,37 @@ def test_pairs_match_brute_force(spark, awkward):
     assert near.pairs(docs(spark, [])).count() == 0
 
 
+def test_every_pair_is_listed_among_copies(spark, tmp_path, awkward):
+    from quadrille.llm import queries
+
+    base = "a b c d e f g h i j k l m n o p"
+    rows = [*awkward, *((20 + k, base) for k in range(4)), *((30 + k, base.replace("p", "q")) for k in range(3)), (40, base.replace("o p", "r q")), (20, "z"), (31, "Z")]
+    docs(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+
+    def grams(x):
+        w = re.findall(r"[^\W_]+", (x or "").lower())
+        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
+
+    want = {}
+    for (i, x), (j, y) in itertools.combinations([r for r in rows if r[0] is not None and grams(r[1])], 2):
+        a, b = grams(x), grams(y)
+        if i != j and len(a & b) / len(a | b) >= near.THRESHOLD:
+            want[min(i, j), max(i, j)] = max(len(a & b) / len(a | b), want.get((min(i, j), max(i, j)), 0))
+    got = [((r.doc_a, r.doc_b), r.jaccard) for r in queries.op9_ngram_jaccard(spark, f"file://{tmp_path}").collect()]
+    assert len(got) == len(dict(got)) and dict(got) == pytest.approx(want)
+    once = [r for r in rows if r[1] not in ("z", "Z")]
+    got = {(r.doc_a, r.doc_b) for r in near.all_pairs(docs(spark, once)).collect()}
+    assert {(a, b) for a, b in itertools.combinations([20, 21, 22, 23, 30, 31, 32, 40], 2)} <= got
+
+
+def test_products_are_whole_over_batches(monkeypatch):
+    members = [np.array(m) for m in ([1, 9, 5], [2], [7, 3, 8, 4])]
+    monkeypatch.setattr(near, "BATCH_ROWS", 4)
+    a, b, jaccard = np.array([0, 1, 0]), np.array([2, 2, 1]), np.array([0.5, 0.6, 0.7])
+    got = [r for x in near._products(members, a, b, jaccard) for r in zip(*(v.tolist() for v in x), strict=True)]
+    assert sorted(got) == sorted((min(x, y), max(x, y), s) for i, j, s in zip(a, b, jaccard, strict=True) for x in members[i] for y in members[j])
+
+
 def test_one_document_of_each_group_stays(spark, awkward):
     rows = [r for r in awkward if r[0] is not None] + [(20, "a b c d e f g h i j k l m n o p"), (21, "a b c d e f g h i j k l m n o q"), (22, "a b c d e f g h i j k l m n r q")]
     want = brute_pairs(rows, near.N, near.THRESHOLD)
