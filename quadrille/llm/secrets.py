@@ -3,9 +3,12 @@
 Each class of random string (hexadecimal, upper-case with digits, letters with digits, base 64) and each of ordinary text (identifiers, numbers) has a
 first-order Markov model over the characters of candidates, trained from labelled samples with additive
 smoothing. `labelled_samples` makes the default sample: seeded random strings of each alphabet, and
-identifiers put together from words in the usual styles, with numbers and dates. A candidate is a maximal run of at
-least MIN_LENGTH letters, digits and "_+/-", of which "_", "-" and "/" may not be first, with up to two "=" behind. Its score is the
-log-likelihood of the likeliest random class minus that of the likeliest ordinary one; it is a secret at THRESHOLD or more.
+identifiers put together from words in the usual styles, with numbers and dates. A run is a maximal string of letters, digits
+and "_+/-" with up to two "=" behind, whatever its first character. Its candidates are the whole (without "_", "-" and "/" in front), each
+of its pieces between those three, and for each random class the stretch of pieces whose log-likelihood ratio sums highest,
+all of MIN_LENGTH or more. A candidate's score is the log-likelihood of the likeliest random class minus that of the likeliest
+ordinary one; the best of a run is a secret at THRESHOLD or more, and what lies before and behind it is searched again.
+A single "_", "-" or "/" between a quote or "=" and the secret belongs to it.
 
 Results: (doc_id, start, end, length, score), offsets in characters, one row for each secret. Null or empty
 texts have none; repeated rows report their own secrets each; a null doc_id stays null; texts are scanned
@@ -26,7 +29,8 @@ from pyspark.sql import types as T
 MIN_LENGTH, THRESHOLD, SMOOTHING = 16, 12.0, 0.5
 ORDINARY = ("identifier", "number")
 CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-="
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9+][A-Za-z0-9_+/\-]{%d,}={0,2}" % (MIN_LENGTH - 1))
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{%d,}={0,2}" % MIN_LENGTH)
+PIECE = re.compile(r"[A-Za-z0-9+]+=*")
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in CHARS]] = np.arange(len(CHARS))
 _ALPHABETS = {
@@ -104,6 +108,59 @@ class Model:
         return np.max([total[r] for r in self.random], 0) - np.max([total[r] for r in self.ordinary], 0)
 
 
+    def stretches(self, run: str, pieces: list[tuple[int, int]], least: int) -> set[tuple[int, int]]:
+        """For each random class, the stretch of pieces of `least` characters or more with the highest sum of log-likelihood ratios, a piece's ordinary class being its likeliest."""
+        code = encode(run)
+        start, end = np.array(pieces).T
+        last = np.concatenate([[len(CHARS)], code[:-1]])
+        # a piece with the separators before it
+        total = {kind: np.add.reduceat(t[last, code], np.concatenate([[0], end[:-1]]))[: len(pieces)] for kind, t in self.table.items()}
+        plain = np.max([total[o] for o in self.ordinary], 0)
+        able = np.searchsorted(start, end - least, "right")  # starts that leave enough characters, for each end
+        out = set()
+        for r in self.random:
+            sums = np.concatenate([[0], np.cumsum(total[r] - plain)])
+            low = np.minimum.accumulate(sums[:-1])
+            gain = np.where(able > 0, sums[1:] - low[np.maximum(able, 1) - 1], -np.inf)
+            j = int(gain.argmax())
+            if able[j]:
+                out.add((int(sums[: able[j]].argmin()), j))
+        return out
+
+    def secrets(self, run: str, quoted: bool, threshold: float) -> list[tuple[int, int, float]]:
+        """(start, end, score) of the secrets in one run; `quoted`: a quote or "=" stands before it."""
+        pieces = [m.span() for m in PIECE.finditer(run)]
+        if not pieces:
+            return []
+        first = pieces[0][0]
+        out, todo = [], [(0, len(pieces))]
+        while todo:
+            lo, hi = todo.pop()
+            if lo >= hi:
+                continue
+            ends = [e for _, e in pieces[lo:hi]]
+            if hi == len(pieces):
+                ends[-1] = len(run)  # "-" and "_" may end a secret
+            own = [(s, e) for (s, _), e in zip(pieces[lo:hi], ends, strict=True)]
+            lead = int(quoted and lo == 0 and first == 1)
+            if own[-1][1] - own[0][0] + lead < MIN_LENGTH:
+                continue
+            spans = {(0, hi - lo - 1)}
+            if hi - lo > 1:
+                spans |= {(i, i) for i, (s, e) in enumerate(own)} | self.stretches(run[own[0][0] : own[-1][1]], [(s - own[0][0], e - own[0][0]) for s, e in own], MIN_LENGTH)
+            spans = [(i, j) for i, j in sorted(spans) if own[j][1] - own[i][0] + (lead and i == 0) >= MIN_LENGTH]
+            if not spans:
+                continue
+            score = self.scores([run[own[i][0] : own[j][1]] for i, j in spans])
+            best = int(score.argmax())
+            if score[best] < threshold:
+                continue
+            i, j = spans[best]
+            out.append((own[i][0] - (lead if i == 0 else 0), own[j][1], float(score[best])))
+            todo += [(lo, lo + i), (lo + j + 1, hi)]
+        return sorted(out)
+
+
 def encode(text: str) -> np.ndarray:
     return _CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
 
@@ -116,15 +173,21 @@ def scan(docs: DataFrame, samples: Iterable[tuple[str, str]] | None = None, thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, start, found = [], [], []
+            parts = []  # (row, start, end, score) in runs of several pieces
             for i, text in enumerate(b.column("text").to_pylist()):
                 for m in CANDIDATE.finditer(text) if text else ():
-                    row.append(i)
-                    start.append(m.start())
-                    found.append(m.group())
+                    whole = m.group()
+                    if PIECE.fullmatch(whole):
+                        row.append(i)
+                        start.append(m.start())
+                        found.append(whole)
+                    else:
+                        quoted = m.start() > 0 and text[m.start() - 1] in "\"'`="
+                        parts += [(i, m.start() + s, m.start() + e, x) for s, e, x in model.value.secrets(whole, quoted, threshold)]
             score = model.value.scores(found)
-            good = np.flatnonzero(score >= threshold)
-            size = np.array([len(found[i]) for i in good], np.int32)
-            at = np.array(start, np.int32)[good]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.array(row, np.int64)[good])), pa.array(at), pa.array(at + size), pa.array(size), pa.array(score[good])], names=schema.names)
+            parts += [(row[k], start[k], start[k] + len(found[k]), score[k]) for k in np.flatnonzero(score >= threshold).tolist()]
+            parts.sort()
+            at, end = (np.array([p[k] for p in parts], np.int32) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.array([p[0] for p in parts], np.int64))), pa.array(at), pa.array(end), pa.array(end - at), pa.array(np.array([p[3] for p in parts], np.float64))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

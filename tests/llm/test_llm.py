@@ -364,6 +364,27 @@ def test_secrets_on_held_out_samples(spark, awkward):
     assert secrets.scan(docs(spark, awkward)).count() == 0 and secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_behind_separators_and_in_paths(spark):
+    rng = random.Random(12)
+    alnum = secrets._ALPHABETS["alnum"]
+    key, other = ("".join(rng.choices(alnum, k=40)) for _ in range(2))
+    texts = [f'key="/{key}"', f'key="-{key}"', f'key="_{key}"', f" /{key}", f" --{key}", f"https://localhost/{key}", f"com/services/integration/webhooks/{key}", f"{key}/services/integration/webhooks/content/{other}"]
+    got = {}
+    for r in secrets.scan(docs(spark, list(enumerate(texts)))).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start : r.end])
+    assert got == {0: [f"/{key}"], 1: [f"-{key}"], 2: [f"_{key}"], 3: [key], 4: [key], 5: [key], 6: [key], 7: [key, other]}
+
+
+def test_secrets_of_held_out_samples_are_found_by_scan(spark):
+    held = [(s, k) for s, k in secrets.labelled_samples(n=300, seed=2) if len(s) >= secrets.MIN_LENGTH]
+    got = {r.doc_id for r in secrets.scan(docs(spark, [(i, f'x = "{s}"') for i, (s, _) in enumerate(held)])).collect()}
+    for kind in {k for _, k in held}:
+        rate = np.mean([i in got for i, (_, k) in enumerate(held) if k == kind])
+        assert rate < 0.01 if kind in secrets.ORDINARY else rate > 0.8, (kind, rate)
+    first = [i for i, (s, k) in enumerate(held) if k == "base64" and s[0] in "/-_"]
+    assert first and np.mean([i in got for i in first]) > 0.8
+
+
 # 3 URL filter ------------------------------------------------------------------------------------
 
 
