@@ -2,7 +2,7 @@
 
 Each rule bounds one measure of a text. `compile_rules` turns the table into a single struct of
 measures and a boolean for each rule; Spark evaluates it in one pass over the text, on the JVM.
-`duckdb_sql` writes the same table as SQL.
+`duckdb_sql` writes a table as SQL. The operator's table is STRICT, that of the SQL RULES, where short texts are let off.
 
 Measures: n_chars; n_words (pieces between white space); symbol_ratio (signs out of SYMBOLS, of all
 characters); upper_ratio (capital letters, of all letters); stop_ratio (words that are stop words of one of
@@ -16,7 +16,7 @@ their names: measures are nested in one struct, whose name is checked against th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +49,14 @@ RULES = (
     Rule("repeated_words", "repeat_ratio", high=0.2, min_words=20),
     Rule("repeated_lines", "dup_line_ratio", high=0.4, min_words=20),
 )
+#: RULES without the size switch on signs of junk that hold at any length; capitals and stop words still ask for enough words.
+ANY_LENGTH = ("symbols", "repeated_words", "repeated_lines")
+STRICT = tuple(replace(r, min_words=0) if r.name in ANY_LENGTH else r for r in RULES)
 _NOT_SYMBOLS = "[^" + "".join("\\" + c for c in SYMBOLS) + "]+"
 MEASURES = ("n_chars", "n_words", "symbol_ratio", "upper_ratio", "stop_ratio", "repeat_ratio", "dup_line_ratio")
 
 
-def measures(text: Column, rules=RULES) -> Column:
+def measures(text: Column, rules=STRICT) -> Column:
     """A struct of all measures of a text and of `rejected_by`; a variable of a lambda holds what is used twice."""
 
     def once(value: Column, use) -> Column:
@@ -83,7 +86,7 @@ def measures(text: Column, rules=RULES) -> Column:
     return once(once(words, of), lambda m: F.struct(*(m[x].alias(x) for x in MEASURES), rejected_by(m, rules).alias("rejected_by")))
 
 
-def rejected_by(m: Column, rules=RULES) -> Column:
+def rejected_by(m: Column, rules=STRICT) -> Column:
     """Names of the rules that reject a text with these measures, in the table's order."""
     hits = []
     for r in rules:
@@ -99,7 +102,7 @@ def rejected_by(m: Column, rules=RULES) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def score(docs: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
+def score(docs: DataFrame, column: str = "text", rules=STRICT) -> DataFrame:
     """docs with `quality`, a struct of the measures and of `rejected_by`, the rules that reject the text."""
     if "quality" in docs.columns:
         raise ValueError("docs already has a column quality")
@@ -107,7 +110,7 @@ def score(docs: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
     return docs.select("*", F.explode(F.array(measures(F.col(column), rules))).alias("quality"))
 
 
-def keep(docs: DataFrame, column: str = "text", rules=RULES) -> DataFrame:
+def keep(docs: DataFrame, column: str = "text", rules=STRICT) -> DataFrame:
     """The rows of docs that no rule rejects, with docs' columns."""
     return docs.where(F.size(measures(F.col(column), rules)["rejected_by"]) == 0)
 

@@ -199,6 +199,15 @@ def test_quality_rules(spark, awkward):
     assert quality.keep(docs(spark, [])).count() == 0
 
 
+def test_short_junk_is_rejected_and_short_text_stays(spark, tmp_path):
+    from quadrille.llm import queries
+
+    junk = ["That*** atly.###", "Reon*** haeand$$$ and&&& ererti$$$", "Of Of erinly erinly this this and and", "same line\nsame line\nsame line"]
+    clean = ["A short note.", "one", "OK", "Guten Tag, wie geht es?", "Mail me at a.b@example.org about the house by the river."]
+    docs(spark, list(enumerate([*junk, *clean]))).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in queries.op8_quality_rules(spark, f"file://{tmp_path}").collect()) == list(range(len(junk), len(junk) + len(clean)))
+
+
 # 5 mixing ----------------------------------------------------------------------------------------
 
 
