@@ -3,7 +3,7 @@
 Anchors: "@"; the schemes "mailto:", "tel:" and "://" (of which only addresses with a user name count);
 cue words of accounts; ends of street names; pairs of digits and digits before a dot. From an anchor a deterministic parser looks
 at the surrounding characters: e-mail addresses (label rules), IPv4 addresses (octets), card numbers
-(Luhn), IBANs (modulo 97), social security and telephone numbers (grouping), account numbers (after a
+(Luhn; where a longer run of digits fails, also the shorter numbers between its separators), IBANs (modulo 97), social security and telephone numbers (grouping), account numbers (after a
 cue), street addresses (number, capitalized names, kind of street). What fails its check isn't reported.
 
 Results: (doc_id, kind, start, end, value), one row for each match, in the order of the text, offsets in
@@ -32,6 +32,10 @@ _NUMBERS = (
     ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w])", re.A)),
     ("phone", re.compile(r"(?<![\w.+])\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}(?![\w])", re.A)),
 )
+_CARD_RUN = re.compile(r"\d+(?:[ \-]\d+){0,37}", re.A)
+_CARD_SIZE = re.compile(r"\d(?:[ \-]?\d){12}", re.A)
+_CARD_START, _CARD_END = re.compile(r"(?<![\w.])(?:(?<!-)|(?<=[0-9]-))", re.A), re.compile(r"(?![\w\-]|\.\d)|[ \-]\d", re.A)
+_CARD_LAYOUT = re.compile(r"[2-6]\d{12,18}|[2-6]\d{3}([ \-])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|3\d{3}([ \-])\d{6}\2\d{4,5}", re.A)
 _ACCOUNT = re.compile(r"(?:[ \t]*(?:no\.?|number|nr\.?|id|#))?[ \t]*[:=#]?[ \t]*(\d[\d \-]{4,22}\d)(?![\w])", re.A | re.I)
 _STREET = re.compile(r"(?<!\w)\d{1,5}[a-z]? (?:[A-Z][\w'\-]* ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)\b\.?")
 _USER = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]{1,20})\Z")
@@ -94,6 +98,40 @@ def _email(text: str, at: int):
     return "email", at - len(local), right.end()
 
 
+def _card_within(text: str, at: int):
+    """A card number from the start of the digits at `at` to a later separator, where the whole run is none.
+
+    The usual grouping goes first, then the longest; an unusual one yields to a usual one that it would overlap."""
+    while at > 0 and text[at - 1] in "0123456789":
+        at -= 1
+    if not _CARD_SIZE.match(text, at):
+        return None
+    groups = [m.span() for m in re.finditer(r"[0-9]+", _CARD_RUN.match(text, at).group())]
+    groups = [(at + a, at + b) for a, b in groups]
+
+    def valid(k: int) -> list[tuple[int, int]]:
+        start, count, out = groups[k][0], 0, []
+        if not _CARD_START.match(text, start):
+            return out
+        for a, b in groups[k:]:
+            count += b - a
+            if count > 19:
+                break
+            if count >= 13 and _CARD_END.match(text, b) and _valid("card", text[start:b]):
+                out.append((start, b))
+        return sorted(out[::-1], key=usual, reverse=True)
+
+    def usual(span: tuple[int, int]) -> bool:
+        return _CARD_LAYOUT.fullmatch(text, *span) is not None
+
+    own = valid(0)
+    if not own:
+        return None
+    if not usual(own[0]) and any(usual(x) for k in range(1, len(groups)) if groups[k][0] < own[0][1] for x in valid(k)[:1]):
+        return None
+    return "card", *own[0]
+
+
 def _parse(text: str, cue: str, start: int, end: int):
     if cue == "@":
         return _email(text, start)
@@ -104,7 +142,7 @@ def _parse(text: str, cue: str, start: int, end: int):
                 # a bound at the window's edge may be cut: look again from there, with the whole text behind
                 if m.start() <= start < m.end() and (m.start() > lo or lo == 0) and (m.end() < hi or hi == len(text)) and _valid(kind, m.group()):
                     return kind, m.start(), m.end()
-        return None
+        return _card_within(text, start)
     if cue == "street":
         lo = max(0, start - 90)
         m = next((m for m in _STREET.finditer(text, lo, min(len(text), end + 2)) if m.start() < start <= m.end()), None)

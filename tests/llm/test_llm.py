@@ -359,6 +359,15 @@ def test_personal_data(spark, awkward):
     assert pii.scan(docs(spark, [])).count() == 0
 
 
+def test_cards_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    rows = [(f"{card} 12/27", card), ("4111111111111111 123", "4111111111111111"), ("4111-1111-1111-1111-12-27", "4111-1111-1111-1111"), (f"12 {card}", card), (f"no. 7-{card} 123 end", card), ("3782 822463 10005 1234", "3782 822463 10005"), (f"{card}, {card} 99", card), ("4111 1111 1111 1112 12/27", None), ("555-123-4567 555-987-6543", None), ("1234567890123456789012 123", None)]
+    got = {}
+    for r in pii.scan(docs(spark, [(i, x) for i, (x, _) in enumerate(rows)])).where("kind = 'card'").collect():
+        got.setdefault(r.doc_id, set()).add(r.value)
+    assert got == {i: {want} for i, (_, want) in enumerate(rows) if want}
+
+
 def test_secrets_on_held_out_samples(spark, awkward):
     model = secrets.Model(secrets.labelled_samples(seed=1))
     held = secrets.labelled_samples(n=500, seed=2)
