@@ -5,7 +5,8 @@ LONGEST characters each, collected by the driver) gives features: words and word
 and 6 characters that toxic documents hold far more often than clean ones (log-likelihood ratio and
 ratio of document rates). Tokens that bear such a feature in toxic documents are the positive token labels, all
 tokens of clean documents negative ones. The field has two states, a weight for each feature, a bias and
-transition weights; they maximize the penalized likelihood of windows of labelled tokens.
+transition weights; they maximize the penalized likelihood of windows of labelled tokens: WINDOW tokens long, or what
+is left at a document's end (the whole of a short one), with the places beyond masked.
 
 Tagging. Forward and backward messages give each token's marginal over its whole document: documents
 are laid out as segments of STEP tokens, segments' transfer matrices are multiplied in parallel, a short
@@ -201,21 +202,22 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     label = np.zeros(len(own), bool)
     label[tok] = True
     label &= toxic[own]
-    # windows within documents: all with a positive label, and as many others, up to WINDOWS
+    # windows within documents, shorter at their ends: those with a positive label, up to WINDOWS // 2 of either length, and as many others
     first = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
     size = np.diff(np.append(first, len(own)))
-    cuts = np.concatenate([np.arange(f, f + s - WINDOW + 1, WINDOW) for f, s in zip(first.tolist(), size.tolist(), strict=True)]) if (size >= WINDOW).any() else np.zeros(0, np.int64)
-    if not len(cuts):
-        return empty
-    grid = cuts[:, None] + np.arange(WINDOW)
-    hot = label[grid].any(1)
-    calm = np.flatnonzero(~hot)
+    rest = size % WINDOW
+    full = np.concatenate([np.arange(f, f + s - WINDOW + 1, WINDOW) for f, s in zip(first.tolist(), size.tolist(), strict=True)]).astype(np.int64)
+    cuts = np.concatenate([full, (first + size - rest)[rest > 0]])
+    real = np.arange(WINDOW) < np.concatenate([np.full(len(full), WINDOW), rest[rest > 0]])[:, None]
+    grid = np.where(real, cuts[:, None] + np.arange(WINDOW), 0)
+    hot = (label[grid] & real).any(1)
+    pick = np.flatnonzero(hot)
     rng = np.random.default_rng(11)
-    chosen = np.concatenate([np.flatnonzero(hot)[: WINDOWS // 2], rng.permutation(calm)[: WINDOWS // 2]])
-    grid = grid[chosen]
-    y = label[grid].astype(np.int64)
+    chosen = np.concatenate([pick[pick < len(full)][: WINDOWS // 2], pick[pick >= len(full)][: WINDOWS // 2], rng.permutation(np.flatnonzero(~hot))[: WINDOWS // 2]])
+    grid, real = grid[chosen], real[chosen]
+    y = (label[grid] & real).astype(np.int64)
     place = np.full(len(own), -1)
-    place[grid.ravel()] = np.arange(grid.size)
+    place[grid[real]] = np.flatnonzero(real)
     use = place[tok] >= 0
     tok, feat = place[tok[use]], feat[use]
     w, bias, trans = np.zeros(len(features)), -4.0, np.array([[0.0, -2.0], [0.0, 0.0]])
@@ -223,9 +225,9 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     total = grid.size
     for it in range(1, ROUNDS + 1):
         e = bias + np.bincount(tok, weights=w[feat], minlength=total)
-        node, edge = _window_marginals(e.reshape(y.shape), trans)
-        diff = node.ravel() - y.ravel()
-        ge = np.array([[(edge[i, j] - ((y[:, :-1] == i) & (y[:, 1:] == j)).sum()) for j in (0, 1)] for i in (0, 1)])
+        node, edge = _window_marginals(e.reshape(y.shape), trans, real)
+        diff = np.where(real, node - y, 0).ravel()
+        ge = np.array([[(edge[i, j] - ((y[:, :-1] == i) & (y[:, 1:] == j) & real[:, 1:]).sum()) for j in (0, 1)] for i in (0, 1)])
         grad = np.concatenate([np.bincount(feat, weights=diff[tok], minlength=len(w)), [diff.sum()], ge.ravel()]) / len(y)
         theta = np.concatenate([w, [bias], trans.ravel()])
         grad += PENALTY * theta
@@ -236,8 +238,8 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     return Model(features, w, bias, trans)
 
 
-def _window_marginals(e: np.ndarray, trans: np.ndarray):
-    """Marginals of toxic at each place of equally long windows, and expected counts of each transition."""
+def _window_marginals(e: np.ndarray, trans: np.ndarray, real: np.ndarray):
+    """Marginals of toxic at each place of windows, and expected counts of each transition; only the first places of a window, those in `real`, count."""
     a, odds = np.exp(trans), np.exp(np.clip(e, -50, 50))
     n, length = e.shape
     alpha = np.empty((length, n, 2))
@@ -256,9 +258,9 @@ def _window_marginals(e: np.ndarray, trans: np.ndarray):
             out = beta.copy()
             out[:, 1] *= odds[:, t]
             x = alpha[t - 1][:, :, None] * a[None] * out[:, None, :]
-            edge += (x / x.sum((1, 2), keepdims=True)).sum(0)
-            beta = out @ a.T
-            beta /= beta.sum(1, keepdims=True)
+            edge += (x / x.sum((1, 2), keepdims=True))[real[:, t]].sum(0)
+            out = out @ a.T
+            beta = np.where(real[:, t, None], out / out.sum(1, keepdims=True), beta)
     return node, edge
 
 

@@ -346,6 +346,25 @@ def test_toxic_spans_on_held_out_documents(spark, awkward):
     assert toxicity.tag(docs(spark, rows), none).count() == 0
 
 
+def test_short_labelled_texts_train(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(3, 30), 3000) + (" scoundrel" if i % 3 == 0 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id for r in toxicity.tag(docs(spark, rows), toxicity.fit(docs(spark, rows), labels)).collect()}
+    assert got == {i for i in range(600) if i % 3 == 0}
+
+
+def test_masked_places_leave_marginals_alone():
+    rng = np.random.default_rng(1)
+    trans = rng.normal(size=(2, 2))
+    e = rng.normal(size=(3, 7))
+    size = [7, 4, 1]
+    node, edge = toxicity._window_marginals(e, trans, np.arange(7) < np.array(size)[:, None])
+    alone = [toxicity._window_marginals(e[i : i + 1, :n], trans, np.ones((1, n), bool)) for i, n in enumerate(size)]
+    assert all(node[i, :n] == pytest.approx(alone[i][0][0]) for i, n in enumerate(size))
+    assert edge == pytest.approx(sum(x[1] for x in alone))
+
+
 # 2 personal data, 7 secrets ----------------------------------------------------------------------
 
 
