@@ -64,16 +64,14 @@ class Vocabulary:
         byte, pair = self.byte, self.pair
         sym = [byte[b] for b in word]
         n = len(sym)
-        heap = [(rank << 24 | i) for i in range(n - 1) if (rank := pair.get(sym[i] << 24 | sym[i + 1])) is not None] if n < 1 << 24 else None
-        if heap is None:
-            raise ValueError("a pretoken of 16 MB or more")
+        heap = [(rank << 40 | i) for i in range(n - 1) if (rank := pair.get(sym[i] << 24 | sym[i + 1])) is not None]
         heapq.heapify(heap)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             top = pop(heap)
-            rank, i = top >> 24, top & 0xFFFFFF
+            rank, i = top >> 40, top & 0xFFFFFFFFFF
             left = sym[i]
             if left < 0:
                 continue  # stale: this symbol was joined to the one before it
@@ -85,10 +83,10 @@ class Vocabulary:
             if k < n:
                 before[k] = i
                 if (r := pair.get(rank << 24 | sym[k])) is not None:
-                    push(heap, r << 24 | i)
+                    push(heap, r << 40 | i)
             h = before[i]
             if h >= 0 and (r := pair.get(sym[h] << 24 | rank)) is not None:
-                push(heap, r << 24 | h)
+                push(heap, r << 40 | h)
         return tuple(s for s in sym if s >= 0)
 
     def ids_of(self, pretokens: list[str]) -> list[tuple[int, ...]]:

@@ -273,6 +273,13 @@ def test_bpe_matches_a_public_encoder(vocabulary, reference, texts):
     assert ids.to_pylist() == [reference.encode_ordinary(x) for x in texts] and ok.all()
 
 
+def test_a_pretoken_of_16_mb_is_merged(vocabulary):
+    alone = next(b for b in range(256) if vocabulary.pair.get(vocabulary.byte[b] << 24 | vocabulary.byte[b]) is None)
+    n = 1 << 24
+    got = vocabulary.merge_word(bytes([alone]) * n + b"ab")
+    assert len(got) <= n + 2 and b"".join(map(vocabulary.token.get, got[-8:])).endswith(b"ab") and got[0] == vocabulary.byte[alone]
+
+
 def test_bpe_awkward_tables(spark, awkward, vocabulary):
     rows = bpe.encode(docs(spark, awkward)).collect()
     assert all((r.token_ids is None) == (r.text is None) and (r.text is None or r.round_trip) for r in rows)
