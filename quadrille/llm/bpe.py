@@ -5,7 +5,7 @@ is in the vocabulary is queued by its rank, and popped entries whose symbols hav
 skipped as stale. Decoding concatenates the vocabulary's byte strings.
 
 A batch of documents is cut into pretokens by the GPT-2 rule in NumPy, each distinct pretoken of the
-batch is encoded once (a bounded cache keeps them between batches), and the ids are put back in
+batch is encoded once (a cache of at most CACHE_BYTES keeps them between batches), and the ids are put back in
 order. Equal 64-bit hashes are compared character by character before they share an encoding.
 
 Nulls: a null text has null ids and null counts. An empty text has an empty list. Repeated rows,
@@ -18,8 +18,9 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import itertools
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from quadrille.llm import vec
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE_WORDS = 1_000_000  # pretokens kept by a worker between batches
+CACHE_BYTES = 40 << 20  # of pretokens and their ids, kept by a worker between batches
+ENTRY_BYTES = 100  # of the cache's table for each pretoken
 
 
 class Vocabulary:
@@ -49,7 +51,10 @@ class Vocabulary:
                 if left is not None and right is not None:
                     self.pair[left << 24 | right] = rank
         self.whole = ids
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: ids (int32, as bytes) by pretoken: those met of late, and those before them, which stay while they are met
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         size = np.zeros(self.size, np.int64)
         for rank, word in self.token.items():
             size[rank] = len(word)
@@ -89,40 +94,32 @@ class Vocabulary:
                 push(heap, r << 40 | h)
         return tuple(s for s in sym if s >= 0)
 
-    def ids_of(self, pretokens: list[str]) -> list[tuple[int, ...]]:
-        cache, out = self.cache, []
+    def ids_of(self, pretokens: list[str], merge: Callable | None = None) -> list[bytes]:
+        """Ids of each pretoken as the bytes of an int32 array."""
+        merge, young, old, out = merge or self.merge_word, self.young, self.old, []
         for p in pretokens:
-            got = cache.get(p)
+            got = young.get(p)
             if got is None:
-                got = self.merge_word(p.encode("utf-8", "surrogatepass"))
+                got = old.get(p)
+                if got is None:
+                    got = array("i", merge(p.encode("utf-8", "surrogatepass"))).tobytes()
                 if len(p) < 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[p] = got
+                    self.held += sys.getsizeof(p) + sys.getsizeof(got) + ENTRY_BYTES
+                    if self.held > CACHE_BYTES // 2:
+                        self.old, self.young, self.held = young, {}, 0
+                        young, old = self.young, self.old
+                    young[p] = got
             out.append(got)
         return out
 
     @functools.cached_property
     def piece(self):
-        """A compiled encoder of one pretoken over the same ranks, for callers that only store ids."""
+        """A compiled encoder of one pretoken over the same ranks, for callers that only store or count ids."""
         import tiktoken
 
         ranks = {word: rank for rank, word in self.token.items()}
         return tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def ids_compiled(self, pretokens: list[str]) -> list[tuple[int, ...]]:
-        cache, piece, out = self.cache, self.piece, []
-        for p in pretokens:
-            got = cache.get(p)
-            if got is None:
-                got = piece(p.encode("utf-8", "surrogatepass"))
-                if len(p) < 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[p] = got
-            out.append(got)
-        return out
-
     def decode(self, ids) -> bytes:
         """The concatenated byte strings of the ids."""
         return b"".join(map(self.token.__getitem__, ids))
@@ -178,8 +175,8 @@ def pretoken_starts(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def encode_block(texts: list[str], vocab: Vocabulary, encode=None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids before each text and at the end."""
+def _pretokens(texts: list[str], vocab: Vocabulary, merge: Callable | None):
+    """Ids of the block's distinct pretokens (each as bytes), which of them each pretoken is, and the text that holds it."""
     cps, starts = vec.code_points(texts)
     begin = pretoken_starts(cps, starts)
     end = np.append(begin[1:], len(cps))
@@ -188,9 +185,8 @@ def encode_block(texts: list[str], vocab: Vocabulary, encode=None) -> tuple[np.n
     is_end[-1] = True
     real = ~is_end[begin]
     begin, end = begin[real], end[real]
-    counts = np.zeros(len(texts) + 1, np.int64)
     if not len(begin):
-        return np.zeros(0, np.int64), counts
+        return [], begin, begin
     key = vec.Prefix(cps).span(begin, end)
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
     size = end - begin
@@ -208,34 +204,49 @@ def encode_block(texts: list[str], vocab: Vocabulary, encode=None) -> tuple[np.n
     else:  # two pretokens share a hash: every pretoken stands for itself
         inverse = np.arange(len(begin))
         distinct = [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-    lists = (encode or vocab.ids_of)(distinct)
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(lens.sum()))
-    offset = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    return vocab.ids_of(distinct, merge), inverse, vec.owner(starts, begin)
+
+
+def encode_block(texts: list[str], vocab: Vocabulary, merge: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of ids before each text and at the end."""
+    lists, inverse, own = _pretokens(texts, vocab, merge)
+    counts = np.zeros(len(texts) + 1, np.int64)
+    if not lists:
+        return np.zeros(0, np.int32), counts
+    lens = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    flat = np.frombuffer(b"".join(lists), np.int32)
+    offset = np.cumsum(lens) - lens
     n = lens[inverse]
     total = np.cumsum(n)
     ids = flat[np.repeat(offset[inverse] - (total - n), n) + np.arange(total[-1])]
-    per = np.bincount(vec.owner(starts, begin), weights=n, minlength=len(texts)).astype(np.int64)
-    counts[1:] = np.cumsum(per)
+    counts[1:] = np.cumsum(np.bincount(own, weights=n, minlength=len(texts)).astype(np.int64))
     return ids, counts
 
 
+def count_block(texts: list[str], vocab: Vocabulary, merge: Callable | None = None) -> np.ndarray:
+    """The number of ids of each text."""
+    lists, inverse, own = _pretokens(texts, vocab, merge)
+    lens = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    return np.bincount(own, weights=lens[inverse], minlength=len(texts)).astype(np.int64)
+
+
 @functools.lru_cache(2)
 def _parsed(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
 
 
-def encode_texts(texts: list[str | None], vocab: Vocabulary, encode=None) -> tuple[pa.Array, np.ndarray]:
-    """Ids as an Arrow list column, null for null; and whether decoding gave back each text's bytes."""
+def encode_texts(texts: list[str | None], vocab: Vocabulary, merge: Callable | None = None, check: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Ids as an Arrow list column, null for null; and, if asked, whether decoding gave back each text's bytes."""
     ids, offsets, exact = [], [0], []
     for _, run in vec.blocks(texts):
-        flat, ends = encode_block(run, vocab, encode)
-        raw, at = vocab.decode_flat(flat)
-        raw = raw.tobytes()
-        cut = at[ends].tolist()
-        exact += [raw[a:b] == t.encode("utf-8", "surrogatepass") for a, b, t in zip(cut, cut[1:], run, strict=False)]
+        flat, ends = encode_block(run, vocab, merge)
+        if check:
+            raw, at = vocab.decode_flat(flat)
+            raw = raw.tobytes()
+            cut = at[ends].tolist()
+            exact += [raw[a:b] == t.encode("utf-8", "surrogatepass") for a, b, t in zip(cut, cut[1:], run, strict=False)]
         offsets += (ends[1:] + offsets[-1]).tolist()
-        ids.append(flat.astype(np.int32))
+        ids.append(flat)
     values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
     null = pa.array([t is None for t in texts], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=null), np.array(exact, bool)
@@ -247,27 +258,44 @@ def load(spark, path: str = VOCABULARY):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY, compiled: bool = False) -> DataFrame:
-    """docs with token_ids array<int>, n_tokens int, and round_trip: decoding gives the text back.
+def encode(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY, compiled: bool = False, round_trip: bool = True) -> DataFrame:
+    """docs with token_ids array<int>, n_tokens int, and, if asked, round_trip: decoding gives the text back.
 
     `compiled` leaves the merges of a pretoken to a compiled library; ids are the same.
     """
-    clash = {"token_ids", "n_tokens", "round_trip"} & set(docs.columns)
-    if clash:
+    made = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())][: 3 if round_trip else 2]
+    if clash := {f.name for f in made} & set(docs.columns):
         raise ValueError(f"docs already has {sorted(clash)}")
     raw = load(docs.sparkSession, vocabulary)
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _parsed(raw.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 texts = batch.column(column).to_pylist()
-                ids, exact = encode_texts(texts, vocab, vocab.ids_compiled if compiled else None)
+                ids, exact = encode_texts(texts, vocab, vocab.piece if compiled else None, round_trip)
                 null = np.array([t is None for t in texts], bool)
                 n = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int32), mask=null)
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, n, pa.array(exact, mask=null)], names=[*batch.schema.names, "token_ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, n, *([pa.array(exact, mask=null)] if round_trip else [])], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def count(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """docs with n_tokens long in place of the text: as many as `encode` gives, 0 for a null or empty text."""
+    if "n_tokens" in docs.columns:
+        raise ValueError("docs already has n_tokens")
+    raw = load(docs.sparkSession, vocabulary)
+    kept = [f for f in docs.schema.fields if f.name != column]
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = _parsed(raw.value)
+        for batch in batches:
+            n = [count_block(texts, vocab, vocab.piece) for _, texts in vec.blocks(batch.column(column))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

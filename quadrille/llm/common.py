@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.session import fresh_path, written
+from quadrille.session import forget, fresh_path, written
 
-__all__ = ["fresh_path", "read", "written"]
+__all__ = ["forget", "fresh_path", "read", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,8 +4,9 @@
 are chosen by column: ids are few distinct small numbers, so the list is dictionary-encoded (16 bits or
 fewer for a vocabulary of 50,000); doc_id and n_tokens are delta-encoded (format version 2 without a
 dictionary); lang and source keep dictionaries. Row groups and pages have set sizes, and pages have
-column and offset indexes (minimum, maximum, place), so that a reader can skip pages. Rows are sorted
-by doc_id within each file, which makes the page ranges of doc_id narrow.
+column and offset indexes (minimum, maximum, place), so that a reader can skip pages. Texts are dealt to tasks by ranges
+of doc_id (a doc_id that many rows share is cut by a hash of the text) and rows are sorted by doc_id within each file, so that a file, a row group and a page each
+hold a narrow range of doc_id.
 
 `read_metadata` reads no token pages, `read_tokens` only the row groups and pages whose doc_id range is
 wanted: both leave that to Parquet's pushed-down filters and pruned columns.
@@ -45,7 +46,8 @@ def write(docs: DataFrame, path: str, metadata=METADATA, vocabulary: str = bpe.V
     """Encodes docs' texts and writes (metadata, n_tokens, token_ids) to path."""
     if clash := {"token_ids", "n_tokens"} & set(metadata):
         raise ValueError(f"metadata may not be named {sorted(clash)}")
-    coded = bpe.encode(docs.select(*metadata, "text"), vocabulary=vocabulary, compiled=True).select(*metadata, "n_tokens", "token_ids")
+    placed = docs.select(*metadata, "text").repartitionByRange("doc_id", F.xxhash64("text"))
+    coded = bpe.encode(placed, vocabulary=vocabulary, compiled=True, round_trip=False).select(*metadata, "n_tokens", "token_ids")
     coded.sortWithinPartitions("doc_id").write.options(**options(row_group, page)).parquet(path)
 
 

@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 LETTER, NUMBER, SPACE = 1, 2, 4
@@ -84,10 +85,16 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts
 
 
-def blocks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def each(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of a column, of which few at a time become Python strings."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def blocks(texts: pa.Array | list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about `size` characters, at most 2**16: index of the first, and the texts (null as empty)."""
     at, run, chars = 0, [], 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(each(texts) if isinstance(texts, pa.Array) else texts):
         t = t or ""
         if run and (chars + len(t) > size or len(run) == 1 << 16):
             yield at, run

@@ -129,35 +129,84 @@ def test_pairs_match_brute_force(spark, awkward):
     assert near.pairs(docs(spark, [])).count() == 0
 
 
-def test_every_pair_is_listed_among_copies(spark, tmp_path, awkward):
+def brute_classes(rows, n, threshold):
+    """(class_id, links) by doc_id, for ids that each have one text."""
+    sets = {}
+    for i, x in rows:
+        w = re.findall(r"[^\W_]+", (x or "").lower())
+        if i is not None and w:
+            sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or {tuple(w)}
+    links = {i: {j for j, h in sets.items() if j != i and len(g & h) / len(g | h) >= threshold} for i, g in sets.items()}
+    out = {}
+    for i in sorted(links):
+        group, todo = set(), [i]
+        while todo:
+            if (x := todo.pop()) not in group:
+                group.add(x)
+                todo += links[x]
+        if links[i]:
+            out[i] = (min(group), len(links[i]))
+    return out
+
+
+def near_copies(seed=7):
+    """Groups of copies and of near copies of several sizes, one large."""
+    rng = random.Random(seed)
+    rows, at = [], 1000
+    for size in (60, 1, 2, 5, 9, 1, 1, 3):
+        base = words(rng, rng.choice([8, 60, 200])).split()
+        for j in range(size):
+            copy = base if j % 4 == 0 else [x if rng.random() > 0.04 else f"n{rng.randrange(9999)}" for x in base]
+            rows.append((at, " ".join(copy)))
+            at += rng.randrange(1, 9)
+    rng.shuffle(rows)
+    return rows
+
+
+def test_classes_match_brute_force(spark, tmp_path, awkward):
     from quadrille.llm import queries
 
     base = "a b c d e f g h i j k l m n o p"
-    rows = [*awkward, *((20 + k, base) for k in range(4)), *((30 + k, base.replace("p", "q")) for k in range(3)), (40, base.replace("o p", "r q")), (20, "z"), (31, "Z")]
+    rows = [*awkward, *near_copies(), *((20 + k, base) for k in range(4)), *((30 + k, base.replace("p", "q")) for k in range(3)), (40, base.replace("o p", "r q"))]
     docs(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
-
-    def grams(x):
-        w = re.findall(r"[^\W_]+", (x or "").lower())
-        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
-
-    want = {}
-    for (i, x), (j, y) in itertools.combinations([r for r in rows if r[0] is not None and grams(r[1])], 2):
-        a, b = grams(x), grams(y)
-        if i != j and len(a & b) / len(a | b) >= near.THRESHOLD:
-            want[min(i, j), max(i, j)] = max(len(a & b) / len(a | b), want.get((min(i, j), max(i, j)), 0))
-    got = [((r.doc_a, r.doc_b), r.jaccard) for r in queries.op9_ngram_jaccard(spark, f"file://{tmp_path}").collect()]
-    assert len(got) == len(dict(got)) and dict(got) == pytest.approx(want)
-    once = [r for r in rows if r[1] not in ("z", "Z")]
-    got = {(r.doc_a, r.doc_b) for r in near.all_pairs(docs(spark, once)).collect()}
-    assert {(a, b) for a, b in itertools.combinations([20, 21, 22, 23, 30, 31, 32, 40], 2)} <= got
-
-
-def test_products_are_whole_over_batches(monkeypatch):
-    members = [np.array(m) for m in ([1, 9, 5], [2], [7, 3, 8, 4])]
-    monkeypatch.setattr(near, "BATCH_ROWS", 4)
-    a, b, jaccard = np.array([0, 1, 0]), np.array([2, 2, 1]), np.array([0.5, 0.6, 0.7])
-    got = [r for x in near._products(members, a, b, jaccard) for r in zip(*(v.tolist() for v in x), strict=True)]
-    assert sorted(got) == sorted((min(x, y), max(x, y), s) for i, j, s in zip(a, b, jaccard, strict=True) for x in members[i] for y in members[j])
+    got = queries.op9_ngram_jaccard(spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == brute_classes(rows, near.N, near.THRESHOLD) and len({r.doc_id for r in got}) == len(got)
+    assert near.classes(docs(spark, [])).count() == 0 and near.classes(docs(spark, [(1, "a b c d"), (2, None)])).count() == 0
+
+
+def test_classes_in_many_small_cells(spark, monkeypatch):
+    rows = near_copies(9)
+    for k, v in {"LIST_PAIRS": 30, "CELL_PAIRS": 20, "CELL_TOKENS": 300, "BROADCAST_ROWS": 0, "BUCKET_ENTRIES": 200, "WINDOW_TOKENS": 500}.items():
+        monkeypatch.setattr(near, k, v)
+    got = {r.doc_id: (r.class_id, r.links) for r in near.classes(docs(spark, rows).repartition(3)).collect()}
+    assert got == brute_classes(rows, near.N, near.THRESHOLD)
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in near.pairs(docs(spark, rows)).collect()} == pytest.approx(brute_pairs(rows, near.N, near.THRESHOLD))
+
+
+def test_an_id_of_several_texts_is_in_one_class(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, a), (7, a), (9, b), (8, b), (8, a), (8, a), (3, "z"), (3, "Z")]
+    got = {r.doc_id: (r.class_id, r.links) for r in near.classes(docs(spark, rows)).collect()}
+    assert got == {5: (5, 2), 7: (5, 2), 8: (5, 3), 9: (5, 1)}
+
+
+def test_cells_hold_each_pair_once():
+    members = np.unique(np.random.default_rng(3).integers(0, 1 << 60, 50).astype(np.uint64) & ~np.uint64(7))
+    seen = []
+    for _, m, split in near.grid(members, 4):
+        flat = np.searchsorted(members, m).astype(np.int64)
+        for c in near.list_codes(flat, 50, np.array([0]), np.array([len(m)]), np.array([split])):
+            seen += [(int(x) // 50, int(x) % 50) for x in c]
+    assert sorted(seen) == list(itertools.combinations(range(50), 2))
+
+
+@pytest.mark.parametrize("width", [30, 3000])
+def test_overlaps(width):
+    rng = np.random.default_rng(width)
+    sets = [np.unique(rng.integers(0, width, rng.integers(1, 90)).astype(np.uint64)) for _ in range(40)]
+    a, b = np.array(list(itertools.combinations(range(40), 2))).T
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    assert near.overlaps(sets, a, b).tolist() == want and near.overlaps(sets, a[:5], b[:5]).tolist() == want[:5]
 
 
 def test_one_document_of_each_group_stays(spark, awkward):
