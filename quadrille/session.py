@@ -49,8 +49,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the folder that all executors share and read again: this cuts the lineage."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    spark, path, setting = df.sparkSession, fresh_path(df.sparkSession, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")  # once the table is whole nothing reads the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
