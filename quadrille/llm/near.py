@@ -39,7 +39,7 @@ from quadrille.operators.graph import components
 
 U64 = np.uint64
 N, THRESHOLD = 3, 0.5
-WINDOW_TOKENS, HEAVY = 2_000_000, 2_000_000
+WINDOW_TOKENS, HEAVY = 4_000_000, 2_000_000
 LONGEST, VERIFY = 8, 40.0
 BUCKET_ENTRIES = 1_500_000
 BROADCAST_ROWS = 500_000  # of 32 bytes; beyond that a shuffle join
@@ -101,6 +101,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         token = np.concatenate(held)
+        held.clear()
         token.sort()
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(edge, len(token)))

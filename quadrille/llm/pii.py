@@ -1,18 +1,20 @@
 """Personal data by anchor expansion: Aho-Corasick finds cues, local parsers find and check the bounds.
 
 Anchors: "@"; the schemes "mailto:", "tel:" and "://" (of which only addresses with a user name count);
-cue words of accounts; ends of street names; pairs of digits and digits before a dot. From an anchor a deterministic parser looks
-at the surrounding characters: e-mail addresses (label rules), IPv4 addresses (octets), card numbers
-(Luhn; where a longer run of digits fails, also the shorter numbers between its separators), IBANs (modulo 97), social security and telephone numbers (grouping), account numbers (after a
-cue), street addresses (number, capitalized names, kind of street). What fails its check isn't reported.
+cue words of accounts; ends of street names; pairs of digits, digits before a dot, colons before hexadecimal digits. From an anchor a deterministic parser
+extends to both sides as far as the characters of its kind go, and only then accepts or rejects what it has: e-mail addresses (label rules), IP addresses (octets; groups of
+version 6), card numbers (Luhn; where a longer run of digits fails, also the shorter numbers between its separators), IBANs (modulo 97; in one piece also
+in lower case), social security and telephone numbers (grouping), account numbers (after a
+cue, 6 to 34 digits), street addresses (number, capitalized names, kind of street). What fails its check isn't reported; nothing is cut to fit a window.
 
 Results: (doc_id, kind, start, end, value), one row for each match, in the order of the text, offsets in
-characters. Where two overlap the one that starts first (then the longer) stays. Null or empty texts have none; repeated
+characters. Where two overlap the one that starts first (then the longer, then the kind first in the alphabet) stays. Null or empty texts have none; repeated
 rows report their own matches each; a null doc_id stays null. Texts are searched whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -21,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BACK, AHEAD = 40, 64
-_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
-_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
+_LOCAL = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9_.%+\-]*[A-Za-z0-9_%+\-])?")
+_DOMAIN_RUN = re.compile(r"[\w.\-]*")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 _NUMBERS = (
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", re.A)),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)),
     ("card", re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)", re.A)),
     ("ssn", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", re.A)),
     ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w])", re.A)),
@@ -36,11 +37,18 @@ _CARD_RUN = re.compile(r"\d+(?:[ \-]\d+){0,37}", re.A)
 _CARD_SIZE = re.compile(r"\d(?:[ \-]?\d){12}", re.A)
 _CARD_START, _CARD_END = re.compile(r"(?<![\w.])(?:(?<!-)|(?<=[0-9]-))", re.A), re.compile(r"(?![\w\-]|\.\d)|[ \-]\d", re.A)
 _CARD_LAYOUT = re.compile(r"[2-6]\d{12,18}|[2-6]\d{3}([ \-])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|3\d{3}([ \-])\d{6}\2\d{4,5}", re.A)
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:no\.?|number|nr\.?|id|#))?[ \t]*[:=#]?[ \t]*(\d[\d \-]{4,22}\d)(?![\w])", re.A | re.I)
+_IBANS = (
+    re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A),
+    re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}(?![A-Za-z0-9])", re.A),
+)
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*(?:(?:\d{1,3}\.){3}\d{1,3})?(?![\w:]|\.\w)")
+_ACCOUNT = re.compile(r"(?:[ \t]*(?:no\.?|number|nr\.?|id|#))?[ \t]*[:=#]?[ \t]*([0-9](?:[ \-]{0,2}[0-9])*)(?!\w)", re.I)
 _STREET = re.compile(r"(?<!\w)\d{1,5}[a-z]? (?:[A-Z][\w'\-]* ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)\b\.?")
-_USER = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]{1,20})\Z")
-_AUTHORITY = re.compile(r"[^\s/@:\"'<>]{1,64}(?::[^\s/@\"'<>]{0,64})?@(?:[A-Za-z0-9\-]+\.)*[A-Za-z0-9\-]+[^\s\"'<>]*")
-_TEL = re.compile(r"\+?\d(?:[ .\-()]?\d){5,18}")
+_AUTHORITY = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@(?:[A-Za-z0-9\-]+\.)*[A-Za-z0-9\-]+[^\s\"'<>]*")
+_TEL = re.compile(r"\+?[0-9](?:[ .\-()]{0,2}[0-9])*(?!\w)")
+#: Characters that matches of these kinds consist of: no match crosses the bounds of a run of them.
+_DIGITS, _NUMBER, _IBAN = (frozenset(x) for x in ("0123456789", "0123456789 .()+-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+_UPPER, _HEX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "), frozenset("0123456789abcdefABCDEF:.")
 
 
 def luhn(digits: str) -> bool:
@@ -64,6 +72,11 @@ def _valid(kind: str, value: str) -> bool:
         return value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000"
     if kind == "phone":
         return 8 <= len(re.sub(r"\D", "", value)) <= 15
+    if kind == "ip6":
+        try:
+            return ipaddress.IPv6Address(value).packed.count(0) < 15  # neither :: nor ::1
+        except ValueError:
+            return False
     return True
 
 
@@ -77,6 +90,8 @@ def automaton() -> ahocorasick.Automaton:
             a.add_word(word, ("account", len(word)))
     for end in ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Boulevard", "Blvd", "Lane", "Ln", "Drive", "Dr"):
         a.add_word(f" {end}", ("street", len(end) + 1))
+    for h in "0123456789abcdefABCDEF:":
+        a.add_word(f":{h}", ("colon", 2))
     for i in range(10):
         a.add_word(f"{i}.", ("digits", 2))
         for j in range(10):
@@ -85,17 +100,29 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _run(text: str, at: int, chars: frozenset) -> tuple[int, int]:
+    """Bounds of the run of such characters that holds the place."""
+    lo = hi = at
+    while lo > 0 and text[lo - 1] in chars:
+        lo -= 1
+    while hi < len(text) and text[hi] in chars:
+        hi += 1
+    return lo, hi
+
+
 def _email(text: str, at: int):
-    left = _LOCAL.search(text, max(0, at - 64), at)
-    right = _DOMAIN.match(text, at + 1)
-    if not left or not right:
+    lo = at
+    while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in "._%+-"):
+        lo -= 1
+    while lo < at and text[lo] in ".-+%":
+        lo += 1
+    local = text[lo:at]
+    end = _DOMAIN_RUN.match(text, at + 1).end()
+    while text[end - 1] in ".-":
+        end -= 1
+    if len(local) > 64 or ".." in local or not _LOCAL.fullmatch(local) or end - at > 254 or not _DOMAIN.fullmatch(text, at + 1, end):
         return None
-    local = left.group()
-    while local and local[0] in ".-+%":
-        local = local[1:]
-    if not local or local[-1] == "." or ".." in local:
-        return None
-    return "email", at - len(local), right.end()
+    return "email", lo, end
 
 
 def _card_within(text: str, at: int):
@@ -132,57 +159,92 @@ def _card_within(text: str, at: int):
     return "card", *own[0]
 
 
-def _parse(text: str, cue: str, start: int, end: int):
-    if cue == "@":
-        return _email(text, start)
-    if cue == "digits":
-        lo, hi = max(0, start - BACK), min(len(text), end + AHEAD)
-        for kind, pattern in _NUMBERS:
-            for m in pattern.finditer(text, lo, hi):
-                # a bound at the window's edge may be cut: look again from there, with the whole text behind
-                if m.start() <= start < m.end() and (m.start() > lo or lo == 0) and (m.end() < hi or hi == len(text)) and _valid(kind, m.group()):
-                    return kind, m.start(), m.end()
-        return _card_within(text, start)
-    if cue == "street":
-        lo = max(0, start - 90)
-        m = next((m for m in _STREET.finditer(text, lo, min(len(text), end + 2)) if m.start() < start <= m.end()), None)
-        return ("address", m.start(), m.end()) if m and (m.start() > lo or lo == 0) else None
+def _numbers(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
+    """Valid numbers in a run of their characters, and card numbers among digits that belong to none."""
+    out = []
+    for kind, pattern in _NUMBERS:
+        for m in pattern.finditer(text, lo, hi + 2):  # two characters behind the run are all that a pattern looks at
+            if _valid(kind, m.group()):
+                out.append((kind, m.start(), m.end()))
+    taken = lo
+    for m in re.finditer(r"[0-9]+", text[lo:hi]):
+        at = lo + m.start()
+        if at >= taken and not any(s <= at < e for _, s, e in out) and (card := _card_within(text, at)):
+            out.append(card)
+            taken = card[2]
+    return out
+
+
+def _street_run(text: str, at: int) -> tuple[int, int]:
+    lo = hi = at
+    while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in "_'- "):
+        lo -= 1
+    while hi < len(text) and (text[hi].isalnum() or text[hi] in "_'- "):
+        hi += 1
+    return lo, hi
+
+
+def _within(kind: str, pattern: re.Pattern, text: str, lo: int, hi: int) -> Iterator[tuple[str, int, int]]:
+    for m in pattern.finditer(text, lo, hi + 2):
+        if _valid(kind, m.group()):
+            yield kind, m.start(), m.end()
+
+
+def _after(text: str, cue: str, start: int, end: int):
+    """What begins behind a cue."""
     if cue == "account":
-        m = _ACCOUNT.match(text, end, end + 48)
-        return ("account", m.start(1), m.end(1)) if m and len(re.sub(r"\D", "", m.group(1))) >= 6 else None
+        m = _ACCOUNT.match(text, end)
+        return ("account", m.start(1), m.end(1)) if m and 6 <= sum(c in _DIGITS for c in m.group(1)) <= 34 else None
     if cue == "://":
-        scheme, rest = _USER.search(text, max(0, start - 21), start), _AUTHORITY.match(text, end)
-        return ("url_user", scheme.start(), rest.end()) if scheme and rest else None
-    if cue == "tel:":
-        m = _TEL.match(text, end)
-        return ("phone", m.start(), m.end()) if m else None
-    return None  # mailto: its "@" is an anchor of its own
+        lo = start
+        while lo > 0 and text[lo - 1].isascii() and (text[lo - 1].isalnum() or text[lo - 1] in "+.-"):
+            lo -= 1
+        while lo < start and not text[lo].isalpha():
+            lo += 1
+        rest = _AUTHORITY.match(text, end) if start - lo >= 2 else None
+        return ("url_user", lo, rest.end()) if rest else None
+    m = _TEL.match(text, end) if cue == "tel:" else None  # mailto: its "@" is an anchor of its own
+    return ("phone", m.start(), m.end()) if m and 6 <= sum(c in _DIGITS for c in m.group()) <= 15 else None
+
+
+def _settled(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of matches that overlap, the one that starts first, then the longer."""
+    out: list[tuple[str, int, int]] = []
+    for m in sorted(set(found), key=lambda m: (m[1], -m[2], m[0])):
+        if not out or m[1] >= out[-1][2]:
+            out.append(m)
+    return out
 
 
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Matches of one text as (kind, start, end), none of which overlap."""
-    found, seen_to = [], -1
+    found: list[tuple[str, int, int]] = []
+    number = iban = upper = colon = street = -1  # ends of the runs that have been searched
     for last, (cue, size) in anchors.iter(text):
         start = last - size + 1
-        if cue == "digits" and start < seen_to:
-            continue
-        hit = _parse(text, cue, start, last + 1)
-        if hit:
+        if cue == "digits":
+            if start >= number:
+                lo, number = _run(text, start, _NUMBER)
+                found += _numbers(text, lo, number)
+            if start >= upper:
+                lo, upper = _run(text, start, _UPPER)
+                if upper - lo >= 15:
+                    found += _within("iban", _IBANS[0], text, lo, upper)
+            if start >= iban:
+                lo, iban = _run(text, start, _IBAN)
+                if iban - lo >= 15:
+                    found += _within("iban", _IBANS[1], text, lo, iban)
+        elif cue == "colon":
+            if start >= colon:
+                lo, colon = _run(text, start, _HEX)
+                found += _within("ip6", _IP6, text, lo, colon)
+        elif cue == "street":
+            if start >= street:
+                lo, street = _street_run(text, start)
+                found += _within("address", _STREET, text, lo, street)
+        elif hit := _email(text, start) if cue == "@" else _after(text, cue, start, last + 1):
             found.append(hit)
-            if cue == "digits":
-                seen_to = hit[2]
-        elif cue == "digits":
-            # no parser takes this run of digits: its other digits need not be tried
-            stop = last + 1
-            while stop < len(text) and text[stop].isdigit():
-                stop += 1
-            seen_to = stop - 1 if stop > last + 1 else seen_to
-    found.sort(key=lambda m: (m[1], -m[2]))
-    out: list[tuple[str, int, int]] = []
-    for m in found:
-        if not out or m[1] >= out[-1][2]:
-            out.append(m)
-    return out
+    return _settled(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:

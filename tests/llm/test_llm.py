@@ -434,6 +434,64 @@ def test_personal_data(spark, awkward):
     assert pii.scan(docs(spark, [])).count() == 0
 
 
+def brute_pii(text):
+    """All kinds by patterns over the whole text, without anchors."""
+    found = []
+    for kind, p in [*pii._NUMBERS, *(("iban", p) for p in pii._IBANS), ("ip6", pii._IP6), ("address", pii._STREET)]:
+        found += [(kind, m.start(), m.end()) for m in p.finditer(text) if pii._valid(kind, m.group())]
+    for run in re.finditer(r"[0-9 .()+\-]+", text):
+        taken = 0
+        for m in re.finditer("[0-9]+", run.group()):
+            at = run.start() + m.start()
+            if at >= taken and not any(s <= at < e and k in ("ip", "card", "ssn", "phone") for k, s, e in found) and (card := pii._card_within(text, at)):
+                found.append(card)
+                taken = card[2]
+    for at in (i for i, c in enumerate(text) if c == "@"):
+        reverse = re.match(r"[\w.%+\-]*", text[:at][::-1]).group()
+        local, domain = reverse[::-1].lstrip(".-+%"), re.match(r"[\w.\-]*", text[at + 1 :]).group().rstrip(".-")
+        ok = re.fullmatch(r"[A-Za-z0-9_.%+\-]{1,64}", local) and ".." not in local and local[-1] != "." and len(domain) < 254
+        if ok and re.fullmatch(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", domain):
+            found.append(("email", at - len(local), at + 1 + len(domain)))
+    for m in re.finditer(r"(?:account|acct|konto|compte|cuenta|Account|Acct|Konto|Compte|Cuenta|ACCOUNT|ACCT|KONTO|COMPTE|CUENTA)", text):
+        if (hit := pii._ACCOUNT.match(text, m.end())) and 6 <= len(re.sub("[^0-9]", "", hit[1])) <= 34:
+            found.append(("account", *hit.span(1)))
+    for m in re.finditer("tel:", text):
+        if (hit := pii._TEL.match(text, m.end())) and 6 <= len(re.sub("[^0-9]", "", hit[0])) <= 15:
+            found.append(("phone", *hit.span()))
+    return pii._settled(found)
+
+
+PII_PARTS = ["a.b", "userébob", "x" * 60, "example.com", "@", "@mail.", "é", " ", "  ", "-", ".", ",", "\n", "4111", "1111", " 1111", "4111111111111111", "+1 ", "(988) ", "555-2485", "123-45-6789", "10.0.0.255", "1.2", "3", "12 ", "34-", "DE89", "DE89370400440532013000", "de89370400440532013000", " 3704 0044 0532 0130 00", "Account no. ", "konto: ", "tel:", "2001:db8::", "fe80:", ":1", "12 High Street", " St", "High ", "7b Mc Donald ", "Ave.", "A"]
+
+
+@given(st.lists(st.sampled_from(PII_PARTS), min_size=1, max_size=14).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_personal_data_matches_whole_text_patterns(text):
+    anchors = pii.automaton()
+    assert pii.find(text, anchors) == brute_pii(text)
+
+
+def test_personal_data_is_never_cut(spark):
+    rows = {
+        "x" * 90 + "@example.com": [],
+        "userébob@example.com": [],
+        "bob@mail.example.comé": [],
+        f"{'a' * 64}@example.com": [f"{'a' * 64}@example.com"],
+        "account " + " ".join(["12"] * 12): [" ".join(["12"] * 12)],
+        "account " + "1" * 40: [],
+        "de89370400440532013000": ["de89370400440532013000"],
+        "at 2001:db8::8a2e:370:7334 or 12:30:45": ["2001:db8::8a2e:370:7334"],
+        "7 " + "Verylongname" * 12 + " Street": ["7 " + "Verylongname" * 12 + " Street"],
+        "https://" + "u" * 90 + ":pw@host.org/x": ["https://" + "u" * 90 + ":pw@host.org/x"],
+        "tel:" + "1" * 25: [],
+    }
+    got = {}
+    frame = docs(spark, list(enumerate(rows))).withColumn("kind", near.F.lit("clash")).withColumn("value", near.F.lit(1))
+    for r in pii.scan(frame).collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    assert [got.get(i, []) for i in range(len(rows))] == list(rows.values())
+
+
 def test_cards_beside_other_digits(spark):
     card = "4111 1111 1111 1111"
     rows = [(f"{card} 12/27", card), ("4111111111111111 123", "4111111111111111"), ("4111-1111-1111-1111-12-27", "4111-1111-1111-1111"), (f"12 {card}", card), (f"no. 7-{card} 123 end", card), ("3782 822463 10005 1234", "3782 822463 10005"), (f"{card}, {card} 99", card), ("4111 1111 1111 1112 12/27", None), ("555-123-4567 555-987-6543", None), ("1234567890123456789012 123", None)]
