@@ -8,10 +8,11 @@ source takes its weight times the budget, and the cheapest flow of the greatest
 successive shortest paths. A pattern's flow says how many whole copies of its documents to take, and up
 to which seeded hash one more; a second hash deals copies to sources in proportion to the flow.
 
-Token counts are estimates: characters of white space plus one, 0 for an empty text.
+Tokens are counted by encoding every text with the vocabulary of the byte-pair operator, 0 for a null or empty text.
+`counted` keeps (doc_id, pattern, tokens) of each document; the plan aggregates it.
 
 Nulls: a predicate that is null doesn't hold. A document of no source isn't taken. A null or empty text
-has no tokens and isn't counted, but is taken or left like any other of its pattern. Rows that repeat a
+has no tokens and isn't counted, but is taken or left like any other of its pattern. Ties don't arise: rows that repeat a
 doc_id share their hash and fare alike; null ids too. A source without documents leaves its quota unfilled. An empty
 table gives an empty result. Extra columns pass through in `select_documents`; names that start with `__mix` are reserved.
 """
@@ -24,6 +25,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm import bpe
+from quadrille.llm.common import written
+
 BUCKETS = 1024
 SEED = 20240229
 #: Of one pass over a pattern's tokens, and then of each repetition: cost of its first quarter, second, ...
@@ -119,11 +123,6 @@ def route(capacity: dict[int, int], quotas: list[int], costs=REPETITION_COSTS) -
     return {k: net.room[e ^ 1] for k, e in arcs.items() if net.room[e ^ 1]}
 
 
-def tokens(text: Column) -> Column:
-    n = F.length(F.regexp_replace(text, r"[^ \t\n\r]+", "")) + 1
-    return F.when(F.length(text) > 0, n).otherwise(0).cast("long")
-
-
 def pattern(sources) -> Column:
     """Bits of the sources that hold for a row."""
     out = F.lit(0)
@@ -137,11 +136,16 @@ def _unit(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def plan(docs: DataFrame, sources=SOURCES, budget: float = BUDGET, seed: int = SEED) -> Plan:
-    """Aggregates docs and solves the flow; the driver gets one row for each pattern and bucket."""
+def counted(docs: DataFrame, sources=SOURCES, seed: int = SEED) -> DataFrame:
+    """(doc_id, __mix_pattern, n_tokens) of every row; texts are read here and nowhere else."""
+    return bpe.count(docs.select("doc_id", pattern(sources).alias("__mix_pattern"), "text"))
+
+
+def plan(rows: DataFrame, sources=SOURCES, budget: float = BUDGET, seed: int = SEED) -> Plan:
+    """Aggregates `counted` rows and solves the flow; the driver gets one row for each pattern and bucket."""
     bucket = F.floor(_unit(seed) * BUCKETS).cast("int")
-    rows = docs.select(pattern(sources).alias("p"), bucket.alias("b"), tokens(F.col("text")).alias("t")).groupBy("p", "b").agg(F.sum("t").alias("t")).collect()
-    return solve([(r["p"], r["b"], r["t"] or 0) for r in rows], [w for _, _, w in sources], budget)
+    sums = rows.groupBy(F.col("__mix_pattern").alias("p"), F.coalesce(bucket, F.lit(0)).alias("b")).agg(F.sum("n_tokens").alias("t")).collect()
+    return solve([(r["p"], r["b"], r["t"]) for r in sums], [w for _, _, w in sources], budget)
 
 
 def solve(rows: list[tuple[int, int, int]], weights: list[float], budget: float) -> Plan:
@@ -172,34 +176,30 @@ def solve(rows: list[tuple[int, int, int]], weights: list[float], budget: float)
     return out
 
 
-def _by_pattern(values: dict[int, Column], p: Column, default: Column) -> Column:
-    out = default
-    for k, v in values.items():
-        out = F.when(p == k, v).otherwise(out)
-    return out
-
+def assign(rows: DataFrame, made: Plan, sources=SOURCES, seed: int = SEED) -> DataFrame:
+    """Rows with __mix_pattern as often as the plan takes them, with __mix_copy (from 1) and __mix_source, the source fed.
 
-def assign(docs: DataFrame, sources=SOURCES, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    """docs' rows as often as the flow takes them, with __mix_copy (from 1) and __mix_source, the source fed."""
-    if clash := [c for c in docs.columns if c.startswith("__mix")]:
-        raise ValueError(f"reserved column names: {clash}")
-    made = plan(docs, sources, budget, seed)
-    p = F.col("__mix_pattern")
-    taken = _by_pattern({k: F.lit(c) + (_unit(seed) < made.below[k]).cast("int") for k, c in made.copies.items()}, p, F.lit(0))
-    dealt = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1), "__mix_copy"), F.lit(1 << 40)) / float(1 << 40)
+    The plan is a table of one row for each pattern that occurs, 2 ** len(sources) at most, which is broadcast."""
     names = [n for n, _, _ in sources]
-
-    def deal(shares: list[tuple[int, float]]) -> Column:
-        out = F.lit(names[shares[-1][0]])
-        for s, edge in reversed(shares[:-1]):
-            out = F.when(dealt < edge, names[s]).otherwise(out)
-        return out
-
-    rows = docs.withColumn("__mix_pattern", pattern(sources)).withColumn("__mix_n", taken.cast("int")).where("__mix_n > 0")
-    rows = rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    return rows.withColumn("__mix_source", _by_pattern({k: deal(s) for k, s in made.shares.items()}, p, F.lit(None).cast("string"))).drop("__mix_n", "__mix_pattern")
+    table = [(p, made.copies[p], float(made.below[p]), [float(e) for _, e in made.shares[p]], [names[s] for s, _ in made.shares[p]]) for p in made.copies]
+    taken = rows.sparkSession.createDataFrame(table, "__mix_pattern int, __mix_whole int, __mix_below double, __mix_edges array<double>, __mix_names array<string>")
+    n = F.col("__mix_whole") + (_unit(seed) < F.col("__mix_below")).cast("int")
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1), "__mix_copy"), F.lit(1 << 40)) / float(1 << 40)
+    place = F.least(F.size(F.filter("__mix_edges", lambda e: e <= dealt)), F.size("__mix_names") - 1)
+    out = rows.join(F.broadcast(taken), "__mix_pattern").withColumn("__mix_n", n).where("__mix_n > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    return out.withColumn("__mix_source", F.get("__mix_names", place)).drop("__mix_n", "__mix_whole", "__mix_below", "__mix_edges", "__mix_names", "__mix_pattern")
 
 
 def select_documents(docs: DataFrame, sources=SOURCES, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """The mixture: docs' rows, left out or repeated as the flow says."""
-    return assign(docs, sources, budget, seed).drop("__mix_copy", "__mix_source")
+    if clash := [c for c in docs.columns if c.startswith("__mix")]:
+        raise ValueError(f"reserved column names: {clash}")
+    made = plan(counted(docs, sources), sources, budget, seed)
+    return assign(docs.withColumn("__mix_pattern", pattern(sources)), made, sources, seed).select(*docs.columns)
+
+
+def mixture(docs: DataFrame, sources=SOURCES, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+    """(doc_id, mixed_for, copy, n_tokens) of every document taken, once for each time."""
+    rows = written(counted(docs, sources), "mix-counted")
+    got = assign(rows, plan(rows, sources, budget, seed), sources, seed)
+    return got.select("doc_id", F.col("__mix_source").alias("mixed_for"), F.col("__mix_copy").alias("copy"), "n_tokens")

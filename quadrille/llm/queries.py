@@ -31,8 +31,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return mix.assign(docs).select("doc_id", F.col("__mix_source").alias("mixed_for"), F.col("__mix_copy").alias("copy"), mix.tokens(F.col("text")).alias("est_tokens"))
+    return mix.mixture(read(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
