@@ -2,7 +2,7 @@
 
 Each rule bounds one measure of a text. `compile_rules` turns the table into a single struct of
 measures and a boolean for each rule; Spark evaluates it in one pass over the text, on the JVM.
-`duckdb_sql` writes a table as SQL. The operator's table is STRICT, that of the SQL RULES, where short texts are let off.
+`duckdb_sql` writes the table as SQL. The table is STRICT: RULES, with the rules in ANY_LENGTH at any length.
 
 Measures: n_chars; n_words (pieces between white space); symbol_ratio (signs out of SYMBOLS, of all
 characters); upper_ratio (capital letters, of all letters); stop_ratio (words that are stop words of one of
@@ -115,7 +115,7 @@ def keep(docs: DataFrame, column: str = "text", rules=STRICT) -> DataFrame:
     return docs.where(F.size(measures(F.col(column), rules)["rejected_by"]) == 0)
 
 
-def duckdb_sql(table: str = "documents", rules=RULES, columns: str = "doc_id") -> str:
+def duckdb_sql(table: str = "documents", rules=STRICT, columns: str = "doc_id") -> str:
     """DuckDB SQL for the kept rows: `columns` and the measures."""
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
 

@@ -1,12 +1,13 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Training. A bounded sample of labelled documents (SAMPLE of each label, smallest hashes first, up to
-LONGEST characters each, collected by the driver) gives features: words and word beginnings of 4, 5
+Training. A bounded sample of labelled documents gives features: at most `sample` of each label among those of at most `longest` characters,
+smallest hashes first (parameters of `fit`, SAMPLE and LONGEST; longer labelled documents don't train, but are tagged like all others). Features are words and word beginnings of 4, 5
 and 6 characters that toxic documents hold far more often than clean ones (log-likelihood ratio and
 ratio of document rates). Tokens that bear such a feature in toxic documents are the positive token labels, all
 tokens of clean documents negative ones. The field has two states, a weight for each feature, a bias and
 transition weights; they maximize the penalized likelihood of windows of labelled tokens: WINDOW tokens long, or what
-is left at a document's end (the whole of a short one), with the places beyond masked.
+is left at a document's end (the whole of a short one), with the places beyond masked. At most `windows` of them train
+(WINDOWS; half with a toxic token, as far as there are any, drawn at random).
 
 Tagging. Forward and backward messages give each token's marginal over its whole document: documents
 are laid out as segments of STEP tokens, segments' transfer matrices are multiplied in parallel, a short
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,7 +162,7 @@ def _g2(k1, n1, k2, n2):
     return 2 * (term(k1, n1 * p) + term(n1 - k1, n1 * (1 - p)) + term(k2, n2 * p) + term(n2 - k2, n2 * (1 - p)))
 
 
-def train(texts: list[str], toxic: list[bool]) -> Model:
+def train(texts: list[str], toxic: list[bool], windows: int = WINDOWS) -> Model:
     """Weights from labelled documents, as the module's docstring says."""
     toxic = np.array(toxic, bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
@@ -202,7 +203,7 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     label = np.zeros(len(own), bool)
     label[tok] = True
     label &= toxic[own]
-    # windows within documents, shorter at their ends: those with a positive label, up to WINDOWS // 2 of either length, and as many others
+    # windows within documents, shorter at their ends: those with a positive label, and as many others
     first = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
     size = np.diff(np.append(first, len(own)))
     rest = size % WINDOW
@@ -211,9 +212,8 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     real = np.arange(WINDOW) < np.concatenate([np.full(len(full), WINDOW), rest[rest > 0]])[:, None]
     grid = np.where(real, cuts[:, None] + np.arange(WINDOW), 0)
     hot = (label[grid] & real).any(1)
-    pick = np.flatnonzero(hot)
     rng = np.random.default_rng(11)
-    chosen = np.concatenate([pick[pick < len(full)][: WINDOWS // 2], pick[pick >= len(full)][: WINDOWS // 2], rng.permutation(np.flatnonzero(~hot))[: WINDOWS // 2]])
+    chosen = np.concatenate([rng.permutation(np.flatnonzero(x))[: windows // 2] for x in (hot, ~hot)])
     grid, real = grid[chosen], real[chosen]
     y = (label[grid] & real).astype(np.int64)
     place = np.full(len(own), -1)
@@ -264,15 +264,16 @@ def _window_marginals(e: np.ndarray, trans: np.ndarray, real: np.ndarray):
     return node, edge
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from a bounded sample of labelled documents; the sample is all that the driver sees."""
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, windows: int = WINDOWS) -> Model:
+    """A model from a bounded sample of labelled documents; the sample (2 * sample texts at most) is all that the driver sees."""
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
-    sides = [marked.where(F.col("toxic") > 0).orderBy(*order).limit(2 * sample), marked.where(F.col("toxic") <= 0).orderBy(*order).limit(2 * sample)]
+    sides = [marked.where(side).orderBy(*order).limit(2 * sample) for side in (F.col("toxic"), ~F.col("toxic"))]
     picked = F.broadcast(sides[0].union(sides[1]))  # 4 * sample ids at most
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(picked, "doc_id")
-    rows = [r for s in (short.where("toxic > 0"), short.where("toxic <= 0")) for r in s.orderBy(*order, "text").limit(sample).collect()]
-    return train([r["text"] for r in rows], [r["toxic"] > 0 for r in rows])
+    short = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(picked, "doc_id")
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(*order, "text"))  # few rows are left here
+    rows = sorted(short.withColumn("nth", nth).where(F.col("nth") <= sample).collect(), key=lambda r: (not r["toxic"], r["nth"]))
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows], windows)
 
 
 def tag(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

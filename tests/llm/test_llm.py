@@ -279,23 +279,38 @@ def test_flow_matches_all_splits():
     assert sum(cost(p, n) for p, n in used.items()) == best
 
 
-def test_mixture_meets_its_weights(spark):
+def test_mixture_meets_its_weights(spark, reference):
     rng = random.Random(9)
     rows = spark.createDataFrame([(i, words(rng, rng.randint(5, 60)), rng.choice(["en", "de"]), rng.choice(["src0", "src1"]), 100) for i in range(3000)], DOCS)
     sources = (("bulk", "source = 'src0'", 0.2), ("german", "lang = 'de'", 0.5), ("english", "lang = 'en'", 0.3))
-    got = mix.assign(rows, sources, 1.2).withColumn("t", mix.tokens(mix.F.col("text"))).groupBy("__mix_source").agg(mix.F.sum("t").alias("t")).collect()
-    total = sum(r.t for r in got)
-    share = {r[0]: r.t / total for r in got}
-    assert all(abs(share[n] - w) < 0.02 for n, _, w in sources)
-    assert mix.select_documents(rows, sources, 1.2).columns == rows.columns
+    size = {r.doc_id: len(reference.encode_ordinary(r.text)) for r in rows.collect()}
+    got = mix.mixture(rows, sources, 1.2).collect()
+    assert all(r.n_tokens == size[r.doc_id] for r in got)
+    total = sum(size[r.doc_id] for r in got)
+    assert all(abs(sum(size[r.doc_id] for r in got if r.mixed_for == n) / total - w) < 0.02 for n, _, w in sources)
+    picked = mix.select_documents(rows, sources, 1.2)
+    assert picked.columns == rows.columns and sorted(r.doc_id for r in picked.collect()) == sorted(r.doc_id for r in got)
+
+
+def test_mixture_of_supplied_documents_meets_its_weights_in_tokens(spark, reference):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = {r.doc_id: len(reference.encode_ordinary(r.text or "")) for r in table.collect()}
+    got = mix.mixture(table).collect()
+    total = sum(size[r.doc_id] for r in got)
+    share = {n: sum(size[r.doc_id] for r in got if r.mixed_for == n) / total for n, _, _ in mix.SOURCES}
+    assert abs(total / sum(size.values()) - mix.BUDGET) < 0.02 and all(abs(share[n] - w) < 0.02 for n, _, w in mix.SOURCES), share
 
 
 def test_mixing_awkward_tables(spark, awkward):
-    out = mix.select_documents(docs(spark, awkward))
-    assert out.columns == docs(spark, awkward).columns and out.count() >= 1
-    assert mix.select_documents(docs(spark, [])).count() == 0
+    rows = docs(spark, awkward)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in mix.select_documents(rows).collect())
+    again = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in mix.select_documents(rows.repartition(3)).collect())
+    assert got and got == again and mix.select_documents(rows).columns == rows.columns
+    whole = [(f"all {k}", "doc_id IS NULL OR doc_id IS NOT NULL", 0.5) for k in range(2)]
+    assert mix.mixture(rows, whole, 2.0).count() == 2 * len(awkward)  # ties, repeated and null ids: each row as often as any other
+    assert mix.select_documents(docs(spark, [])).count() == 0 and mix.mixture(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        mix.assign(docs(spark, []).withColumnRenamed("lang", "__mix_n"))
+        mix.select_documents(docs(spark, []).withColumnRenamed("lang", "__mix_n"))
 
 
 # 6 BPE, 4 token output ---------------------------------------------------------------------------
@@ -339,6 +354,25 @@ def test_bpe_awkward_tables(spark, awkward, vocabulary):
         bpe.encode(docs(spark, awkward).withColumnRenamed("lang", "token_ids"))
 
 
+def test_counts_are_those_of_the_encoding(spark, awkward, reference):
+    got = {(r.doc_id, r.text): r.n_tokens for r in bpe.count(docs(spark, awkward).withColumn("t", near.F.col("text")), "t").collect()}
+    assert got == {(i, x): len(reference.encode_ordinary(x or "")) for i, x in awkward}
+
+
+def test_token_files_hold_the_ids_of_the_encoder(spark, awkward):
+    rng = random.Random(4)
+    rows = [*awkward, *((rng.randrange(50), words(rng, 30)) for _ in range(300)), *((7, words(rng, 9)) for _ in range(100))]
+    path = fresh_path(spark, "ids")
+    frame = docs(spark, rows).withColumn("token_ids", near.F.lit(1))
+    tokens_out.write(frame, path)
+    want = sorted(((r.doc_id, r.lang, r.source, r.n_tokens, r.token_ids) for r in bpe.encode(docs(spark, rows)).collect()), key=repr)
+    assert sorted(((r.doc_id, r.lang, r.source, r.n_tokens, r.token_ids) for r in spark.read.parquet(path).collect()), key=repr) == want
+    spans = sorted((f.min, f.max) for f in spark.read.parquet(path).where("doc_id IS NOT NULL").groupBy(near.F.input_file_name()).agg(near.F.min("doc_id").alias("min"), near.F.max("doc_id").alias("max")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    tokens_out.write(docs(spark, []), path + "-none")
+    assert tokens_out.read_tokens(spark, path + "-none", 1, 2).count() == 0
+
+
 def test_token_files_have_the_layout(spark, awkward):
     path = fresh_path(spark, "layout")
     rng = random.Random(1)
@@ -402,6 +436,16 @@ def test_toxic_spans_on_held_out_documents(spark, awkward):
     assert toxicity.tag(docs(spark, rows), none).count() == 0
 
 
+def test_awkward_labels(spark):
+    rng = random.Random(16)
+    rows = [(i, words(rng, 25, 3000) + (" scoundrel" if i % 3 == 0 else "")) for i in range(450)]
+    labels = [(i, int(i % 3 == 0), "x") for i in range(300)]
+    labels += [(None, 1, "x"), (1, None, "x"), (3, 0, "x"), (3, 1, "x"), (999, 1, "x")]  # null, several, without a document
+    frame = docs(spark, rows).withColumn("toxic", near.F.lit(7)).withColumn("score", near.F.lit("clash"))
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int, text string"))
+    assert {r.doc_id for r in toxicity.tag(frame, model).collect()} == {i for i in range(450) if i % 3 == 0}
+
+
 def test_short_labelled_texts_train(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, rng.randint(3, 30), 3000) + (" scoundrel" if i % 3 == 0 else "")) for i in range(600)]
@@ -536,6 +580,82 @@ def test_secrets_of_held_out_samples_are_found_by_scan(spark):
     assert first and np.mean([i in got for i in first]) > 0.8
 
 
+def brute_secrets(text, model):
+    """Runs, candidates and scores in plain Python."""
+    out = []
+
+    def loglik(kind, s):
+        c = [secrets.CHARS.index(x) for x in s]
+        return sum(model.table[kind][a, b] for a, b in zip([len(secrets.CHARS), *c[:-1]], c, strict=True))
+
+    def score(s):
+        return max(loglik(r, s) for r in model.random) - max(loglik(o, s) for o in model.ordinary)
+
+    for run in re.finditer(r"[A-Za-z0-9_+/\-]+={0,2}", text):
+        whole = run.group()
+        if len(whole.rstrip("=")) < secrets.MIN_LENGTH:
+            continue
+        pieces = [m.span() for m in re.finditer(r"[A-Za-z0-9+]+=*", whole)]
+        if not pieces:
+            continue
+        if pieces == [(0, len(whole))]:
+            if score(whole) >= secrets.THRESHOLD:
+                out.append((run.start(), run.end()))
+            continue
+        quoted = run.start() > 0 and text[run.start() - 1] in "\"'`="
+        todo = [(0, len(pieces))]
+        while todo:
+            lo, hi = todo.pop()
+            own = [list(p) for p in pieces[lo:hi]]
+            if not own:
+                continue
+            if hi == len(pieces):
+                own[-1][1] = len(whole)
+            lead = int(quoted and lo == 0 and pieces[0][0] == 1)
+            base = own[0][0]
+            parts = [whole[base if k == 0 else own[k - 1][1] : own[k][1]] for k in range(len(own))]
+            plain = []
+            prior = len(secrets.CHARS)
+
+            def piece_loglik(kind, k):
+                c = [secrets.CHARS.index(x) for x in parts[k]]
+                first = len(secrets.CHARS) if k == 0 else secrets.CHARS.index(parts[k - 1][-1])
+                return sum(model.table[kind][a, b] for a, b in zip([first, *c[:-1]], c, strict=True))
+
+            plain = [max(piece_loglik(o, k) for o in model.ordinary) for k in range(len(own))]
+            spans = {(0, len(own) - 1), *((k, k) for k in range(len(own)))}
+            for r in model.random:
+                gain = [piece_loglik(r, k) - plain[k] for k in range(len(own))]
+                able = [(i, j) for j in range(len(own)) for i in range(j + 1) if own[j][1] - own[i][0] >= secrets.MIN_LENGTH]
+                if able:
+                    spans.add(max(able, key=lambda x: sum(gain[x[0] : x[1] + 1])))
+            able = [(i, j) for i, j in sorted(spans) if own[j][1] - own[i][0] + (lead and i == 0) >= secrets.MIN_LENGTH]
+            if not able or own[-1][1] - own[0][0] + lead < secrets.MIN_LENGTH:
+                continue
+            i, j = max(able, key=lambda x: score(whole[own[x[0]][0] : own[x[1]][1]]))
+            if score(whole[own[i][0] : own[j][1]]) < secrets.THRESHOLD:
+                continue
+            out.append((run.start() + own[i][0] - (lead if i == 0 else 0), run.start() + own[j][1]))
+            todo += [(lo, lo + i), (lo + j + 1, hi)]
+    return sorted(out)
+
+
+def test_secrets_match_plain_python(spark):
+    rng = random.Random(31)
+    model = secrets.Model(secrets.labelled_samples())
+    held = [s for s, _ in secrets.labelled_samples(n=60, seed=5)]
+    rows = []
+    for i in range(150):
+        glue = [rng.choice(["/", "-", "_", " ", '"', "=", "", "é", "//", "--"]) for _ in range(4)]
+        rows.append((i, "".join(g + (rng.choice(held) if rng.random() < 0.6 else rng.choice(secrets._WORDS)) for g in glue)))
+    rows += [(None, held[0]), (200, None), (201, ""), (202, "x" * 50_000 + " " + held[1])]
+    frame = docs(spark, rows).withColumn("start", near.F.lit("clash")).withColumn("score", near.F.lit(1))
+    got = {}
+    for r in secrets.scan(frame).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {i: f for i, x in rows if (f := brute_secrets(x or "", model))}
+
+
 # 3 URL filter ------------------------------------------------------------------------------------
 
 
@@ -558,6 +678,21 @@ def test_url_decisions(spark):
 # the pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_on_awkward_tables(spark, tmp_path, awkward):
+    import corpus_pipeline
+
+    rows = docs(spark, awkward).withColumn("node", near.F.lit(1)).withColumn("component", near.F.lit("x")).withColumn("key", near.F.lit(2)).withColumn("cell", near.F.lit(3))
+    for k, frame in enumerate((rows, rows.limit(0), rows.where("text IS NULL OR text = ''"))):
+        path = f"file://{tmp_path}/{k}"
+        frame.write.parquet(f"{path}/documents.parquet")
+        stage = spark.read.parquet(f"{path}/documents.parquet")
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            stage = f(spark, stage, path)
+            assert stage.columns == frame.columns, name
+        got = corpus_pipeline.run(spark, path).collect()
+        assert {r.doc_id for r in got} <= {i for i, x in awkward if x} and (bool(got) == (k == 0))
+
+
 def test_pipeline_matches_plain_python(spark, tmp_path, reference):
     import corpus_pipeline
 
