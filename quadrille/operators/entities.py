@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import joins
+from quadrille.operators import joins, stats
 from quadrille.operators.graph import components
 from quadrille.session import written
 
@@ -85,16 +85,38 @@ def ranked_pivot(members: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.select("node", best.alias("pivot"))
 
 
-def concurrence(quads: DataFrame, adjusted: DataFrame, key: tuple[str, str] = ("p", "o"), member: str = "s", limit: int = 38) -> DataFrame:
-    """(a, b, evidence): confidence of each shared value, 1 / (average * members); literals count as members but don't pair."""
-    rows = quads.where(F.col("p") != t.RDF_TYPE).select(*key, F.col(member).alias("x")).distinct()
-    size = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size").between(2, limit))
-    able = rows.where(~t.is_literal(F.col("x"))).join(size, list(key)).join(adjusted, "p").withColumn("confidence", 1 / (F.col("adjusted") * F.col("size"))).drop("adjusted", "size")
-    a, b = able.withColumnRenamed("x", "a"), able.select(*key, F.col("x").alias("b"))
-    return a.join(b, list(key)).where("a < b").select("a", "b", "p", "confidence", *([k for k in key if k != "p"]))
+def averages(quads: DataFrame) -> DataFrame:
+    """(way, p, adjusted, average): values of (s, p) by predicate in way "s", subjects of (o, p) in way "o"; adjusted as stats.adjusted_averages."""
+    out = None
+    for way, value in (("s", "o"), ("o", "s")):
+        found = written(stats.predicate_stats(quads, way, value), "averages")
+        one = found.join(stats.adjusted_averages(found), "p").where("p <> 'ALL'").select(F.lit(way).alias("way"), "p", "adjusted", "average")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def concurrence(quads: DataFrame, means: DataFrame, limit: int = 38) -> DataFrame:
+    """(a, b, shared, p, way, confidence, mean): pairs that share an object (way "o") or a subject (way "s") of a predicate.
+
+    The confidence of a shared value is 1 / (adjusted average * members); literals count as members but don't pair, and values of
+    more than `limit` members tell nothing. Members are paired only below that limit.
+    """
+    spots = F.array(F.struct(F.lit("s").alias("way"), F.col("s").alias("shared"), F.col("o").alias("x")), F.struct(F.lit("o").alias("way"), F.col("o").alias("shared"), F.col("s").alias("x")))
+    rows = quads.select("p", F.explode(spots).alias("e")).select("p", "e.*").distinct()
+    key = ["way", "shared", "p"]
+    size = rows.groupBy(*key).agg(F.count("*").alias("size"), F.sum((~t.is_literal(F.col("x"))).cast("int")).alias("able")).where((F.col("size") <= limit) & (F.col("able") > 1))
+    able = written(rows.where(~t.is_literal(F.col("x"))).join(size, key).join(means, ["way", "p"]).select(*key, "x", (1 / (F.col("adjusted") * F.col("size"))).alias("confidence"), F.col("average").alias("mean")), "sharing")
+    b = able.select(*key, F.col("x").alias("b"))
+    return able.withColumnRenamed("x", "a").join(b, key).where("a < b").select("a", "b", "shared", "p", "way", "confidence", "mean")
+
+
+def _either(confidence) -> Column:
+    """Noisy-or of a group's confidences."""
+    return 1 - F.exp(F.sum(F.log(F.greatest(1 - confidence, F.lit(1e-12)))))
 
 
 def aggregate_similarity(evidence: DataFrame) -> DataFrame:
-    """(a, b, score): noisy-or of the values' confidences within a predicate, then across predicates."""
-    within = evidence.groupBy("a", "b", "p").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))).alias("c"))
-    return within.groupBy("a", "b").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-12)))))).alias("score"))
+    """(a, b, score): of each shared value the greatest confidence counts; noisy-or within a predicate and way, scaled by 1 / mean, then across them."""
+    best = evidence.groupBy("a", "b", "shared").agg(F.min_by(F.struct("p", "way", "confidence", "mean"), F.struct(-F.col("confidence"), "p", "way")).alias("e")).select("a", "b", "e.*")
+    within = best.groupBy("a", "b", "p", "way").agg((_either(F.col("confidence")) / F.first("mean")).alias("c"))
+    return within.groupBy("a", "b").agg(_either(F.col("c")).alias("score"))

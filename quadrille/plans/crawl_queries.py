@@ -40,17 +40,17 @@ def cr_pldscore(spark, d):
     return stats.domain_scores(stats.status_counts(_log(spark, d))).withColumn("score", F.round("score", 9))
 
 
-_LINKS = ", ln AS (SELECT uri, count(*) AS n FROM (SELECT DISTINCT c, unnest([s, p, o]) AS uri FROM small) WHERE starts_with(uri, '<') GROUP BY uri)"
-_FRONT = f"{_LINKS}, fr AS (SELECT uri, sum(n)::BIGINT AS n, bool_or(done) AS done FROM (SELECT uri, n, FALSE AS done FROM ln UNION ALL SELECT DISTINCT c, 1, TRUE FROM small) GROUP BY uri)"
+_LINKS = ", ln AS (SELECT uri, count(*) AS n FROM (SELECT DISTINCT c, unnest([s, p, o]) AS uri FROM quads) WHERE starts_with(uri, '<') GROUP BY uri)"
+_FRONT = f"{_LINKS}, fr AS (SELECT uri, sum(n)::BIGINT AS n, bool_or(done) AS done FROM (SELECT uri, n, FALSE AS done FROM ln UNION ALL SELECT DISTINCT c, 1, TRUE FROM quads) GROUP BY uri)"
 
 
 @BOOK.add("cr_links", f"{_LINKS} SELECT uri, n FROM ln")
 def cr_links(spark, d):
-    return frontier.count_links(views(spark, d, "small")[0])
+    return frontier.count_links(views(spark, d, "quads")[0])
 
 
 def _frontier(spark, d):
-    q = views(spark, d, "small")[0]
+    q = views(spark, d, "quads")[0]
     done = q.select(F.col("c").alias("uri")).distinct().select("uri", F.lit(1).cast("long").alias("n"), F.lit(True).alias("done"))
     return frontier.merge(done, frontier.count_links(q))
 

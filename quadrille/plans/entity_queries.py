@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import conflicts, entities, rank, stats
+from quadrille.operators import conflicts, entities, rank, reason, stats
 from quadrille.operators.graph import components
 from quadrille.plans.book import SAME, TYPE, Book, pld
-from quadrille.plans.profile_queries import _ADJ
+from quadrille.plans.reason_queries import _CLOSED, _infer_sql
 from quadrille.session import written
 from quadrille.sources.quads import V, views
 
@@ -23,26 +23,31 @@ def _closure_sql(edges: str) -> str:
 _SAME_EDGES = "SELECT s AS a, o AS b FROM q_sameas"
 _IFP = f"SELECT DISTINCT m AS a, s AS b FROM (SELECT s, min(s) OVER (PARTITION BY p, o) AS m FROM q_name WHERE p = '{MBOX}') WHERE m <> s"
 _PV = _closure_sql(_SAME_EDGES)
-_CONS = f"{_PV}, cons AS MATERIALIZED (SELECT coalesce(a.\"pivot\", q.s) AS s, q.p, CASE WHEN q.p = {TYPE} THEN q.o ELSE coalesce(b.\"pivot\", q.o) END AS o, q.c, CASE WHEN a.\"pivot\" <> q.s THEN q.s END AS s_orig, CASE WHEN q.p <> {TYPE} AND b.\"pivot\" <> q.o THEN q.o END AS o_orig FROM small q LEFT JOIN pv a ON q.s = a.node LEFT JOIN pv b ON q.o = b.node)"
+_CONS = f"{_PV}, cons AS MATERIALIZED (SELECT coalesce(a.\"pivot\", q.s) AS s, q.p, CASE WHEN q.p = {TYPE} THEN q.o ELSE coalesce(b.\"pivot\", q.o) END AS o, q.c, CASE WHEN a.\"pivot\" <> q.s THEN q.s END AS s_orig, CASE WHEN q.p <> {TYPE} AND b.\"pivot\" <> q.o THEN q.o END AS o_orig FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_social) q LEFT JOIN pv a ON q.s = a.node LEFT JOIN pv b ON q.o = b.node)"
 
 
 def _pivots(spark, d):
     return entities.classes(entities.explicit(views(spark, d, "q_sameas")[0]))
 
 
+def _all(spark, d):
+    quads, social = views(spark, d, "quads", "q_social")
+    return quads.unionByName(social)
+
+
 def _consolidated(spark, d):
-    return written(entities.consolidate(views(spark, d, "small")[0], _pivots(spark, d), aliases=True), "consolidated")
+    return written(entities.consolidate(_all(spark, d), _pivots(spark, d), aliases=True), "consolidated")
 
 
-@BOOK.add("c_extract", f"SELECT s, p, o, c FROM (SELECT * FROM small UNION ALL SELECT * FROM q_sameas) WHERE p IN ({SAME}, '{MBOX}', '{NATION}') AND o <> '<mailto:3.7@example.org>'")
+@BOOK.add("c_extract", f"SELECT s, p, o, c FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_sameas) WHERE p IN ({SAME}, '{MBOX}', '{NATION}') AND o <> '<mailto:3.7@example.org>'")
 def c_extract(spark, d):
-    q, same = views(spark, d, "small", "q_sameas")
+    q, same = views(spark, d, "quads", "q_sameas")
     return q.unionByName(same).where(F.col("p").isin(t.SAME_AS, MBOX, NATION) & (F.col("o") != "<mailto:3.7@example.org>"))
 
 
-@BOOK.add("c_dispatch", f"SELECT CASE p WHEN {SAME} THEN 'sameas' WHEN '{MBOX}' THEN 'ifp' WHEN '<{V}customer>' THEN 'fp' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT * FROM small UNION ALL SELECT * FROM q_sameas) GROUP BY 1")
+@BOOK.add("c_dispatch", f"SELECT CASE p WHEN {SAME} THEN 'sameas' WHEN '{MBOX}' THEN 'ifp' WHEN '<{V}customer>' THEN 'fp' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_sameas) GROUP BY 1")
 def c_dispatch(spark, d):
-    q, same = views(spark, d, "small", "q_sameas")
+    q, same = views(spark, d, "quads", "q_sameas")
     p = F.col("p")
     kind = F.when(p == t.SAME_AS, "sameas").when(p == MBOX, "ifp").when(p == f"<{V}customer>", "fp").otherwise("other")
     return q.unionByName(same).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
@@ -92,7 +97,7 @@ def c_write_sameas(spark, d):
 for _name in ("c_apply", "c_basic"):
     @BOOK.add(_name, f"{_CONS} SELECT s, p, o, c{', s_orig, o_orig' if _name == 'c_apply' else ''} FROM cons")
     def c_apply(spark, d, aliases=_name == "c_apply"):
-        return entities.consolidate(views(spark, d, "small")[0], _pivots(spark, d), aliases=aliases)
+        return entities.consolidate(_all(spark, d), _pivots(spark, d), aliases=aliases)
 
 
 _SIZE = f", si AS (SELECT component, count(*) AS size, count(DISTINCT {pld('node')}) AS plds FROM (SELECT node, \"pivot\" AS component FROM pv) GROUP BY component)"
@@ -103,9 +108,16 @@ def agg_sameas_stats(spark, d):
     return stats.class_stats(components(entities.explicit(views(spark, d, "q_sameas")[0]), "a", "b"))
 
 
-@BOOK.add("topk_classes", f"{_PV} SELECT \"pivot\", count(*) AS size FROM pv GROUP BY \"pivot\" ORDER BY size DESC, \"pivot\" LIMIT 10")
+@BOOK.add("topk_classes", f"{_PV}{_SIZE}, " + """parts AS (SELECT * FROM (SELECT 'size' AS part, component, size, plds FROM si ORDER BY size DESC, component LIMIT 10) UNION ALL SELECT * FROM (SELECT 'plds', component, size, plds FROM si ORDER BY plds DESC, component LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'drawn', component, size, plds FROM si ORDER BY md5(component), component LIMIT 10)) SELECT part, component AS "pivot", size, plds FROM parts""")
 def topk_classes(spark, d):
-    return _pivots(spark, d).groupBy("pivot").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "pivot").limit(10)
+    """The 10 largest classes, the 10 of the most pay-level domains, and 10 drawn by hash."""
+    per = written(_pivots(spark, d).groupBy("pivot").agg(F.count("*").alias("size"), F.count_distinct(t.pay_level_domain(F.col("node"))).alias("plds")), "classes")
+    out = None
+    for part, first in (("size", F.desc("size")), ("plds", F.desc("plds")), ("drawn", F.md5("pivot"))):
+        one = per.orderBy(first, "pivot").limit(10).select(F.lit(part).alias("part"), "pivot", "size", "plds")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @BOOK.add("agg_ranked_classes", f"{_PV} SELECT \"pivot\", count(*) AS size FROM pv WHERE \"pivot\" IN (SELECT \"pivot\" FROM pv WHERE node IN (SELECT s FROM q_name WHERE c LIKE '%src3%')) GROUP BY \"pivot\"")
@@ -116,23 +128,36 @@ def agg_ranked_classes(spark, d):
     return pv.join(hit, "pivot", "left_semi").groupBy("pivot").agg(F.count("*").alias("size"))
 
 
-_SIM = f"""{_ADJ}, rw AS (SELECT DISTINCT p, o, s FROM small WHERE p <> {TYPE}), sz AS (SELECT p, o, count(*) AS size FROM rw GROUP BY p, o HAVING count(*) BETWEEN 2 AND 38),
-  cf AS (SELECT rw.p, rw.o, rw.s, 1 / (adj.adjusted * sz.size) AS k FROM rw JOIN sz USING (p, o) JOIN adj USING (p)), ev AS (SELECT a.s AS a, b.s AS b, a.p, a.o, a.k AS confidence FROM cf a JOIN cf b ON a.p = b.p AND a.o = b.o AND a.s < b.s),
-  wi AS (SELECT a, b, p, 1 - exp(sum(ln(greatest(1 - confidence, 1e-12)))) AS c FROM ev GROUP BY a, b, p), sc AS (SELECT a, b, round(1 - exp(sum(ln(greatest(1 - c, 1e-12)))), 9) AS score FROM wi GROUP BY a, b)"""
+def _averages_sql() -> str:
+    out = []
+    for way, value in (("s", "o"), ("o", "s")):
+        out.append(f"ga_{way} AS (SELECT p, count(*) AS occ, sum(n)::DOUBLE AS tri FROM (SELECT {way}, p, count(*) AS n FROM (SELECT DISTINCT {way}, p, {value} FROM quads) GROUP BY {way}, p) GROUP BY p)")
+        out.append(f"gt_{way} AS (SELECT sum(occ) AS o, sum(tri) AS t, count(*) + 1 AS n FROM ga_{way})")
+    rows = " UNION ALL ".join(f"SELECT '{w}' AS way, p, (tri + t / n) / (occ + o / n) AS adjusted, tri / occ AS average FROM ga_{w}, gt_{w}" for w in "so")
+    return ", " + ", ".join(out) + f", me AS MATERIALIZED ({rows})"
+
+
+_SIM = f"""{_averages_sql()}, rw AS MATERIALIZED (SELECT DISTINCT 's' AS way, s AS shared, p, o AS x FROM quads UNION ALL SELECT DISTINCT 'o', o, p, s FROM quads),
+  sz AS (SELECT way, shared, p, count(*) AS size FROM rw GROUP BY way, shared, p HAVING count(*) <= 38 AND count(*) FILTER (NOT starts_with(x, '"')) > 1),
+  cf AS MATERIALIZED (SELECT way, shared, p, x, 1 / (adjusted * size) AS k, average FROM rw JOIN sz USING (way, shared, p) JOIN me USING (way, p) WHERE NOT starts_with(x, '"')),
+  ev AS MATERIALIZED (SELECT a.x AS a, b.x AS b, shared, p, way, a.k AS confidence, a.average AS mean FROM cf a JOIN cf b USING (way, shared, p) WHERE a.x < b.x),
+  be AS (SELECT DISTINCT ON (a, b, shared) a, b, shared, p, way, confidence, mean FROM ev ORDER BY a, b, shared, confidence DESC, p, way),
+  wi AS (SELECT a, b, p, way, (1 - exp(sum(ln(greatest(1 - confidence, 1e-12))))) / any_value(mean) AS c FROM be GROUP BY a, b, p, way),
+  sc AS MATERIALIZED (SELECT a, b, round(1 - exp(sum(ln(greatest(1 - c, 1e-12)))), 6) AS score FROM wi GROUP BY a, b)"""
 
 
 def _evidence(spark, d):
-    small, quads = views(spark, d, "small", "quads")
-    return entities.concurrence(small, stats.adjusted_averages(stats.predicate_stats(quads)))
+    quads = views(spark, d, "quads")[0]
+    return entities.concurrence(quads, entities.averages(quads))
 
 
 def _scores(spark, d):
-    return entities.aggregate_similarity(_evidence(spark, d)).withColumn("score", F.round("score", 9))
+    return entities.aggregate_similarity(_evidence(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@BOOK.add("agg_simclass", f"{_SIM} SELECT a, b, p, o, round(confidence, 9) AS confidence FROM ev")
+@BOOK.add("agg_simclass", f"{_SIM} SELECT a, b, shared, p, way, round(confidence, 6) AS confidence FROM ev")
 def agg_simclass(spark, d):
-    return _evidence(spark, d).withColumn("confidence", F.round("confidence", 9)).select("a", "b", "p", "o", "confidence")
+    return _evidence(spark, d).withColumn("confidence", F.round("confidence", 6)).drop("mean")
 
 
 for _name in ("agg_concur", "c_sim"):
@@ -141,9 +166,12 @@ for _name in ("agg_concur", "c_sim"):
         return _scores(spark, d)
 
 
-@BOOK.add("topk_conf", f"{_SIM} SELECT a, b, score FROM sc ORDER BY score DESC, a, b LIMIT 10")
+@BOOK.add("topk_conf", f"{_SIM} SELECT * FROM (SELECT 'top' AS part, a, b, score FROM sc ORDER BY score DESC, a, b LIMIT 10) UNION ALL SELECT * FROM (SELECT 'drawn' AS part, a, b, score FROM sc ORDER BY md5(concat(a, ' ', b)), a, b LIMIT 100)")
 def topk_conf(spark, d):
-    return _scores(spark, d).orderBy(F.desc("score"), "a", "b").limit(10)
+    """The 10 pairs of the highest scores, and 100 drawn by hash."""
+    scores = written(_scores(spark, d), "scores")
+    top = scores.orderBy(F.desc("score"), "a", "b").limit(10).select(F.lit("top").alias("part"), "a", "b", "score")
+    return top.union(scores.orderBy(F.md5(F.concat_ws(" ", "a", "b")), "a", "b").limit(100).select(F.lit("drawn"), "a", "b", "score"))
 
 
 @BOOK.add("agg_sim_stats", f"{_SIM} SELECT CASE WHEN {pld('a')} = 'no_pld' OR {pld('b')} = 'no_pld' THEN 'none' WHEN {pld('a')} = {pld('b')} THEN 'intra' ELSE 'inter' END AS kind, count(*) AS pairs, round(sum(score), 4) AS score_sum FROM sc GROUP BY 1")
@@ -151,27 +179,71 @@ def agg_sim_stats(spark, d):
     return stats.similarity_stats(_scores(spark, d)).withColumn("score_sum", F.round("score_sum", 4))
 
 
-@BOOK.add("agg_sim_trace", f"{_SIM}, top AS (SELECT a, b FROM sc ORDER BY score DESC, a, b LIMIT 10) SELECT a, b, p, o, round(confidence, 9) AS confidence FROM ev SEMI JOIN top USING (a, b)")
+@BOOK.add("agg_sim_trace", f"{_SIM}, top AS (SELECT a, b FROM sc ORDER BY score DESC, a, b LIMIT 10) SELECT a, b, shared, p, way, round(confidence, 6) AS confidence FROM ev SEMI JOIN top USING (a, b)")
 def agg_sim_trace(spark, d):
-    ev = _evidence(spark, d)
-    top = entities.aggregate_similarity(ev).orderBy(F.desc(F.round("score", 9)), "a", "b").limit(10).select("a", "b")
-    return ev.join(top, ["a", "b"], "left_semi").select("a", "b", "p", "o", F.round("confidence", 9).alias("confidence"))
+    ev = written(_evidence(spark, d), "evidence")
+    top = entities.aggregate_similarity(ev).orderBy(F.desc(F.round("score", 6)), "a", "b").limit(10).select("a", "b")
+    return ev.join(top, ["a", "b"], "left_semi").select("a", "b", "shared", "p", "way", F.round("confidence", 6).alias("confidence"))
 
 
 # inconsistencies appear once entities are merged: two segments or two names for one customer
 _SEG = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _PAIRS = [(f"<{V}{a}>", f"<{V}{b}>") for i, a in enumerate(_SEG) for b in _SEG[i + 1 :]]
-_DW = ", dw(c1, c2) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS) + ")"
 _LEX = "lower(regexp_replace(regexp_extract({x}, '(?s)^\"(.*)\"', 1), '\\s+', '', 'g'))"
-_VIO = f"""{_CONS}{_DW}, ty AS (SELECT DISTINCT s, o FROM cons WHERE p = {TYPE}), nm AS (SELECT DISTINCT s, p, o, {_LEX.format(x='o')} AS k FROM cons WHERE p = '{NAME}' AND starts_with(o, '"')),
-  vi AS (SELECT 'cax-dw' AS rule, a.s, concat_ws(' ', a.s, {TYPE}, c1) AS first, concat_ws(' ', a.s, {TYPE}, c2) AS second FROM ty a JOIN dw ON a.o = c1 JOIN ty b ON b.s = a.s AND b.o = c2
-  UNION ALL SELECT 'dt-fp', a.s, concat_ws(' ', a.s, a.p, a.o), concat_ws(' ', b.s, b.p, b.o) FROM nm a JOIN nm b ON a.s = b.s AND a.p = b.p WHERE a.o < b.o AND a.k <> b.k)"""
+_IRREFLEXIVE, _ASYMMETRIC = [f"<{V}follows>"], [f"<{V}parentOf>", f"<{V}customer>"]
+_DISJOINT_PROPERTIES, _ALL_PROPERTIES = [(f"<{V}dislikes>", f"<{V}likes>")], [f"<{V}dislikes>", f"<{V}ignores>", f"<{V}likes>"]
+_COMPLEMENTS, _ALL_CLASSES = [(f"<{V}Active>", f"<{V}Inactive>")], [f"<{V}Company>", f"<{V}Person>", f"<{V}Robot>"]
+_NONE_OF = [(f"<{V}Hermit>", f"<{V}phone>")]
+_NONE_IN, _NONE_AT_ALL = [(f"<{V}Loner>", f"<{V}friend>", f"<{V}Vip>")], [(f"<{V}Solo>", f"<{V}mate>", None)]
+
+
+def _list(names) -> str:
+    return ", ".join(f"'{x}'" for x in names)
+
+
+def _classes_sql(rule: str, pairs) -> str:
+    return f"SELECT '{rule}' AS rule, a.s, a.k AS first, b.k AS second FROM tr a JOIN (VALUES {', '.join(f'({_list(p)})' for p in pairs)}) v(c1, c2) ON a.o = c1 JOIN tr b ON b.s = a.s AND b.o = c2 WHERE a.p = {TYPE} AND b.p = {TYPE}"
+
+
+def _properties_sql(rule: str, pairs) -> str:
+    return f"SELECT '{rule}', a.s, a.k, b.k FROM tr a JOIN (VALUES {', '.join(f'({_list(p)})' for p in pairs)}) v(p1, p2) ON a.p = p1 JOIN tr b ON b.s = a.s AND b.o = a.o AND b.p = p2"
+
+
+_VIO = f"""{_CONS}, tr AS MATERIALIZED (SELECT DISTINCT s, p, o, concat_ws(' ', s, p, o) AS k FROM cons), nm AS (SELECT s, p, o, k AS st, {_LEX.format(x='o')} AS k FROM tr WHERE p = '{NAME}' AND starts_with(o, '"')),
+  vi AS MATERIALIZED ({_classes_sql("cax-dw", _PAIRS)} UNION ALL {_classes_sql("cls-com", _COMPLEMENTS)} UNION ALL {_classes_sql("cax-adc", conflicts.all_disjoint(_ALL_CLASSES))}
+  UNION ALL {_properties_sql("prp-pdw", _DISJOINT_PROPERTIES)} UNION ALL {_properties_sql("prp-adp", conflicts.all_disjoint(_ALL_PROPERTIES))}
+  UNION ALL SELECT 'dt-fp', a.s, a.st, b.st FROM nm a JOIN nm b ON a.s = b.s AND a.p = b.p WHERE a.o < b.o AND a.k <> b.k
+  UNION ALL SELECT CASE WHEN p LIKE '%differentFrom>' THEN 'eq-diff1' ELSE 'prp-irp' END, s, k, k FROM tr WHERE s = o AND p IN ({_list([*_IRREFLEXIVE, "<http://www.w3.org/2002/07/owl#differentFrom>"])})
+  UNION ALL SELECT 'prp-asyp', a.s, a.k, b.k FROM tr a JOIN tr b ON a.s = b.o AND a.o = b.s AND a.p = b.p WHERE a.p IN ({_list(_ASYMMETRIC)}) AND a.s <= a.o
+  UNION ALL SELECT 'cls-maxc1', a.s, a.k, b.k FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = {TYPE} AND a.o = '{_NONE_OF[0][0]}' AND b.p = '{_NONE_OF[0][1]}'
+  UNION ALL SELECT 'cls-maxqc1', a.s, a.k, b.k FROM tr a JOIN tr b ON a.s = b.s JOIN tr c ON c.s = b.o WHERE a.p = {TYPE} AND a.o = '{_NONE_IN[0][0]}' AND b.p = '{_NONE_IN[0][1]}' AND c.p = {TYPE} AND c.o = '{_NONE_IN[0][2]}'
+  UNION ALL SELECT 'cls-maxqc2', a.s, a.k, b.k FROM tr a JOIN tr b ON a.s = b.s WHERE a.p = {TYPE} AND a.o = '{_NONE_AT_ALL[0][0]}' AND b.p = '{_NONE_AT_ALL[0][1]}')"""
 _RK = ", rc AS (SELECT concat_ws(' ', s, p, o) AS k, max(coalesce(rank, 0.0)) AS rank FROM cons LEFT JOIN ranks r ON cons.c = r.node GROUP BY 1)"
 
 
 def _violations(spark, d, cons):
-    pairs = spark.createDataFrame(_PAIRS, "c1 string, c2 string")
-    return conflicts.disjoint_classes(cons, pairs).unionByName(conflicts.differing_values(cons, [NAME])).unionByName(conflicts.asymmetric(cons, [f"<{V}customer>"])).unionByName(conflicts.irreflexive(cons, [f"<{V}seeAlso>"]))
+    def table(rows, names):
+        return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split())))
+
+    classes, properties = "c1 c2", "p1 p2"
+    found = [
+        conflicts.disjoint_classes(cons, table(_PAIRS, classes)),
+        conflicts.disjoint_classes(cons, table(_COMPLEMENTS, classes), "cls-com"),
+        conflicts.disjoint_classes(cons, table(conflicts.all_disjoint(_ALL_CLASSES), classes), "cax-adc"),
+        conflicts.disjoint_properties(cons, table(_DISJOINT_PROPERTIES, properties)),
+        conflicts.disjoint_properties(cons, table(conflicts.all_disjoint(_ALL_PROPERTIES), properties), "prp-adp"),
+        conflicts.differing_values(cons, [NAME]),
+        conflicts.irreflexive(cons, _IRREFLEXIVE),
+        conflicts.different_from_self(cons),
+        conflicts.asymmetric(cons, _ASYMMETRIC),
+        conflicts.max_cardinality_zero(cons, table(_NONE_OF, "cls p")),
+        conflicts.max_qualified_zero(cons, table(_NONE_IN, "cls p on")),
+        conflicts.max_qualified_zero(cons, table(_NONE_AT_ALL, "cls p on"), "cls-maxqc2"),
+    ]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return written(out, "violations")
 
 
 def _flat(rows):
@@ -232,9 +304,9 @@ def _repaired(spark, d):
     cons = _consolidated(spark, d)
     apart = written(conflicts.incompatible(_violations(spark, d, cons), conflicts.alias_evidence(cons)), "apart").withColumnRenamed("s", "pivot")
     members = written(_pivots(spark, d), "members")
-    x, y = members.select("pivot", F.col("node").alias("a")), members.select("pivot", F.col("node").alias("b"))
-    shared = views(spark, d, "q_sameas")[0].select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), F.lit(1.0).alias("shared"))
-    evidence = x.join(y, "pivot").where("a < b").join(shared, ["a", "b"], "left").select("pivot", "a", "b", F.coalesce("shared", F.lit(0.0)).alias("shared"), F.lit(0.0).alias("score"))
+    shared = views(spark, d, "q_sameas")[0].select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).where("a <> b").distinct()
+    # from the pairs that have evidence to the classes, never all pairs of a class
+    evidence = shared.join(members.select("pivot", F.col("node").alias("a")), "a").select("pivot", "a", "b", F.lit(1.0).alias("shared"), F.lit(0.0).alias("score"))
     return members, written(conflicts.repartition_classes(members, apart, evidence), "repaired")
 
 
@@ -253,16 +325,18 @@ def i_rewrite(spark, d):
     members, fixed = _repaired(spark, d)
     new = fixed.withColumnRenamed("pivot", "fixed")
     pivots = members.join(new, "node", "left").select("node", F.coalesce("fixed", "pivot").alias("pivot"))
-    return entities.consolidate(views(spark, d, "small")[0], pivots, aliases=True)
+    return entities.consolidate(_all(spark, d), pivots, aliases=True)
 
 
 _DELTA = f"{_VIO}{_RK}, de AS (SELECT DISTINCT CASE WHEN ra < rb THEN first WHEN rb < ra THEN second ELSE greatest(first, second) END AS k FROM (SELECT first, second, coalesce(a.rank, 0.0) AS ra, coalesce(b.rank, 0.0) AS rb FROM vi LEFT JOIN rc a ON first = a.k LEFT JOIN rc b ON second = b.k))"
 
 
-@BOOK.add("i_repair_delta", f"{_DELTA} SELECT rc.k AS statement, rank FROM rc WHERE k NOT IN (SELECT k FROM de)")
+@BOOK.add("i_repair_delta", f"{_DELTA}{_CLOSED}, rq AS (SELECT s, p, o, k AS k0, rank FROM tr JOIN rc USING (k)), iv AS ({_infer_sql('cl', ', rank, k0', 'rq')}) SELECT statement, max(rank) AS rank, min(origin) AS origin FROM (SELECT k AS statement, rank, 'asserted' AS origin FROM rc UNION ALL SELECT concat_ws(' ', s, p, o), rank, 'inferred' FROM iv WHERE k0 NOT IN (SELECT k FROM de)) WHERE statement NOT IN (SELECT k FROM de) GROUP BY statement")
 def i_repair_delta(spark, d):
+    """What is left when the weaker side of every violation goes: asserted statements, and inferences from those that are left."""
     cons = _consolidated(spark, d)
     ranked = written(_triple_ranks(spark, d, cons), "triples")
-    gone = conflicts.weakest(_violations(spark, d, cons), ranked)
-    none = ranked.limit(0).select("s", "p", "o", "rank", F.col("s").alias("s0"), F.col("p").alias("p0"), F.col("o").alias("o0"))
-    return conflicts.repair(ranked, none, gone).select(F.concat_ws(" ", "s", "p", "o").alias("statement"), "rank")
+    gone = written(conflicts.weakest(_violations(spark, d, cons), ranked), "gone")
+    premises = ranked.select("s", "p", "o", "rank", F.col("s").alias("s0"), F.col("p").alias("p0"), F.col("o").alias("o0"))
+    inferred = reason.infer(premises, reason.templates(views(spark, d, "tbox")[0]), ("rank", "s0", "p0", "o0"))
+    return conflicts.repair(ranked, inferred, gone).select(F.concat_ws(" ", "s", "p", "o").alias("statement"), "rank", "origin")

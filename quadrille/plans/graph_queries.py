@@ -11,14 +11,14 @@ from quadrille.sources.quads import views
 
 BOOK = Book()
 
-_LINKS = f""", spots AS (SELECT {strip('c')} AS src, s AS x FROM small UNION ALL SELECT {strip('c')}, o FROM small WHERE p <> {TYPE}),
+_LINKS = f""", spots AS (SELECT {strip('c')} AS src, s AS x FROM quads UNION ALL SELECT {strip('c')}, o FROM quads WHERE p <> {TYPE}),
 links AS (SELECT DISTINCT src, {strip('x')} AS dst FROM spots WHERE starts_with(x, '<') AND src <> {strip('x')})"""
 _GRAPH = f"""{_LINKS}, inner_links AS (SELECT DISTINCT l.src, coalesce(r.dst, l.dst) AS dst FROM links l LEFT JOIN redirects r ON l.dst = r.src),
-graph AS (SELECT src, dst FROM inner_links WHERE dst IN (SELECT c FROM small))"""
+graph AS (SELECT src, dst FROM inner_links WHERE dst IN (SELECT c FROM quads))"""
 
 
 def _graph(spark, d):
-    q, r = views(spark, d, "small", "redirects")
+    q, r = views(spark, d, "quads", "redirects")
     return joins.within(joins.redirect(rank.extract_links(q), r), q.select("c"))
 
 
@@ -31,12 +31,12 @@ def _page_rank_sql(graph: str, nodes: str) -> str:
 
 @BOOK.add("g_extract", f"{_LINKS} SELECT src, dst FROM links")
 def g_extract(spark, d):
-    return rank.extract_links(views(spark, d, "small")[0])
+    return rank.extract_links(views(spark, d, "quads")[0])
 
 
-@BOOK.add("g_extract_schema", f", spots AS (SELECT {strip('c')} AS src, unnest([s, p, o]) AS x FROM small) SELECT DISTINCT src, {strip('x')} AS dst FROM spots WHERE starts_with(x, '<') AND src <> {strip('x')}")
+@BOOK.add("g_extract_schema", f", spots AS (SELECT {strip('c')} AS src, unnest([s, p, o]) AS x FROM quads) SELECT DISTINCT src, {strip('x')} AS dst FROM spots WHERE starts_with(x, '<') AND src <> {strip('x')}")
 def g_extract_schema(spark, d):
-    return rank.extract_links(views(spark, d, "small")[0], schema_too=True)
+    return rank.extract_links(views(spark, d, "quads")[0], schema_too=True)
 
 
 @BOOK.add("g_contexts", "SELECT DISTINCT c FROM quads")
@@ -46,13 +46,13 @@ def g_contexts(spark, d):
 
 @BOOK.add("join_redirect", f"{_GRAPH} SELECT src, dst FROM inner_links")
 def join_redirect(spark, d):
-    q, r = views(spark, d, "small", "redirects")
+    q, r = views(spark, d, "quads", "redirects")
     return joins.redirect(rank.extract_links(q), r)
 
 
-@BOOK.add("join_semi_ctx", f"{_LINKS} SELECT src, dst FROM links WHERE dst IN (SELECT c FROM small)")
+@BOOK.add("join_semi_ctx", f"{_LINKS} SELECT src, dst FROM links WHERE dst IN (SELECT c FROM quads)")
 def join_semi_ctx(spark, d):
-    q = views(spark, d, "small")[0]
+    q = views(spark, d, "quads")[0]
     return joins.within(rank.extract_links(q), q.select("c"))
 
 
@@ -68,9 +68,9 @@ def g_rewrite(spark, d):
     return g.withColumn("way", F.lit("out")).unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("in").alias("way")))
 
 
-@BOOK.add("g_pagerank", _GRAPH + _page_rank_sql("graph", "SELECT DISTINCT c AS node FROM small"))
+@BOOK.add("g_pagerank", _GRAPH + _page_rank_sql("graph", "SELECT DISTINCT c AS node FROM quads"))
 def g_pagerank(spark, d):
-    nodes = views(spark, d, "small")[0].select(F.col("c").alias("node"))
+    nodes = views(spark, d, "quads")[0].select(F.col("c").alias("node"))
     return rank.page_rank(_graph(spark, d), nodes).select("node", F.round("rank", 9).alias("rank"))
 
 
@@ -79,13 +79,13 @@ _DOMAINS = f"{_LINKS}, dl AS (SELECT DISTINCT {pld('src')} AS src, {pld('dst')}
 
 @BOOK.add("g_pagerank_na", f"{_DOMAINS}, dd AS (SELECT src, dst FROM dl WHERE src <> dst)" + _page_rank_sql("dd", "SELECT src AS node FROM dd UNION SELECT dst FROM dd"))
 def g_pagerank_na(spark, d):
-    links = rank.domain_links(views(spark, d, "small")[0])
+    links = rank.domain_links(views(spark, d, "quads")[0])
     return rank.page_rank(links, links.select(F.col("src").alias("node")).union(links.select("dst"))).select("node", F.round("rank", 9).alias("rank"))
 
 
-@BOOK.add("g_idrank", ", m AS (SELECT DISTINCT s, c FROM small) SELECT s AS node, round(sum(coalesce(rank, 0.0)), 9) AS rank FROM m LEFT JOIN ranks r ON m.c = r.node GROUP BY s")
+@BOOK.add("g_idrank", ", m AS (SELECT DISTINCT s, c FROM quads) SELECT s AS node, round(sum(coalesce(rank, 0.0)), 9) AS rank FROM m LEFT JOIN ranks r ON m.c = r.node GROUP BY s")
 def g_idrank(spark, d):
-    q, r = views(spark, d, "small", "ranks")
+    q, r = views(spark, d, "quads", "ranks")
     return rank.identifier_ranks(q, r).select("node", F.round("rank", 9).alias("rank"))
 
 
@@ -97,9 +97,9 @@ def agg_rank_sum(spark, d):
     return rank.sum_ranks(views(spark, d, "ranked")[0]).withColumn("rank", F.round("rank", 6))
 
 
-@BOOK.add("g_rank_triples", ", j AS (SELECT q.*, coalesce(r.rank, 0.0) AS rank FROM small q LEFT JOIN ranks r ON q.c = r.node) " + _SUM.format("j"))
+@BOOK.add("g_rank_triples", ", j AS (SELECT q.*, coalesce(r.rank, 0.0) AS rank FROM quads q LEFT JOIN ranks r ON q.c = r.node) " + _SUM.format("j"))
 def g_rank_triples(spark, d):
-    q, r = views(spark, d, "small", "ranks")
+    q, r = views(spark, d, "quads", "ranks")
     return rank.sum_ranks(joins.rank_by(q, r)).withColumn("rank", F.round("rank", 6))
 
 

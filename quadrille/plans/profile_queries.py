@@ -36,10 +36,10 @@ def agg_histogram(spark, d):
     return stats.histogram(views(spark, d, "quads")[0], "s")
 
 
-@BOOK.add("agg_econ_stats", f""", r AS (SELECT s AS term, 0 AS side, s, p, o, c FROM small UNION ALL SELECT o, 1, s, p, o, c FROM small WHERE p <> {TYPE} AND NOT starts_with(o, '"')), z AS (SELECT *, {pld('c')} AS pld, {pld('term')} AS own FROM r)
+@BOOK.add("agg_econ_stats", f""", r AS (SELECT s AS term, 0 AS side, s, p, o, c FROM quads UNION ALL SELECT o, 1, s, p, o, c FROM quads WHERE p <> {TYPE} AND NOT starts_with(o, '"')), z AS (SELECT *, {pld('c')} AS pld, {pld('term')} AS own FROM r)
   SELECT term, count(DISTINCT CASE WHEN side = 0 THEN concat(s, ' ', p, ' ', o) END) AS as_subject, count(DISTINCT CASE WHEN side = 1 THEN concat(s, ' ', p, ' ', o) END) AS as_object, count(DISTINCT c) AS documents, count(DISTINCT pld) AS plds, count(DISTINCT CASE WHEN pld <> own THEN pld END) AS external_plds FROM z GROUP BY term""")
 def agg_econ_stats(spark, d):
-    return stats.term_stats(views(spark, d, "small")[0])
+    return stats.term_stats(views(spark, d, "quads")[0])
 
 
 @BOOK.add("agg_hobo_stats", f", z AS (SELECT *, {pld('c')} AS pld FROM quads) SELECT coalesce(pld, 'ALL_PLDS') AS pld, count(*) AS quads, count(DISTINCT s) AS subjects, count(DISTINCT CASE WHEN starts_with(s, '_:') THEN s END) AS blank_subjects, count(DISTINCT c) AS documents, count(DISTINCT p) AS predicates FROM z GROUP BY ROLLUP (pld)")
@@ -75,17 +75,17 @@ def agg_cspo_stats(spark, d):
     return stats.document_profile(views(spark, d, "quads")[0])
 
 
-@BOOK.add("agg_classpred", f""", k AS (SELECT c, 'class' AS kind, o AS name FROM small WHERE p = {TYPE} UNION ALL SELECT c, 'predicate', p FROM small UNION ALL SELECT c, 'datatype', {datatype('o')} FROM small WHERE starts_with(o, '"')),
+@BOOK.add("agg_classpred", f""", k AS (SELECT c, 'class' AS kind, o AS name FROM quads WHERE p = {TYPE} UNION ALL SELECT c, 'predicate', p FROM quads UNION ALL SELECT c, 'datatype', {datatype('o')} FROM quads WHERE starts_with(o, '"')),
   g AS (SELECT kind, name, c, count(*) AS n FROM k GROUP BY ALL) SELECT kind, name, sum(n)::BIGINT AS n, count(*) AS documents, count(DISTINCT {pld('c')}) AS plds, round(sum(coalesce(rank, 1e-7)), 4) AS rank_sum, max(coalesce(rank, 1e-7)) AS rank_max FROM g LEFT JOIN ranks r ON g.c = r.node GROUP BY kind, name""")
 def agg_classpred(spark, d):
-    q, r = views(spark, d, "small", "ranks")
+    q, r = views(spark, d, "quads", "ranks")
     return stats.ranked_vocabulary(q, r).withColumn("rank_sum", F.round("rank_sum", 4))
 
 
-@BOOK.add("agg_lang", f"""SELECT 'lang' AS measure, {lang('o')} AS a, '' AS b, count(*) AS n FROM small WHERE starts_with(o, '"') GROUP BY 2 {''.join(f"UNION ALL SELECT 'tld_{x}', {tld(x)}, '', count(*) FROM small GROUP BY 2 " for x in 'spoc')}
-  UNION ALL SELECT 'tld_type', {tld('o')}, '', count(*) FROM small WHERE p = {TYPE} GROUP BY 2 UNION ALL SELECT 'lang_tld', {lang('o')}, {tld('c')}, count(*) FROM small WHERE starts_with(o, '"') GROUP BY 2, 3""")
+@BOOK.add("agg_lang", f"""SELECT 'lang' AS measure, {lang('o')} AS a, '' AS b, count(*) AS n FROM quads WHERE starts_with(o, '"') GROUP BY 2 {''.join(f"UNION ALL SELECT 'tld_{x}', {tld(x)}, '', count(*) FROM quads GROUP BY 2 " for x in 'spoc')}
+  UNION ALL SELECT 'tld_type', {tld('o')}, '', count(*) FROM quads WHERE p = {TYPE} GROUP BY 2 UNION ALL SELECT 'lang_tld', {lang('o')}, {tld('c')}, count(*) FROM quads WHERE starts_with(o, '"') GROUP BY 2, 3""")
 def agg_lang(spark, d):
-    return stats.language_stats(views(spark, d, "small")[0])
+    return stats.language_stats(views(spark, d, "quads")[0])
 
 
 @BOOK.add("agg_dupes", ", t AS (SELECT s, p, o, count(DISTINCT CASE WHEN NOT starts_with(c, '<urn:rule:') THEN c END) AS asserted, count(DISTINCT CASE WHEN starts_with(c, '<urn:rule:') THEN c END) AS inferred FROM (SELECT * FROM q_orders UNION ALL SELECT * FROM q_inferred) GROUP BY s, p, o) SELECT asserted, inferred, count(*) AS triples FROM t GROUP BY ALL")

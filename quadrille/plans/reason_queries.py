@@ -14,13 +14,13 @@ _EDGES = ", ed AS (" + " UNION ALL ".join([*(f"SELECT '{k1}' AS k1, {c1} AS n1,
 _CLOSED = f"{_EDGES}, cl(k1, n1, k2, n2, turn) AS (SELECT k1, n1, k2, n2, turn FROM ed UNION SELECT cl.k1, cl.n1, ed.k2, ed.n2, (cl.turn + ed.turn) % 2 FROM cl JOIN ed ON cl.k2 = ed.k1 AND cl.n2 = ed.n1)"
 
 
-def _infer_sql(closed: str, extra: str = "", source: str = "small") -> str:
+def _infer_sql(closed: str, extra: str = "", source: str = "quads") -> str:
     return f"""SELECT DISTINCT * FROM (SELECT CASE WHEN turn = 0 THEN s ELSE o END AS s, CASE WHEN k2 = 't' THEN {TYPE} ELSE n2 END AS p, CASE WHEN k2 = 't' THEN n2 WHEN turn = 0 THEN o ELSE s END AS o{extra}
   FROM {source} q JOIN {closed} e ON e.k1 = CASE WHEN q.p = {TYPE} THEN 't' ELSE 'p' END AND e.n1 = CASE WHEN q.p = {TYPE} THEN q.o ELSE q.p END) WHERE NOT starts_with(s, '"')"""
 
 
 def _data(spark, d):
-    return views(spark, d, "small", "tbox")
+    return views(spark, d, "quads", "tbox")
 
 
 @BOOK.add("r_tbox", "SELECT s, p, o, c FROM tbox")
@@ -54,7 +54,7 @@ for _name in ("r_abox", "r_local"):
 
 
 @BOOK.add("r_rules", _EDGES + " " + " UNION ALL ".join(f"SELECT '{rule}' AS rule, s, p, o FROM ({_infer_sql(f'''(SELECT * FROM ed WHERE rule = '{rule}')''')})" for rule in [*reason.EDGES, "prp-symp"])
-  + f" UNION ALL SELECT DISTINCT 'cls-hv2', s, {TYPE}, '<{V}Finnish>' FROM small WHERE p = '<{V}nation>' AND starts_with(o, '\"7\"') UNION ALL SELECT DISTINCT 'cls-hv1', s, '<{V}status>', '\"done\"' FROM small WHERE p = {TYPE} AND o = '<{V}OrderF>' UNION ALL SELECT DISTINCT 'cls-svf2', s, {TYPE}, '<{V}Mailer>' FROM small WHERE p = '<{V}mbox>'")
+  + f" UNION ALL SELECT DISTINCT 'cls-hv2', s, {TYPE}, '<{V}Finnish>' FROM quads WHERE p = '<{V}nation>' AND starts_with(o, '\"7\"') UNION ALL SELECT DISTINCT 'cls-hv1', s, '<{V}status>', '\"done\"' FROM quads WHERE p = {TYPE} AND o = '<{V}OrderF>' UNION ALL SELECT DISTINCT 'cls-svf2', s, {TYPE}, '<{V}Mailer>' FROM quads WHERE p = '<{V}mbox>'")
 def r_rules(spark, d):
     """Every rule for itself, applied once."""
     small, tbox = _data(spark, d)
@@ -71,7 +71,13 @@ def r_rules(spark, d):
     return out
 
 
-@BOOK.add("r_annot", f"{_CLOSED}, iv AS ({_infer_sql('cl', ', rank', 'ranked')}) SELECT s, p, o, max(rank) AS rank FROM (SELECT s, p, o, rank FROM ranked UNION ALL SELECT s, p, o, least(rank, 0.5) FROM iv) GROUP BY s, p, o")
+_TBOX_RANK = "(1 + length(concat(s, o)) % 6) / 10.0E0"  # of a schema statement
+_RANKED_EDGES = _EDGES.replace(", ed AS (", ", tr_ AS (SELECT *, " + _TBOX_RANK + " AS rank FROM tbox), ed AS (").replace(" AS rule FROM tbox", " AS rule, rank FROM tr_").replace("'prp-symp' FROM tbox", "'prp-symp', rank FROM tr_")
+_RANKED_CLOSED = f"{_RANKED_EDGES}, cx(k1, n1, k2, n2, turn, \"by\") AS (SELECT k1, n1, k2, n2, turn, rank FROM ed UNION SELECT cx.k1, cx.n1, ed.k2, ed.n2, (cx.turn + ed.turn) % 2, least(cx.by, ed.rank) FROM cx JOIN ed ON cx.k2 = ed.k1 AND cx.n2 = ed.n1), cl AS (SELECT k1, n1, k2, n2, turn, max(\"by\") AS \"by\" FROM cx GROUP BY ALL)"
+
+
+@BOOK.add("r_annot", f"{_RANKED_CLOSED}, iv AS ({_infer_sql('cl', ', rank, e.by', 'ranked')}) SELECT s, p, o, max(rank) AS rank FROM (SELECT s, p, o, rank FROM ranked UNION ALL SELECT s, p, o, least(rank, \"by\", 0.5) FROM iv) GROUP BY s, p, o")
 def r_annot(spark, d):
+    """Inferences ranked by their statement, the weakest schema statement of the best way, and the rule."""
     ranked, tbox = views(spark, d, "ranked", "tbox")
-    return reason.infer_ranked(ranked, reason.templates(tbox), 0.5)
+    return reason.infer_ranked(ranked, reason.templates(tbox.withColumn("rank", F.expr(_TBOX_RANK)), rank=True), 0.5)

@@ -19,16 +19,16 @@ HUB = "<http://o1.example.org/order/1>"
 
 def _round_trip(spark, d):
     path = fresh_path(spark, "nquads")
-    src.write_nquads(views(spark, d, "small")[0], path)
+    src.write_nquads(views(spark, d, "quads")[0], path)
     return path
 
 
-@BOOK.add("src_nq", "SELECT s, p, o, c FROM small")
+@BOOK.add("src_nq", "SELECT s, p, o, c FROM quads")
 def src_nq(spark, d):
     return src.read_nquads(spark, _round_trip(spark, d))
 
 
-@BOOK.add("sink_nq", "SELECT concat(s, ' ', p, ' ', o, ' ', c, ' .') AS line FROM small")
+@BOOK.add("sink_nq", "SELECT concat(s, ' ', p, ' ', o, ' ', c, ' .') AS line FROM quads")
 def sink_nq(spark, d):
     return spark.read.text(_round_trip(spark, d)).select(F.col("value").alias("line"))
 
@@ -90,9 +90,9 @@ def prj_reorder(spark, d):
     return views(spark, d, "quads")[0].select("c", "s", "p", "o")
 
 
-@BOOK.add("prj_append", "SELECT s, p, o, c, '0' AS side FROM small UNION ALL SELECT o, p, s, c, '1' FROM small")
+@BOOK.add("prj_append", "SELECT s, p, o, c, '0' AS side FROM quads UNION ALL SELECT o, p, s, c, '1' FROM quads")
 def prj_append(spark, d):
-    q = views(spark, d, "small")[0]
+    q = views(spark, d, "quads")[0]
     return q.withColumn("side", F.lit("0")).union(q.select("o", "p", "s", "c", F.lit("1")))
 
 
@@ -106,9 +106,9 @@ def flt_pattern(spark, d):
     return joins.matching(views(spark, d, "quads")[0], [(None, RDF_TYPE, f"<{V}OrderF>"), (HUB, None, None), (None, f"<{V}mbox>", None)])
 
 
-@BOOK.add("flt_blacklist", f"SELECT s, p, o, c FROM small WHERE o NOT IN ('<mailto:3.7@example.org>', '\"\"') AND p <> '<{V}nation>'")
+@BOOK.add("flt_blacklist", f"SELECT s, p, o, c FROM quads WHERE o NOT IN ('<mailto:3.7@example.org>', '\"\"') AND p <> '<{V}nation>'")
 def flt_blacklist(spark, d):
-    return views(spark, d, "small")[0].where(~F.col("o").isin("<mailto:3.7@example.org>", '""') & (F.col("p") != f"<{V}nation>"))
+    return views(spark, d, "quads")[0].where(~F.col("o").isin("<mailto:3.7@example.org>", '""') & (F.col("p") != f"<{V}nation>"))
 
 
 _BAD = " OR ".join([*(f"ends_with(lower(url), '{x}')" for x in t.BAD_SUFFIXES), *(f"contains(lower(url), '{x}')" for x in t.BAD_PARTS)])
@@ -152,9 +152,9 @@ def fn_rank_scale(spark, d):
     return views(spark, d, "ranks")[0].select("node", F.round(t.scale_rank(F.col("rank")), 9).alias("value"))
 
 
-@BOOK.add("join_rank_ctx", "SELECT q.*, coalesce(r.rank, 0.0) AS rank FROM small q LEFT JOIN ranks r ON q.c = r.node")
+@BOOK.add("join_rank_ctx", "SELECT q.*, coalesce(r.rank, 0.0) AS rank FROM quads q LEFT JOIN ranks r ON q.c = r.node")
 def join_rank_ctx(spark, d):
-    q, r = views(spark, d, "small", "ranks")
+    q, r = views(spark, d, "quads", "ranks")
     return joins.rank_by(q, r)
 
 
@@ -165,9 +165,9 @@ def part_rewrite_bcast(spark, d):
     return joins.rank_by(q, F.broadcast(r) if size <= 1_000_000 else r)
 
 
-@BOOK.add("join_rank_subj", f", w AS (SELECT {strip('o')} AS node, count(*) / 100.0 AS rank FROM q_ref GROUP BY 1) SELECT q.*, coalesce(w.rank, 1e-7) AS rank FROM small q LEFT JOIN w ON q.s = w.node")
+@BOOK.add("join_rank_subj", f", w AS (SELECT {strip('o')} AS node, count(*) / 100.0 AS rank FROM q_ref GROUP BY 1) SELECT q.*, coalesce(w.rank, 1e-7) AS rank FROM quads q LEFT JOIN w ON q.s = w.node")
 def join_rank_subj(spark, d):
-    q, ref = views(spark, d, "small", "q_ref")
+    q, ref = views(spark, d, "quads", "q_ref")
     r = ref.groupBy(t.strip_fragment(F.col("o")).alias("node")).agg((F.count("*") / 100.0).alias("rank"))
     return joins.rank_by(q, r, "s", t.MIN_RANK)
 
@@ -179,9 +179,9 @@ def _pivots(spark, d):
     return views(spark, d, "q_sameas")[0].groupBy(F.col("o").alias("node")).agg(F.min("s").alias("pivot"))
 
 
-@BOOK.add("join_rewrite", f"{_PIV} SELECT coalesce(v.pv, q.s) AS s, q.p, q.o, q.c, CASE WHEN v.pv <> q.s THEN q.s END AS s_orig FROM (SELECT * FROM small UNION ALL SELECT * FROM q_sameas) q LEFT JOIN piv v ON q.s = v.node WHERE q.p <> {SAME}")
+@BOOK.add("join_rewrite", f"{_PIV} SELECT coalesce(v.pv, q.s) AS s, q.p, q.o, q.c, CASE WHEN v.pv <> q.s THEN q.s END AS s_orig FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_sameas) q LEFT JOIN piv v ON q.s = v.node WHERE q.p <> {SAME}")
 def join_rewrite(spark, d):
-    q, same = views(spark, d, "small", "q_sameas")
+    q, same = views(spark, d, "quads", "q_sameas")
     return joins.rewrite(q.unionByName(same), _pivots(spark, d), "s", "filter", "s_orig")
 
 
@@ -191,10 +191,10 @@ def join_rewrite_sort(spark, d):
     return r.union(r.select("o", "p", "s", "c")).sortWithinPartitions(*Q)
 
 
-@BOOK.add("join_hash_rewrite", f"""{_PIV} SELECT 's' AS position, count(*) AS possible, count(pv) AS indexed, coalesce(sum(CASE WHEN pv <> s THEN 1 ELSE 0 END), 0)::BIGINT AS rewritten FROM small q LEFT JOIN piv v ON q.s = v.node WHERE q.p <> {SAME}
-  UNION ALL SELECT 'o', count(*), count(pv), coalesce(sum(CASE WHEN pv <> o THEN 1 ELSE 0 END), 0)::BIGINT FROM small q LEFT JOIN piv v ON q.o = v.node WHERE q.p NOT IN ({SAME}, {TYPE}) AND NOT starts_with(o, '"')""")
+@BOOK.add("join_hash_rewrite", f"""{_PIV} SELECT 's' AS position, count(*) AS possible, count(pv) AS indexed, coalesce(sum(CASE WHEN pv <> s THEN 1 ELSE 0 END), 0)::BIGINT AS rewritten FROM quads q LEFT JOIN piv v ON q.s = v.node WHERE q.p <> {SAME}
+  UNION ALL SELECT 'o', count(*), count(pv), coalesce(sum(CASE WHEN pv <> o THEN 1 ELSE 0 END), 0)::BIGINT FROM quads q LEFT JOIN piv v ON q.o = v.node WHERE q.p NOT IN ({SAME}, {TYPE}) AND NOT starts_with(o, '"')""")
 def join_hash_rewrite(spark, d):
-    return joins.rewrite_counts(views(spark, d, "small")[0], _pivots(spark, d))
+    return joins.rewrite_counts(views(spark, d, "quads")[0], _pivots(spark, d))
 
 
 @BOOK.add("join_selfpair", ", v AS (SELECT DISTINCT p, o, s FROM q_name), k AS (SELECT p, o FROM v GROUP BY p, o HAVING count(*) BETWEEN 2 AND 38) SELECT a.p, a.o, a.s AS a, b.s AS b FROM k JOIN v a USING (p, o) JOIN v b USING (p, o) WHERE a.s < b.s")
@@ -208,9 +208,9 @@ def join_rule_body(spark, d):
     return a.select("s", F.col("o").alias("customer")).join(b.where(F.col("p") == f"<{V}part>").select("s", F.col("o").alias("part")), "s").distinct()
 
 
-@BOOK.add("join_semi_nodes", ", n AS (SELECT o AS node FROM q_sameas) SELECT DISTINCT s, p, o, c FROM small WHERE s IN (SELECT node FROM n) OR p IN (SELECT node FROM n) OR o IN (SELECT node FROM n)")
+@BOOK.add("join_semi_nodes", ", n AS (SELECT o AS node FROM q_sameas) SELECT DISTINCT s, p, o, c FROM quads WHERE s IN (SELECT node FROM n) OR p IN (SELECT node FROM n) OR o IN (SELECT node FROM n)")
 def join_semi_nodes(spark, d):
-    q, same = views(spark, d, "small", "q_sameas")
+    q, same = views(spark, d, "quads", "q_sameas")
     return joins.touching(q, same.select(F.col("o").alias("node")))
 
 

@@ -32,9 +32,9 @@ def _hits(spark, d):
     return search.search(_index(spark, d), n, KEYWORDS).withColumn("score", F.round("score", 6))
 
 
-@BOOK.add("txt_build", f"""SELECT s, coalesce(list_sort(list(DISTINCT o) FILTER (p = '<{V}name>')), []) AS labels, coalesce(list_sort(list(DISTINCT o) FILTER (starts_with(o, '"') AND p <> '<{V}name>')), []) AS texts, coalesce(list_sort(list(DISTINCT o) FILTER (p = {TYPE})), []) AS types FROM small GROUP BY s""")
+@BOOK.add("txt_build", f"""SELECT s, coalesce(list_sort(list(DISTINCT o) FILTER (p = '<{V}name>')), []) AS labels, coalesce(list_sort(list(DISTINCT o) FILTER (starts_with(o, '"') AND p <> '<{V}name>')), []) AS texts, coalesce(list_sort(list(DISTINCT o) FILTER (p = {TYPE})), []) AS types FROM quads GROUP BY s""")
 def txt_build(spark, d):
-    return search.subject_documents(views(spark, d, "small")[0], (f"<{V}name>",)).select("s", "labels", "texts", "types")
+    return search.subject_documents(views(spark, d, "quads")[0], (f"<{V}name>",)).select("s", "labels", "texts", "types")
 
 
 for _name in ("txt_tokenize", "src_index_text"):

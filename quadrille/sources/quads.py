@@ -48,7 +48,7 @@ def read_redirects(spark: SparkSession, path: str) -> DataFrame:
 V = "http://ex.org/v#"
 TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 _CUST = "concat('<http://c', {k} % 3, '.example.net/cust/', {k}, '>')"
-_DOC = "concat('<http://src', {k} % 7, '.example.org/doc/', {k} % 97, '>')"
+_DOC = "concat('<http://src', ({k}) % 7, '.example.org/doc/', CAST(floor(({k}) / 97) AS BIGINT), '>')"  # documents grow with the tables
 _ORDER = "concat('<http://o', o_orderkey % 5, '.example.org/order/', o_orderkey, '>')"
 _LINE_ORDER = "concat('<http://o', l_orderkey % 5, '.example.org/order/', l_orderkey, '>')"
 
@@ -67,12 +67,17 @@ VIEWS = {
     "q_type": f"SELECT {_ORDER} AS s, '{TYPE}' AS p, concat('<{V}Order', o_orderstatus, '>') AS o, {_DOC.format(k='o_orderkey')} AS c FROM orders UNION ALL SELECT {_CUST.format(k='c_custkey')}, '{TYPE}', concat('<{V}', c_mktsegment, '>'), {_DOC.format(k='c_custkey')} FROM customer",
     "q_line": f"SELECT {_LINE_ORDER} AS s, '<{V}part>' AS p, concat('<http://parts.example.com/part/', l_partkey, '>') AS o, {_DOC.format(k='l_orderkey')} AS c FROM lineitem UNION ALL SELECT {_LINE_ORDER}, '<{V}supplier>', concat('<http://s', l_suppkey % 4, '.example.co.uk/supp/', l_suppkey, '#me>'), {_DOC.format(k='l_orderkey')} FROM lineitem",
     "q_name": f"""SELECT {_CUST.format(k='c_custkey')} AS s, '<{V}name>' AS p, concat('"', c_name, '"', CASE WHEN c_custkey % 3 = 0 THEN '@en' WHEN c_custkey % 3 = 1 THEN '@de' ELSE '' END) AS o, {_DOC.format(k='c_custkey')} AS c FROM customer UNION ALL SELECT {_CUST.format(k='c_custkey')}, '<{V}mbox>', concat('<mailto:', c_nationkey, '.', c_custkey % 20, '@example.org>'), {_DOC.format(k='c_custkey')} FROM customer UNION ALL SELECT {_CUST.format(k='c_custkey')}, '<{V}nation>', concat('"', c_nationkey, '"^^<http://www.w3.org/2001/XMLSchema#integer>'), {_DOC.format(k='c_custkey + 1')} FROM customer""",
-    "q_ref": f"SELECT {_ORDER} AS s, '<{V}seeAlso>' AS p, concat('<http://src', (o_orderkey * 3) % 7, '.example.org/doc/', (o_orderkey * 5) % 97, CASE WHEN o_orderkey % 4 = 0 THEN '#frag>' ELSE '>' END) AS o, {_DOC.format(k='o_orderkey')} AS c FROM orders WHERE o_orderkey % 2 = 0",
+    "q_ref": f"SELECT {_ORDER} AS s, '<{V}seeAlso>' AS p, concat('<http://src', (o_orderkey * 3) % 7, '.example.org/doc/', CAST(floor(o_orderkey / 291) AS BIGINT), CASE WHEN o_orderkey % 4 = 0 THEN '#frag>' ELSE '>' END) AS o, {_DOC.format(k='o_orderkey')} AS c FROM orders",
     "q_inferred": f"SELECT {_ORDER} AS s, '<{V}customer>' AS p, {_CUST.format(k='o_custkey')} AS o, concat('<urn:rule:', o_orderkey % 4, '>') AS c FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT {_ORDER}, '<{V}buyer>', {_CUST.format(k='o_custkey')}, concat('<urn:rule:', o_orderkey % 4, '>') FROM orders WHERE o_orderkey % 3 <> 1 UNION ALL SELECT {_ORDER}, '<{V}buyer>', {_CUST.format(k='o_custkey')}, '<urn:rule:9>' FROM orders WHERE o_orderkey % 6 = 0",
     "q_sameas": f"SELECT {_CUST.format(k='c_custkey')} AS s, '<http://www.w3.org/2002/07/owl#sameAs>' AS p, {_CUST.format(k='(c_custkey + 1)')} AS o, {_DOC.format(k='c_custkey')} AS c FROM customer WHERE c_custkey % 10 < 3",
+    # statements that contradict each other once customers k .. k + 3 (k % 10 = 0) are one
+    "q_social": " UNION ALL ".join(f"SELECT {_CUST.format(k=f'(c_custkey + {a})')} AS s, {p} AS p, {o} AS o, {_DOC.format(k='c_custkey')} AS c FROM customer WHERE c_custkey % 10 = 0" for a, p, o in (
+        *((a, f"'<{V}{p}>'", _CUST.format(k=f"(c_custkey + {b})")) for a, p, b in ((0, "follows", 1), (0, "parentOf", 5), (5, "parentOf", 1), (0, "likes", 5), (1, "dislikes", 5), (2, "ignores", 5), (1, "friend", 5), (2, "mate", 5))),
+        *((a, f"'{TYPE}'", f"'<{V}{c}>'") for a, c in ((0, "Active"), (1, "Inactive"), (0, "Person"), (1, "Company"), (0, "Hermit"), (0, "Loner"), (5, "Vip"), (0, "Solo"))),
+        (1, f"'<{V}phone>'", "concat('\"', c_custkey, '\"')"), (0, "'<http://www.w3.org/2002/07/owl#differentFrom>'", _CUST.format(k="(c_custkey + 1)")),
+    )),
     "tbox": "SELECT s, p, o, c FROM (VALUES " + ", ".join(f"('<{V}{a}>', '<{b}>', '<{V if not o.startswith('http') else ''}{o}>', '<{V[:-1]}>')" for a, b, o in _SCHEMA) + ") AS t(s, p, o, c)",
     "quads": "SELECT * FROM q_orders UNION ALL SELECT * FROM q_type UNION ALL SELECT * FROM q_line UNION ALL SELECT * FROM q_name UNION ALL SELECT * FROM q_ref",
-    "small": "SELECT * FROM q_orders UNION ALL SELECT * FROM q_type UNION ALL SELECT * FROM q_name UNION ALL SELECT * FROM q_ref",
     "contexts": "SELECT DISTINCT c FROM quads",
     "docs_n": "SELECT c, CAST(regexp_extract(c, '/doc/([0-9]+)', 1) AS INT) AS n FROM contexts",
     "ranks": "SELECT c AS node, (1 + n) / 100.0E0 AS rank FROM docs_n WHERE n % 10 <> 3",
