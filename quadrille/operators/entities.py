@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import terms as t
 from quadrille.operators import joins, stats
 from quadrille.operators.graph import components
-from quadrille.session import written
+from quadrille.session import forget, written
 
 JUNK = ('""', '"null"', '"none"', "<mailto:>", "<http://null>", "<http://null/>", "<mailto:null>", '"da39a3ee5e6b4b0d3255bfef95601890afd80709"', '"08445a31a78661b5c746feff39a9db6e4e2cc5cf"')
 MAX_ROUNDS = 20
@@ -20,9 +20,9 @@ def explicit(quads: DataFrame) -> DataFrame:
 
 
 def _stars(groups: DataFrame, key: list[str]) -> DataFrame:
-    """(a, b): each member of a group with the group's smallest."""
-    first = F.min("x").over(Window.partitionBy(*key))
-    return groups.withColumn("a", first).where("x <> a").select("a", F.col("x").alias("b")).distinct()
+    """(a, b): each member of a group with the group's smallest, a minimum taken before the shuffle."""
+    least = groups.groupBy(*key).agg(F.min("x").alias("a"), F.max("x").alias("top")).where("a <> top").drop("top")
+    return groups.join(least, key).where("x <> a").select("a", F.col("x").alias("b")).distinct()
 
 
 def by_inverse_functional(quads: DataFrame, properties: list[str], junk: tuple[str, ...] = JUNK) -> DataFrame:
@@ -51,18 +51,24 @@ def classes(pairs: DataFrame) -> DataFrame:
 
 
 def fixpoint(quads: DataFrame, inverse_functional: list[str], functional: list[str], limits: DataFrame) -> DataFrame:
-    """(node, pivot) when no rule finds a new equivalence on the rewritten quads."""
-    pairs, current, known = explicit(quads), quads, -1
-    pivots = None
+    """(node, pivot) when no rule finds a new equivalence on the rewritten quads.
+
+    Only statements that a rule reads are rewritten, and a round adds what it finds to the classes so far (one pair for each
+    member), so that neither the data nor the pairs of earlier rounds are worked through again.
+    """
+    asked = F.broadcast(limits.select("p").distinct())
+    kinds = F.broadcast(limits.select(F.col("cls").alias("o")).distinct())
+    read = quads.where(F.col("p").isin(*inverse_functional, *functional)).unionByName(quads.join(asked, "p", "left_semi").select(quads.columns)).unionByName(quads.where(F.col("p") == t.RDF_TYPE).join(kinds, "o", "left_semi").select(quads.columns))
+    read = written(read.select("s", "p", "o").distinct(), "rule-statements")
+    pivots = written(classes(explicit(quads)), "pivots")
     for _ in range(MAX_ROUNDS):
-        found = pairs.unionByName(by_inverse_functional(current, inverse_functional)).unionByName(by_functional(current, functional)).unionByName(by_cardinality(current, limits))
-        pairs = written(found.distinct(), "sameas")
-        pivots = written(classes(pairs), "pivots")
-        size = pivots.where("node <> pivot").count()
-        if size == known:
+        current = written(consolidate(read, pivots).distinct(), "rewritten")
+        fresh = written(by_inverse_functional(current, inverse_functional).unionByName(by_functional(current, functional)).unionByName(by_cardinality(current, limits)).distinct(), "sameas")
+        if fresh.isEmpty():
             return pivots
-        known = size
-        current = written(consolidate(quads, pivots), "rewritten")
+        following = written(classes(fresh.unionByName(pivots.select(F.col("node").alias("b"), F.col("pivot").alias("a")))), "pivots")
+        forget(current, fresh, pivots)
+        pivots = following
     raise RuntimeError(f"equivalences did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
 from quadrille.operators import joins
-from quadrille.session import written
+from quadrille.session import bucketed, forget, written
 
 DAMPING, ROUNDS = 0.85, 10
 TRIPLE = ("s", "p", "o")
@@ -30,23 +30,29 @@ def extract_links(quads: DataFrame, schema_too: bool = False, skip: tuple[str, .
 def page_rank(links: DataFrame, nodes: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(node, rank) after the given rounds from a uniform start; nodes is (node).
 
-    The rank of nodes without links is spread over all nodes. Links are partitioned by source once and
-    every round's ranks are written, so that no plan grows with the number of rounds.
+    The rank of nodes without links is spread over all nodes. Links are written once in buckets by source, so that a round moves
+    ranks and flows only; every round's ranks are written and the ones before deleted, so that no plan grows with the number of rounds.
     """
     nodes = written(nodes.select("node").distinct(), "rank-nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    out = links.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
-    out = written(out.withColumn("degree", F.count("*").over(Window.partitionBy("src"))), "rank-links")
-    sources = written(out.select(F.col("src").alias("node"), "degree").distinct(), "rank-degrees")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    inside = written(links.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct(), "rank-inside")
+    sources = inside.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    degrees = written(nodes.join(sources, "node", "left"), "rank-degrees")
+    out, name = bucketed(inside, "rank-links", "src")
+    ranks = written(degrees.withColumn("rank", F.lit(1.0 / n)), "rank-round")
     for _ in range(rounds):
-        kept = ranks.join(sources, "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
+        kept = ranks.where("degree IS NOT NULL").agg(F.sum("rank")).first()[0] or 0.0
         base = (1 - damping) / n + damping * max(0.0, 1 - kept) / n
-        flow = out.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("inflow"))
-        ranks = written(nodes.join(flow, "node", "left").select("node", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank")), "rank-round")
-    return ranks
+        share = ranks.where("degree IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
+        flow = out.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
+        following = written(degrees.join(flow, "node", "left").select("node", "degree", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank")), "rank-round")
+        forget(ranks)
+        ranks = following
+    links.sparkSession.sql(f"DROP TABLE {name}")
+    forget(out, inside, degrees, nodes)
+    return ranks.select("node", "rank")
 
 
 def domain_links(quads: DataFrame) -> DataFrame:
@@ -61,9 +67,12 @@ def sum_ranks(ranked: DataFrame) -> DataFrame:
     return once.withColumn("rank", F.sum("rank").over(Window.partitionBy(*TRIPLE))).distinct()
 
 
-def max_ranks(ranked: DataFrame) -> DataFrame:
-    """(s, p, o, rank): each triple with its greatest rank."""
-    return ranked.groupBy(*TRIPLE).agg(F.max("rank").alias("rank"))
+def max_ranks(ranked: DataFrame, counters: bool = False) -> DataFrame:
+    """(s, p, o, rank[, dominated, equal]): each triple with its greatest rank, and how many of its other rows rank lower and as high."""
+    if not counters:
+        return ranked.groupBy(*TRIPLE).agg(F.max("rank").alias("rank"))
+    each = ranked.groupBy(*TRIPLE, "rank").agg(F.count("*").alias("n"))
+    return each.groupBy(*TRIPLE).agg(F.max("rank").alias("rank"), (F.sum("n") - F.max_by("n", "rank")).alias("dominated"), (F.max_by("n", "rank") - 1).alias("equal"))
 
 
 def identifier_ranks(quads: DataFrame, ranks: DataFrame) -> DataFrame:

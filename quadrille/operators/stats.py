@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
+from quadrille.session import written
 
 
 def histogram(rows: DataFrame, key: str) -> DataFrame:
@@ -31,17 +32,14 @@ def adjusted_averages(stats: DataFrame) -> DataFrame:
 def term_stats(quads: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Per term: triples as subject and as object (rdf:type objects don't count), documents, domains."""
     kept = quads.where(~F.col("p").isin(*skip)) if skip else quads
-    as_s = kept.select(F.col("s").alias("term"), F.lit(0).alias("side"), "s", "p", "o", "c")
-    as_o = kept.where(F.col("p") != t.RDF_TYPE).where(~t.is_literal(F.col("o"))).select(F.col("o").alias("term"), F.lit(1).alias("side"), "s", "p", "o", "c")
-    rows = as_s.unionByName(as_o).withColumn("pld", t.pay_level_domain(F.col("c")))
-    triple = F.struct("s", "p", "o")
-    return rows.groupBy("term").agg(
-        F.count_distinct(F.when(F.col("side") == 0, triple)).alias("as_subject"),
-        F.count_distinct(F.when(F.col("side") == 1, triple)).alias("as_object"),
-        F.count_distinct("c").alias("documents"),
-        F.count_distinct("pld").alias("plds"),
-        F.count_distinct(F.when(F.col("pld") != t.pay_level_domain(F.col("term")), F.col("pld"))).alias("external_plds"),
-    )
+    able = (F.col("p") != t.RDF_TYPE) & ~t.is_literal(F.col("o"))
+    spots = F.array_compact(F.array(F.struct(F.col("s").alias("term"), F.lit(0).alias("side")), F.when(able, F.struct(F.col("o").alias("term"), F.lit(1).alias("side")))))
+    # two levels in place of several distinct counts, which would copy every row for each of them
+    triples = kept.select("s", "p", "o").distinct().select(F.explode(spots).alias("e")).groupBy("e.term").agg(F.sum((F.col("e.side") == 0).cast("long")).alias("as_subject"), F.sum((F.col("e.side") == 1).cast("long")).alias("as_object"))
+    mentions = kept.select(F.explode(spots).alias("e"), "c").select("e.term", "c").distinct().withColumn("pld", t.pay_level_domain(F.col("c")))
+    by_pld = mentions.groupBy("term", "pld").agg(F.count("*").alias("n"))
+    places = by_pld.groupBy("term").agg(F.sum("n").alias("documents"), F.count("pld").alias("plds"), F.sum((F.col("pld") != t.pay_level_domain(F.col("term"))).cast("long")).alias("external_plds"))
+    return triples.join(places, "term")
 
 
 def naming_stats(quads: DataFrame) -> DataFrame:
@@ -52,19 +50,19 @@ def naming_stats(quads: DataFrame) -> DataFrame:
 
 def dataset_profile(quads: DataFrame) -> DataFrame:
     """(measure, name, n): entities, triples, predicates, classes, kinds of objects, out-degrees."""
-    triples = quads.select("s", "p", "o").distinct()
-    one = triples.agg(F.count_distinct("s").alias("entities"), F.count("*").alias("triples"), F.count_distinct("p").alias("predicates"), F.count_distinct(F.when(F.col("p") == t.RDF_TYPE, F.col("o"))).alias("classes"))
-    total = one.select(F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit("").alias("name"), F.col(m).alias("n")) for m in ("entities", "triples", "predicates", "classes")))).alias("e")).select("e.*")
+    triples = written(quads.select("s", "p", "o").distinct(), "profile-triples")
+    kinds = (("class", F.when(F.col("p") == t.RDF_TYPE, F.col("o"))), ("predicate", F.col("p")), ("object_kind", t.kind(F.col("o"))))
+    spots = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), v.alias("name")) for m, v in kinds)))
+    parts = written(triples.select(spots.alias("e")).where("e.name IS NOT NULL").groupBy("e.measure", "e.name").agg(F.count("*").alias("n")), "profile-parts")
+    degrees = written(triples.groupBy("s").agg(F.count("*").alias("d")).groupBy(F.col("d").cast("string").alias("name")).agg(F.count("*").alias("n")), "profile-degrees")
 
-    def part(measure: str, rows: DataFrame, name) -> DataFrame:
-        return rows.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), "name", "n")
+    def total(measure: str, rows: DataFrame, n) -> DataFrame:
+        return rows.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n")).select(F.lit(measure).alias("measure"), F.lit("").alias("name"), "n")
 
-    classes = part("class", triples.where(F.col("p") == t.RDF_TYPE), F.col("o"))
-    predicates = part("predicate", triples, F.col("p"))
-    kinds = part("object_kind", triples, t.kind(F.col("o")))
-    spaces = part("namespace", triples.select("p").distinct(), t.namespace(F.col("p")))
-    degrees = part("out_degree", triples.groupBy("s").agg(F.count("*").alias("d")), F.col("d").cast("string"))
-    return total.union(classes).union(predicates).union(kinds).union(spaces).union(degrees)
+    predicates, classes = parts.where("measure = 'predicate'"), parts.where("measure = 'class'")
+    out = total("entities", degrees, F.sum("n")).union(total("triples", predicates, F.sum("n"))).union(total("predicates", predicates, F.count("*"))).union(total("classes", classes, F.count("*")))
+    spaces = predicates.groupBy(t.namespace(F.col("name")).alias("name")).agg(F.count("*").alias("n"))
+    return out.union(parts).union(spaces.select(F.lit("namespace").alias("measure"), "name", "n")).union(degrees.select(F.lit("out_degree").alias("measure"), "name", "n"))
 
 
 def void_lines(profile: DataFrame, dataset: str) -> DataFrame:
@@ -111,10 +109,10 @@ def language_stats(quads: DataFrame) -> DataFrame:
 
 
 def rank_distribution(ranks: DataFrame) -> DataFrame:
-    """Count, sum, greatest rank and the smallest node that has it."""
-    top = ranks.agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"), F.max("rank").alias("rank_max"), F.max_by("node", F.struct("rank", F.lit(0))).alias("__any"))
-    best = ranks.crossJoin(F.broadcast(top.select(F.col("rank_max").alias("__m")))).where("rank = __m").agg(F.min("node").alias("node_max"))
-    return top.drop("__any").crossJoin(best)
+    """(measure, bin, n, rank_sum, rank_max, node_max): one row for all ranks, and one for each power of ten that ranks lie under."""
+    bins = F.explode(F.array(F.struct(F.lit("all").alias("measure"), F.lit(0).alias("bin")), F.struct(F.lit("log10").alias("measure"), F.when(F.col("rank") > 0, F.floor(F.log10("rank")).cast("int")).alias("bin"))))
+    per = ranks.select(bins.alias("e"), "node", "rank").select("e.*", "node", "rank").groupBy("measure", "bin")
+    return per.agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"), F.max("rank").alias("rank_max"), F.min_by("node", F.struct(-F.col("rank"), "node")).alias("node_max"))
 
 
 def duplicate_contexts(quads: DataFrame, inferred: str = "<urn:rule:") -> DataFrame:

@@ -110,9 +110,9 @@ def win_group_bcast(spark, d):
     return views(spark, d, "ranked")[0].withColumn("best", F.max("rank").over(Window.partitionBy("s", "p", "o")))
 
 
-@BOOK.add("agg_rank_max", "SELECT s, p, o, max(rank) AS rank FROM ranked GROUP BY s, p, o")
+@BOOK.add("agg_rank_max", "SELECT s, p, o, m AS rank, count(*) FILTER (rank < m) AS dominated, count(*) FILTER (rank = m) - 1 AS equal FROM (SELECT *, max(rank) OVER (PARTITION BY s, p, o) AS m FROM ranked) GROUP BY s, p, o, m")
 def agg_rank_max(spark, d):
-    return rank.max_ranks(views(spark, d, "ranked")[0])
+    return rank.max_ranks(views(spark, d, "ranked")[0], counters=True)
 
 
 @BOOK.add("agg_idrank", "SELECT s AS node, round(sum(rank), 6) AS rank FROM ranked GROUP BY s")
@@ -120,6 +120,9 @@ def agg_idrank(spark, d):
     return views(spark, d, "ranked")[0].groupBy(F.col("s").alias("node")).agg(F.round(F.sum("rank"), 6).alias("rank"))
 
 
-@BOOK.add("agg_rankdist", "SELECT count(*) AS n, round(sum(rank), 6) AS rank_sum, max(rank) AS rank_max, (SELECT min(node) FROM ranks WHERE rank = (SELECT max(rank) FROM ranks)) AS node_max FROM ranks")
+_BINS = "SELECT 'all' AS measure, 0 AS bin, node, rank FROM ranks UNION ALL SELECT 'log10', CASE WHEN rank > 0 THEN CAST(floor(log10(rank)) AS INT) END, node, rank FROM ranks"
+
+
+@BOOK.add("agg_rankdist", f"SELECT measure, bin, count(*) AS n, round(sum(rank), 6) AS rank_sum, max(rank) AS rank_max, first(node ORDER BY rank DESC, node) AS node_max FROM ({_BINS}) GROUP BY measure, bin")
 def agg_rankdist(spark, d):
     return stats.rank_distribution(views(spark, d, "ranks")[0]).withColumn("rank_sum", F.round("rank_sum", 6))

@@ -61,6 +61,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, by: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, hashed and sorted by a column, so that joins on it move the other side only; and its name, to be dropped by."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    name = f"quadrille_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_path = path
+    return out, name
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by `written` that nothing will read again; what was made of them must be written too."""
     for df in tables:
