@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 SAME_AS = "<http://www.w3.org/2002/07/owl#sameAs>"
 MIN_RANK = 1e-7
-#: Second-level suffixes under which a domain has three labels; others have two.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "example.net")
+#: Two-label suffixes under which a domain has three labels; others have two. The public ones in common use, and the tests' example.net.
+SUFFIXES = tuple(
+    f"{second}.{top}"
+    for top, seconds in {
+        "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi kiwi maori net org school", "jp": "ac ad co ed go gr lg ne or",
+        "br": "art blog com edu eng gov ind inf jus leg mil net org tv", "cn": "ac com edu gov mil net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org", "kr": "ac co go ne or pe re",
+        "in": "ac co edu firm gen gov ind net nic org res", "za": "ac co edu gov law net nom org school web", "il": "ac co gov k12 muni net org", "tr": "av bel com edu gen gov info k12 mil net org", "mx": "com edu gob net org",
+        "ar": "com edu gob gov int mil net org tur", "co": "com edu gov mil net nom org", "sg": "com edu gov net org per", "my": "com edu gov mil net org", "th": "ac co go in mi net or", "id": "ac co desa go mil my net or sch web",
+        "at": "ac co gv or", "pl": "com edu gov info net org", "ru": "com edu gov msk net org spb", "ua": "com edu gov in kiev kyiv net org", "hu": "co info org", "pt": "com edu gov org", "es": "com edu gob nom org", "fr": "asso com gouv nom prd tm", "it": "edu gov", "gr": "com edu gov net org",
+        "ph": "com edu gov net org", "vn": "ac com edu gov net org", "eg": "com edu gov net org", "ng": "com edu gov net org", "ke": "ac co go ne or sc", "sa": "com edu gov med net org", "pk": "com edu gov net org", "bd": "com edu gov net org", "pe": "com edu gob net org", "ve": "co com edu gob net org",
+    }.items()
+    for second in seconds.split()
+) + ("example.net",)
 
 
 def is_iri(t: Column) -> Column:

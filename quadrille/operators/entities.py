@@ -6,14 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import joins, stats
+from quadrille.operators import joins, reason, stats
 from quadrille.operators.graph import components
 from quadrille.session import forget, written
 
-JUNK = ('""', '"null"', '"none"', "<mailto:>", "<http://null>", "<http://null/>", "<mailto:null>", '"da39a3ee5e6b4b0d3255bfef95601890afd80709"', '"08445a31a78661b5c746feff39a9db6e4e2cc5cf"')
+#: Values that many unrelated subjects share, so that they identify none: empty and placeholder literals, empty addresses, hashes of those.
+JUNK = tuple(
+    [f'"{x}"' for x in ("", " ", "-", "?", "n/a", "na", "none", "null", "nil", "unknown", "undefined", "anonymous", "test", "todo", "0", "ask", "private", "mailto:", "http://", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "08445a31a78661b5c746feff39a9db6e4e2cc5cf")]
+    + [f"<{x}>" for x in ("mailto:", "mailto:null", "mailto:none", "mailto:test@test.com", "mailto:none@none.com", "http://", "http:///", "https://", "http://null", "http://null/", "http://none", "http://none/", "http://example.com", "http://example.com/", "http://www", "http://www.")]
+)
 MAX_ROUNDS = 20
 
 
+def equality_kinds(schema: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(p, kind): sameas, ifp and fp properties, as far as the schema's statements are authoritative for them."""
+    owl = "http://www.w3.org/2002/07/owl#"
+    kind = F.when(F.col("o") == f"<{owl}InverseFunctionalProperty>", "ifp").when(F.col("o") == f"<{owl}FunctionalProperty>", "fp")
+    found = reason.authoritative(schema.where(F.col("p") == t.RDF_TYPE), redirects).select(F.col("s").alias("p"), kind.alias("kind")).where("kind IS NOT NULL").distinct()
+    return found.union(schema.sparkSession.createDataFrame([(t.SAME_AS, "sameas")], "p string, kind string"))
+
+
+def dispatch(quads: DataFrame, kinds: DataFrame) -> DataFrame:
+    """quads with the kind of equality reasoning that reads them (a row for each kind), `other` for none; kinds is of the schema's size."""
+    return quads.join(kinds, "p", "left").select(*quads.columns, F.coalesce("kind", F.lit("other")).alias("kind"))
+
+
 def explicit(quads: DataFrame) -> DataFrame:
     """(a, b) of owl:sameAs statements."""
     return quads.where((F.col("p") == t.SAME_AS) & ~t.is_literal(F.col("o"))).select(F.col("s").alias("a"), F.col("o").alias("b"))

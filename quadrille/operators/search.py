@@ -41,19 +41,35 @@ def pick_literal(literals: DataFrame, preferred: str, key: str = "s") -> DataFra
     return literals.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(key, "literal")
 
 
-def subject_documents(quads: DataFrame, label: tuple[str, ...]) -> DataFrame:
-    """One row for each subject: labels, other literals, types, sameAs, images, and words of its IRI."""
-    p, o = F.col("p"), F.col("o")
+COMMENTS = ("<http://www.w3.org/2000/01/rdf-schema#comment>",)
+LAT, LONG = (f"<http://www.w3.org/2003/01/geo/wgs84_pos#{x}>" for x in ("lat", "long"))
+DATE_TYPES = ("http://www.w3.org/2001/XMLSchema#date", "http://www.w3.org/2001/XMLSchema#dateTime")
 
-    def values(test, value=o):
-        return F.array_sort(F.collect_set(F.when(test, value)))
+
+def subject_documents(quads: DataFrame, label: tuple[str, ...], ranks: DataFrame | None = None) -> DataFrame:
+    """One row for each subject: labels, comments, dates and types (each also as far as the subject's own document states them), other literals,
+    sameAs, images, latitude, longitude (the smallest of several), keywords from its IRI, and its rank, which boosts the document.
+
+    Subjects with sameAs statements only have none. Literals of MAX_LITERAL characters or more are left out. ranks is (node, rank).
+    """
+    p, o, own = F.col("p"), F.col("o"), t.strip_fragment(F.col("s")) == t.strip_fragment(F.col("c"))
+
+    def values(test):
+        return F.array_sort(F.collect_set(F.when(test, o)))
 
     lit = t.is_literal(o) & (F.length("o") < MAX_LITERAL)
+    fields = {"labels": lit & p.isin(*label), "comments": lit & p.isin(*COMMENTS), "dates": lit & t.datatype(o).isin(*DATE_TYPES), "types": p == t.RDF_TYPE}
+    rest = lit & ~p.isin(*label, *COMMENTS, LAT, LONG) & ~t.datatype(o).isin(*DATE_TYPES)
     rows = quads.groupBy("s").agg(
-        values(lit & p.isin(*label)).alias("labels"), values(lit & ~p.isin(*label)).alias("texts"), values(p == t.RDF_TYPE).alias("types"),
-        values(p == t.SAME_AS).alias("same_as"), values(t.is_iri(o) & t.is_image(o)).alias("images"), F.max((p != t.SAME_AS).cast("int")).alias("__more"),
+        *(values(test).alias(name) for name, test in fields.items()), *(values(test & own).alias(f"auth_{name}") for name, test in fields.items()),
+        values(rest).alias("texts"), values(p == t.SAME_AS).alias("same_as"), values(t.is_iri(o) & t.is_image(o)).alias("images"),
+        F.min(F.when(lit & (p == LAT), o)).alias("lat"), F.min(F.when(lit & (p == LONG), o)).alias("long"), F.max((p != t.SAME_AS).cast("int")).alias("__more"),
     )
-    return rows.where("__more = 1").drop("__more").withColumn("host", t.host(F.col("s")))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("s", r"^<[^:]*:/*[^/]*", "")), F.lit("([a-z0-9]+)"), 1)))
+    rows = rows.where("__more = 1").drop("__more").withColumn("host", t.host(F.col("s"))).withColumn("keywords", words)
+    if ranks is None:
+        return rows.withColumn("rank", F.lit(t.MIN_RANK))
+    return rows.join(ranks.select(F.col("node").alias("s"), "rank"), "s", "left").withColumn("rank", F.coalesce("rank", F.lit(t.MIN_RANK)))
 
 
 def snippets(documents: DataFrame, hits: DataFrame) -> DataFrame:

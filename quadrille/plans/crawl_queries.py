@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille.operators import frontier, stats
 from quadrille.plans.book import Book, pld
+from quadrille.session import written
 from quadrille.sources.quads import views
 
 BOOK = Book()
@@ -82,9 +83,12 @@ def src_http(spark, d):
 
 @BOOK.add("cr_master", None)
 def cr_master(spark, d):
-    """Two rounds of a crawl over the pages: links of crawled pages feed the next frontier."""
+    """Two rounds of a crawl over the pages, as (crawl, uri, round): what the first fetches is done, and its links feed the second."""
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    links = frontier.links_of_pages(pages).groupBy(F.col("link").alias("uri")).agg(F.count("*").alias("n"))
-    known = pages.select(F.col("url").alias("uri")).distinct().select("uri", F.lit(1).cast("long").alias("n"), F.lit(True).alias("done"))
-    after = frontier.merge(known, links)
-    return frontier.rounds(after, 5, 1000)
+    seeds = pages.select(F.col("url").alias("uri"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("done")).distinct()
+    first = written(frontier.rounds(seeds, 5, 1000), "crawl-first")
+    fetched = pages.join(first, pages["url"] == first["uri"], "left_semi")
+    links = frontier.links_of_pages(fetched).groupBy(F.col("link").alias("uri")).agg(F.count("*").alias("n"))
+    known = seeds.unionByName(first.select("uri", F.lit(0).cast("long").alias("n"), F.lit(True).alias("done")))
+    second = frontier.rounds(frontier.merge(known, links), 5, 1000)
+    return first.select(F.lit(1).alias("crawl"), "uri", "round").union(second.select(F.lit(2), "uri", "round"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import terms as t
 from quadrille.operators import conflicts, entities, rank, reason, stats
 from quadrille.operators.graph import components
-from quadrille.plans.book import SAME, TYPE, Book, pld
+from quadrille.plans.book import SAME, TYPE, Book, pld, strip
 from quadrille.plans.reason_queries import _CLOSED, _infer_sql
 from quadrille.session import written
 from quadrille.sources.quads import V, views
@@ -39,18 +39,27 @@ def _consolidated(spark, d):
     return written(entities.consolidate(_all(spark, d), _pivots(spark, d), aliases=True), "consolidated")
 
 
-@BOOK.add("c_extract", f"SELECT s, p, o, c FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_sameas) WHERE p IN ({SAME}, '{MBOX}', '{NATION}') AND o <> '<mailto:3.7@example.org>'")
+_SHARED_BOX = "<mailto:3.7@example.org>"
+_OWLP = "http://www.w3.org/2002/07/owl#"
+_KINDS = f""", kd AS (SELECT DISTINCT t.s AS p, CASE t.o WHEN '<{_OWLP}InverseFunctionalProperty>' THEN 'ifp' ELSE 'fp' END AS kind FROM tbox t LEFT JOIN redirects r ON ({strip('t.s')}) = r.src
+  WHERE t.p = {TYPE} AND t.o IN ('<{_OWLP}InverseFunctionalProperty>', '<{_OWLP}FunctionalProperty>') AND coalesce(r.dst, {strip('t.s')}) = t.c UNION ALL SELECT {SAME}, 'sameas'),
+  di AS (SELECT q.*, coalesce(kind, 'other') AS kind FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_sameas) q LEFT JOIN kd USING (p))"""
+
+
+def _dispatched(spark, d):
+    q, same, tbox, redirects = views(spark, d, "quads", "q_sameas", "tbox", "redirects")
+    return entities.dispatch(q.unionByName(same), entities.equality_kinds(tbox, redirects))
+
+
+@BOOK.add("c_extract", f"{_KINDS} SELECT s, p, o, c FROM di WHERE kind <> 'other' AND o NOT IN ('{_SHARED_BOX}', {', '.join(chr(39) + x + chr(39) for x in entities.JUNK)})")
 def c_extract(spark, d):
-    q, same = views(spark, d, "quads", "q_sameas")
-    return q.unionByName(same).where(F.col("p").isin(t.SAME_AS, MBOX, NATION) & (F.col("o") != "<mailto:3.7@example.org>"))
+    """Statements that equality reasoning reads, without values that identify nothing."""
+    return _dispatched(spark, d).where((F.col("kind") != "other") & ~F.col("o").isin(_SHARED_BOX, *entities.JUNK)).select("s", "p", "o", "c")
 
 
-@BOOK.add("c_dispatch", f"SELECT CASE p WHEN {SAME} THEN 'sameas' WHEN '{MBOX}' THEN 'ifp' WHEN '<{V}customer>' THEN 'fp' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT * FROM quads UNION ALL SELECT * FROM q_sameas) GROUP BY 1")
+@BOOK.add("c_dispatch", f"{_KINDS} SELECT kind, count(*) AS n FROM di GROUP BY kind")
 def c_dispatch(spark, d):
-    q, same = views(spark, d, "quads", "q_sameas")
-    p = F.col("p")
-    kind = F.when(p == t.SAME_AS, "sameas").when(p == MBOX, "ifp").when(p == f"<{V}customer>", "fp").otherwise("other")
-    return q.unionByName(same).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return _dispatched(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @BOOK.add("c_ifp", f"SELECT a, b FROM ({_IFP})")

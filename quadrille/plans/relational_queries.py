@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
 from quadrille.operators import joins, sets
+from quadrille.operators.entities import JUNK
 from quadrille.plans.book import SAME, TYPE, Book, datatype, host, kind, lang, ns, pld, strip, tld
 from quadrille.session import fresh_path
 from quadrille.sources import quads as src
@@ -106,9 +107,12 @@ def flt_pattern(spark, d):
     return joins.matching(views(spark, d, "quads")[0], [(None, RDF_TYPE, f"<{V}OrderF>"), (HUB, None, None), (None, f"<{V}mbox>", None)])
 
 
-@BOOK.add("flt_blacklist", f"SELECT s, p, o, c FROM quads WHERE o NOT IN ('<mailto:3.7@example.org>', '\"\"') AND p <> '<{V}nation>'")
+_JUNK = ", ".join(f"'{x}'" for x in ("<mailto:3.7@example.org>", *JUNK))
+
+
+@BOOK.add("flt_blacklist", f"SELECT s, p, o, c FROM quads WHERE o NOT IN ({_JUNK}) AND p <> '<{V}nation>'")
 def flt_blacklist(spark, d):
-    return views(spark, d, "quads")[0].where(~F.col("o").isin("<mailto:3.7@example.org>", '""') & (F.col("p") != f"<{V}nation>"))
+    return views(spark, d, "quads")[0].where(~F.col("o").isin("<mailto:3.7@example.org>", *JUNK) & (F.col("p") != f"<{V}nation>"))
 
 
 _BAD = " OR ".join([*(f"ends_with(lower(url), '{x}')" for x in t.BAD_SUFFIXES), *(f"contains(lower(url), '{x}')" for x in t.BAD_PARTS)])

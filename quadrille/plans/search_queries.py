@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
 from quadrille.operators import search, sets
-from quadrille.plans.book import TYPE, Book, lang
+from quadrille.plans.book import SAME, TYPE, Book, lang, strip
 from quadrille.session import fresh_path, written
 from quadrille.sources.quads import V, views
 
@@ -32,9 +32,24 @@ def _hits(spark, d):
     return search.search(_index(spark, d), n, KEYWORDS).withColumn("score", F.round("score", 6))
 
 
-@BOOK.add("txt_build", f"""SELECT s, coalesce(list_sort(list(DISTINCT o) FILTER (p = '<{V}name>')), []) AS labels, coalesce(list_sort(list(DISTINCT o) FILTER (starts_with(o, '"') AND p <> '<{V}name>')), []) AS texts, coalesce(list_sort(list(DISTINCT o) FILTER (p = {TYPE})), []) AS types FROM quads GROUP BY s""")
+def _set(test: str) -> str:
+    return f"coalesce(list_sort(list(DISTINCT o) FILTER ({test})), [])"
+
+
+_DATE = " OR ".join(f"ends_with(o, '^^<{x}>')" for x in search.DATE_TYPES)
+_FIELDS = {"labels": f"starts_with(o, '\"') AND p = '<{V}name>'", "comments": f"starts_with(o, '\"') AND p = '{search.COMMENTS[0]}'", "dates": f"starts_with(o, '\"') AND ({_DATE})", "types": f"p = {TYPE}"}
+_OWN = f"({strip('s')}) = ({strip('c')})"
+_REST = f"starts_with(o, '\"') AND p NOT IN ('<{V}name>', '{search.COMMENTS[0]}', '{search.LAT}', '{search.LONG}') AND NOT ({_DATE})"
+
+
+@BOOK.add("txt_build", f""", qt AS (SELECT * FROM quads UNION ALL SELECT * FROM q_text UNION ALL SELECT * FROM q_sameas), sr AS (SELECT s AS node, max(rank) AS rank FROM quads JOIN ranks r ON c = r.node GROUP BY s)
+  SELECT qt.s, {', '.join(f'{_set(v)} AS {k}, {_set(f"{v} AND {_OWN}")} AS auth_{k}' for k, v in _FIELDS.items())}, {_set(_REST)} AS texts, {_set(f"p = {SAME}")} AS same_as, {_set("o LIKE '<%.png>'")} AS images,
+  min(o) FILTER (p = '{search.LAT}') AS lat, min(o) FILTER (p = '{search.LONG}') AS long, list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(qt.s, '^<[^:]*:/*[^/]*', '')), '[a-z0-9]+'))) AS keywords,
+  coalesce(max(sr.rank), 1e-7) AS rank FROM qt LEFT JOIN sr ON qt.s = sr.node GROUP BY qt.s HAVING bool_or(p <> {SAME})""")
 def txt_build(spark, d):
-    return search.subject_documents(views(spark, d, "quads")[0], (f"<{V}name>",)).select("s", "labels", "texts", "types")
+    quads, text, same, ranks = views(spark, d, "quads", "q_text", "q_sameas", "ranks")
+    own = quads.join(ranks, quads["c"] == ranks["node"]).groupBy("s").agg(F.max("rank").alias("rank")).withColumnRenamed("s", "node")
+    return search.subject_documents(quads.unionByName(text).unionByName(same), (f"<{V}name>",), own).drop("host")
 
 
 for _name in ("txt_tokenize", "src_index_text"):

@@ -59,6 +59,7 @@ _SCHEMA = (
     ("BUILDING", f"{_RDFS}subClassOf", "Customer"), ("Customer", f"{_OWL}equivalentClass", "Client"), ("Purchase", f"{_OWL}intersectionOf", "Event"), ("Party", f"{_OWL}unionOf", "Client"),
     ("customer", f"{_RDFS}subPropertyOf", "agent"), ("agent", f"{_RDFS}domain", "Event"), ("agent", f"{_RDFS}range", "Customer"), ("customer", f"{_OWL}inverseOf", "orders"),
     ("seeAlso", f"{_RDFS}subPropertyOf", "relatedTo"), ("relatedTo", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", f"{_OWL}SymmetricProperty"), ("name", f"{_OWL}equivalentProperty", "title"),
+    *((p, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", f"{_OWL}{kind}Property") for p, kind in (("mbox", "InverseFunctional"), ("customer", "Functional"), ("supplier", "Functional"))),
 )
 
 #: Views in SQL that Spark and DuckDB read alike; later ones use earlier ones.
@@ -76,6 +77,12 @@ VIEWS = {
         *((a, f"'{TYPE}'", f"'<{V}{c}>'") for a, c in ((0, "Active"), (1, "Inactive"), (0, "Person"), (1, "Company"), (0, "Hermit"), (0, "Loner"), (5, "Vip"), (0, "Solo"))),
         (1, f"'<{V}phone>'", "concat('\"', c_custkey, '\"')"), (0, "'<http://www.w3.org/2002/07/owl#differentFrom>'", _CUST.format(k="(c_custkey + 1)")),
     )),
+    "q_text": " UNION ALL ".join(f"SELECT {_CUST.format(k='c_custkey')} AS s, '<{p}>' AS p, {o} AS o, {c} AS c FROM customer" for p, o, c in (
+        (f"{_RDFS}comment", "concat('\"segment ', lower(c_mktsegment), '\"@en')", _DOC.format(k="c_custkey")), (f"{_RDFS}comment", "concat('\"nation ', c_nationkey, '\"')", _CUST.format(k="c_custkey")),
+        (f"{V}name", "concat('\"', lower(c_name), '\"')", _CUST.format(k="c_custkey")), ("http://purl.org/dc/terms/date", "concat('\"20', 10 + c_nationkey, '-01-01\"^^<http://www.w3.org/2001/XMLSchema#date>')", _DOC.format(k="c_custkey")),
+        ("http://www.w3.org/2003/01/geo/wgs84_pos#lat", "concat('\"', c_nationkey, '.5\"')", _DOC.format(k="c_custkey")), ("http://www.w3.org/2003/01/geo/wgs84_pos#long", "concat('\"-', c_nationkey, '.25\"')", _DOC.format(k="c_custkey")),
+        ("http://xmlns.com/foaf/0.1/img", "concat('<http://img.example.org/', c_custkey, '.png>')", _DOC.format(k="c_custkey")),
+    )),
     "tbox": "SELECT s, p, o, c FROM (VALUES " + ", ".join(f"('<{V}{a}>', '<{b}>', '<{V if not o.startswith('http') else ''}{o}>', '<{V[:-1]}>')" for a, b, o in _SCHEMA) + ") AS t(s, p, o, c)",
     "quads": "SELECT * FROM q_orders UNION ALL SELECT * FROM q_type UNION ALL SELECT * FROM q_line UNION ALL SELECT * FROM q_name UNION ALL SELECT * FROM q_ref",
     "contexts": "SELECT DISTINCT c FROM quads",
