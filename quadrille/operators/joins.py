@@ -65,14 +65,9 @@ def shared_value_pairs(quads: DataFrame, key: tuple[str, ...] = ("p", "o"), memb
 
 
 def touching(quads: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Quads whose subject, predicate or object is among the nodes (node)."""
-    n = nodes.select("node").distinct()
-    out = quads.select(*Q)
-    hits = None
-    for position in ("s", "p", "o"):
-        one = out.join(n.withColumnRenamed("node", position), position, "left_semi").select(*Q)
-        hits = one if hits is None else hits.unionByName(one)
-    return hits.distinct()
+    """Quads, each once, whose subject, predicate or object is among the nodes (node): their positions meet the nodes in one join."""
+    spots = quads.select(*Q, F.explode(F.array_distinct(F.array("s", "p", "o"))).alias("node"))
+    return spots.join(nodes.select("node").distinct(), "node", "left_semi").select(*Q).distinct()
 
 
 def matching(quads: DataFrame, patterns: list[tuple[str | None, str | None, str | None]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.session import written
+
 TRIPLE = ("s", "p", "o")
 
 
@@ -45,3 +47,16 @@ def sortedness(quads: DataFrame, order: tuple[str, ...], partition: str) -> Data
     key = F.struct(*order)
     prev = F.lag(key).over(Window.partitionBy(partition).orderBy("pos"))
     return quads.withColumn("__bad", prev.isNotNull() & (key < prev)).where("__bad").drop("__bad")
+
+
+def numbered(rows: DataFrame, by: list[str], position: str = "pos") -> DataFrame:
+    """Rows with their place in the order by the given columns, from 1.
+
+    Rows go to ranges of the order, whose bounds are sampled; a frequent value is cut by the columns that follow it, and by those not in `by`. The sizes of the
+    ranges, one row for each, are added to the places within. The ranges are written, since places need them twice."""
+    ordered = [c for c in rows.columns if c not in by]
+    ranges = written(rows.repartitionByRange(*by, *ordered).sortWithinPartitions(*by, *ordered).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*by, *ordered))
+    return ranges.withColumn("__inside", inside).join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__inside") + F.col("__before")).cast("long").alias(position))

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from quadrille.operators import reason
 from quadrille.plans.book import TYPE, Book, strip
+from quadrille.session import written
 from quadrille.sources.quads import V, views
 
 BOOK = Book()
 _RULE = {"p": "'p'", "t": "'t'"}
-_EDGES = ", ed AS (" + " UNION ALL ".join([*(f"SELECT '{k1}' AS k1, {c1} AS n1, '{k2}' AS k2, {c2} AS n2, {turn} AS turn, '{rule}' AS rule FROM tbox WHERE p = '{p}'" for rule, (p, (k1, c1, k2, c2, turn)) in reason.EDGES.items()), f"SELECT 'p', s, 'p', s, 1, 'prp-symp' FROM tbox WHERE p = {TYPE} AND o = '{reason.SYMMETRIC}'"]) + ")"
+_LISTS = f""", li(head, node) AS (SELECT s, s FROM tbox WHERE p = '{reason.FIRST}' UNION SELECT li.head, t.o FROM li JOIN tbox t ON t.s = li.node AND t.p = '{reason.REST}'), lm AS (SELECT DISTINCT li.head, t.o AS member FROM li JOIN tbox t ON t.s = li.node AND t.p = '{reason.FIRST}'),
+  te AS MATERIALIZED (SELECT t.s, t.p, coalesce(m.member, t.o) AS o, t.o AS o0 FROM tbox t LEFT JOIN lm m ON t.o = m.head AND t.p IN ({", ".join(f"'{x}'" for x in reason.OF_LISTS)}))"""
+_EDGES = _LISTS + ", ed AS (" + " UNION ALL ".join([*(f"SELECT '{k1}' AS k1, {c1} AS n1, '{k2}' AS k2, {c2} AS n2, {turn} AS turn, '{rule}' AS rule FROM te WHERE p = '{p}'" for rule, (p, (k1, c1, k2, c2, turn)) in reason.EDGES.items()), f"SELECT 'p', s, 'p', s, 1, 'prp-symp' FROM te WHERE p = {TYPE} AND o = '{reason.SYMMETRIC}'"]) + ")"
 _CLOSED = f"{_EDGES}, cl(k1, n1, k2, n2, turn) AS (SELECT k1, n1, k2, n2, turn FROM ed UNION SELECT cl.k1, cl.n1, ed.k2, ed.n2, (cl.turn + ed.turn) % 2 FROM cl JOIN ed ON cl.k2 = ed.k1 AND cl.n2 = ed.n1)"
 
 
@@ -58,9 +61,9 @@ for _name in ("r_abox", "r_local"):
 def r_rules(spark, d):
     """Every rule for itself, applied once."""
     small, tbox = _data(spark, d)
-    out = None
+    out, flat = None, written(reason.unlisted(tbox), "schema")
     for rule in [*reason.EDGES, "prp-symp"]:
-        one = reason.infer(small, reason.edges(tbox, (rule,)).select("k1", "n1", "k2", "n2", "turn")).select(F.lit(rule).alias("rule"), "s", "p", "o")
+        one = reason.infer(small, reason.edges(flat, (rule,), lists=False).select("k1", "n1", "k2", "n2", "turn")).select(F.lit(rule).alias("rule"), "s", "p", "o")
         out = one if out is None else out.union(one)
     seven = '"7"^^<http://www.w3.org/2001/XMLSchema#integer>'
     two = reason.has_value(small, spark.createDataFrame([(f"<{V}Finnish>", f"<{V}nation>", seven)], "cls string, prop string, value string"))
@@ -71,8 +74,8 @@ def r_rules(spark, d):
     return out
 
 
-_TBOX_RANK = "(1 + length(concat(s, o)) % 6) / 10.0E0"  # of a schema statement
-_RANKED_EDGES = _EDGES.replace(", ed AS (", ", tr_ AS (SELECT *, " + _TBOX_RANK + " AS rank FROM tbox), ed AS (").replace(" AS rule FROM tbox", " AS rule, rank FROM tr_").replace("'prp-symp' FROM tbox", "'prp-symp', rank FROM tr_")
+_TBOX_RANK = "(1 + length(concat(s, {o})) % 6) / 10.0E0"  # of a schema statement
+_RANKED_EDGES = _EDGES.replace(", ed AS (", ", tr_ AS (SELECT *, " + _TBOX_RANK.format(o="o0") + " AS rank FROM te), ed AS (").replace(" AS rule FROM te", " AS rule, rank FROM tr_").replace("'prp-symp' FROM te", "'prp-symp', rank FROM tr_")
 _RANKED_CLOSED = f"{_RANKED_EDGES}, cx(k1, n1, k2, n2, turn, \"by\") AS (SELECT k1, n1, k2, n2, turn, rank FROM ed UNION SELECT cx.k1, cx.n1, ed.k2, ed.n2, (cx.turn + ed.turn) % 2, least(cx.by, ed.rank) FROM cx JOIN ed ON cx.k2 = ed.k1 AND cx.n2 = ed.n1), cl AS (SELECT k1, n1, k2, n2, turn, max(\"by\") AS \"by\" FROM cx GROUP BY ALL)"
 
 
@@ -80,4 +83,4 @@ _RANKED_CLOSED = f"{_RANKED_EDGES}, cx(k1, n1, k2, n2, turn, \"by\") AS (SELECT
 def r_annot(spark, d):
     """Inferences ranked by their statement, the weakest schema statement of the best way, and the rule."""
     ranked, tbox = views(spark, d, "ranked", "tbox")
-    return reason.infer_ranked(ranked, reason.templates(tbox.withColumn("rank", F.expr(_TBOX_RANK)), rank=True), 0.5)
+    return reason.infer_ranked(ranked, reason.templates(tbox.withColumn("rank", F.expr(_TBOX_RANK.format(o="o"))), rank=True), 0.5)

@@ -246,14 +246,7 @@ def win_active_group(spark, d):
 
 @BOOK.add("srt_ext", "SELECT o, p, s, c, row_number() OVER (ORDER BY o, p, s, c) AS pos FROM q_name")
 def srt_ext(spark, d):
-    from pyspark.sql import Window
-
-    q = views(spark, d, "q_name")[0].select("o", "p", "s", "c")
-    # positions without one global window: counts of each leading part are added to positions inside it
-    lead = F.substring("o", 1, 6)
-    before = q.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("lead").orderBy("o", "p", "s", "c"))
-    return q.withColumn("lead", lead).join(before, "lead").select("o", "p", "s", "c", (inside + F.col("before")).cast("long").alias("pos"))
+    return sets.numbered(views(spark, d, "q_name")[0].select("o", "p", "s", "c"), ["o", "p", "s", "c"])
 
 
 @BOOK.add("srt_merge", "SELECT * FROM q_name UNION ALL SELECT * FROM q_sameas")

@@ -52,11 +52,13 @@ _DOC = "concat('<http://src', ({k}) % 7, '.example.org/doc/', CAST(floor(({k}) /
 _ORDER = "concat('<http://o', o_orderkey % 5, '.example.org/order/', o_orderkey, '>')"
 _LINE_ORDER = "concat('<http://o', l_orderkey % 5, '.example.org/order/', l_orderkey, '>')"
 
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _RDFS, _OWL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 _SCHEMA = (
     ("OrderF", f"{_RDFS}subClassOf", "ClosedOrder"), ("OrderO", f"{_RDFS}subClassOf", "OpenOrder"), ("OrderP", f"{_RDFS}subClassOf", "OpenOrder"),
     ("ClosedOrder", f"{_RDFS}subClassOf", "Order"), ("OpenOrder", f"{_RDFS}subClassOf", "Order"), ("Order", f"{_OWL}equivalentClass", "Purchase"),
-    ("BUILDING", f"{_RDFS}subClassOf", "Customer"), ("Customer", f"{_OWL}equivalentClass", "Client"), ("Purchase", f"{_OWL}intersectionOf", "Event"), ("Party", f"{_OWL}unionOf", "Client"),
+    ("BUILDING", f"{_RDFS}subClassOf", "Customer"), ("Customer", f"{_OWL}equivalentClass", "Client"), ("Purchase", f"{_OWL}intersectionOf", "l1"), ("Party", f"{_OWL}unionOf", "l3"),
+    *((a, f"{_RDF}{b}", o) for a, b, o in (("l1", "first", "Event"), ("l1", "rest", "l2"), ("l2", "first", "Paid"), ("l2", "rest", f"{_RDF}nil"), ("l3", "first", "Client"), ("l3", "rest", "l4"), ("l4", "first", "Firm"), ("l4", "rest", f"{_RDF}nil"))),
     ("customer", f"{_RDFS}subPropertyOf", "agent"), ("agent", f"{_RDFS}domain", "Event"), ("agent", f"{_RDFS}range", "Customer"), ("customer", f"{_OWL}inverseOf", "orders"),
     ("seeAlso", f"{_RDFS}subPropertyOf", "relatedTo"), ("relatedTo", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", f"{_OWL}SymmetricProperty"), ("name", f"{_OWL}equivalentProperty", "title"),
     *((p, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", f"{_OWL}{kind}Property") for p, kind in (("mbox", "InverseFunctional"), ("customer", "Functional"), ("supplier", "Functional"))),
