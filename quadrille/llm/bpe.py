@@ -5,7 +5,7 @@ is in the vocabulary is queued by its rank, and popped entries whose symbols hav
 skipped as stale. Decoding concatenates the vocabulary's byte strings.
 
 A batch of documents is cut into pretokens by the GPT-2 rule in NumPy, each distinct pretoken of the
-batch is encoded once (a cache of at most 2 * CACHE_WORDS short ones keeps them between batches, some 60 MB), and the ids are put back in
+batch is encoded once (a cache of at most 2 * CACHE_WORDS short ones keeps them between batches, some 40 MB), and the ids are put back in
 order. Equal 64-bit hashes are compared character by character before they share an encoding.
 
 Nulls: a null text has null ids and null counts. An empty text has an empty list. Repeated rows,
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from quadrille.llm import vec
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE_WORDS, CACHED_LENGTH = 150_000, 24  # pretokens in each half of a worker's cache, and their greatest length
+CACHE_WORDS, CACHED_LENGTH = 100_000, 24  # pretokens in each half of a worker's cache, and their greatest length
 
 
 class Vocabulary:
@@ -265,6 +265,7 @@ def encode(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY,
     raw = load(docs.sparkSession, vocabulary)
     schema = T.StructType([*docs.schema.fields, *made])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _parsed(raw.value)
         for whole in batches:
@@ -287,6 +288,7 @@ def count(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY) -
     kept = [f for f in docs.schema.fields if f.name != column]
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType())])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _parsed(raw.value)
         for batch in batches:
@@ -303,6 +305,7 @@ def decode(tokens: DataFrame, column: str = "token_ids", output: str = "decoded"
     raw = load(tokens.sparkSession, vocabulary)
     schema = T.StructType([*tokens.schema.fields, T.StructField(output, T.StringType())])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _parsed(raw.value)
         for batch in batches:

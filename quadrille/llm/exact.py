@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadrille.llm import vec
+
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 69069069)
@@ -102,6 +104,7 @@ def combine(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """
     schema = T.StructType([T.StructField(key, chunks.schema[key].dataType), T.StructField(order, chunks.schema[order].dataType), *(T.StructField(f"{x}{i}", T.LongType()) for i in range(2) for x in "hs"), T.StructField("n", T.LongType())])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offset = _bytes_of(b.column(text))
@@ -146,6 +149,7 @@ def _with_fingerprints(docs: DataFrame, column: str, id_column: str, carried: li
     fields = [docs.schema[c] for c in carried]
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in fields), T.StructField("__fp", T.LongType()), T.StructField("__fp_bytes", T.LongType()), T.StructField("__fp_copy_of", T.LongType()), T.StructField("__fp_copy", T.BooleanType())])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(column)
@@ -188,6 +192,7 @@ def _classes(rows: DataFrame, column: str, id_column: str, out: T.StructType, em
     placed = rows.withColumn("__fp_spread", spread).repartition("__fp", "__fp_spread")
     ordered = placed.sortWithinPartitions(F.col("__fp"), F.col("__fp_bytes"), F.col("__fp_copy"), F.col(id_column).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in others)).drop("__fp_spread")
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads = None, []
         of_local: dict = {}

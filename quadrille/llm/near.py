@@ -109,6 +109,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
         none = pa.nulls(len(token))
         return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], names=schema.names)
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for b in batches:
@@ -208,6 +209,7 @@ def _entries(docs: DataFrame, counts, buckets: int, n: int, threshold: float) ->
 
     A task sends a set once, however many of its documents have it (8 bytes are kept for each set of the task)."""
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = counts.value, np.zeros(0, U64)
         for b in batches:
@@ -268,6 +270,7 @@ def _postings(entries: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
         at = np.repeat(cut - offset[:-1], size) + np.arange(offset[-1])
         return pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.LargeListArray.from_arrays(pa.array(offset, pa.int64()), pa.array(key[at].view(np.int64))).cast(pa.list_(pa.int64()))], names=["leader", "members"])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, ([], [], [])
         for b in batches:
@@ -341,6 +344,7 @@ def _counted(lists_: DataFrame, homes: DataFrame) -> DataFrame:
     large = written(work.select(F.col("leader").alias("large"), F.ceil(F.sqrt(2 * F.col("pairs") / LIST_PAIRS)).cast("int").alias("cut")), "near-leaders")
     known = _checked(large, 100_000)
 
+    @vec.tidy
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for leader, cut, members in zip(b.column("leader").to_pylist(), b.column("cut").to_pylist(), b.column("members"), strict=True):
@@ -382,6 +386,7 @@ def _counted(lists_: DataFrame, homes: DataFrame) -> DataFrame:
             code = np.flatnonzero(dense)
             yield emit(leader, known, code, dense[code])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = [], 0
 
@@ -467,6 +472,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, many: bool, n: int) -> DataFram
         table = sc.broadcast([x[order] for x in (key, cell, speaker, count)])
         ids = sc.broadcast(np.unique(speaker))
 
+        @vec.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names_, cell, speaker, count = table.value
             for b in batches:
@@ -491,6 +497,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, many: bool, n: int) -> DataFram
         bits[(r["page"] - 1) * 4096 :][: len(raw)] = raw
     sent = sc.broadcast(bits)
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for b in batches:
@@ -578,6 +585,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, speakers: DataFrame, n: in
         some = np.flatnonzero(links)
         return [key[some], speaker[some], speaker[joined(len(key), ia, ib)][some], links[some].astype(np.int64)]
 
+    @vec.tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         current, held, out, rows = None, [], [], 0
@@ -631,6 +639,7 @@ def _judged(docs: DataFrame, n: int, threshold: float, schema: str) -> tuple[Dat
     lists_, homes = _postings(_entries(docs, counts, buckets, n, threshold), buckets)
     candidates = written(_counted(lists_, homes), "near-candidates")
     forget(lists_, homes)
+    counts.unpersist()
     return members.select("doc_id", "key"), speakers, _verified(docs, candidates, speakers, n, threshold, schema)
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quadrille.llm import vec
+
 _LOCAL = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9_.%+\-]*[A-Za-z0-9_%+\-])?")
 _DOMAIN_RUN = re.compile(r"[\w.\-]*")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
@@ -251,6 +253,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, value) of all matches."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         for b in batches:

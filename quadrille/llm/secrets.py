@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quadrille.llm import vec
+
 MIN_LENGTH, THRESHOLD, SMOOTHING = 16, 12.0, 0.5
 ORDINARY = ("identifier", "number")
 CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-="
@@ -170,6 +172,7 @@ def scan(docs: DataFrame, samples: Iterable[tuple[str, str]] | None = None, thre
     model = docs.sparkSession.sparkContext.broadcast(Model(samples if samples is not None else labelled_samples()))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "length")), T.StructField("score", T.DoubleType())])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, start, found = [], [], []

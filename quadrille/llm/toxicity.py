@@ -282,6 +282,7 @@ def tag(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFram
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("toxic_tokens", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm import vec
+
 U64 = np.uint64
 RULES = (
     ("allow_docs", "*://docs.*/*", "keep"),
@@ -125,6 +127,7 @@ def screen(pages: DataFrame, column: str = "url", id_column: str = "page_id", ru
     globs = [r[1] for r in rules]
     kind = pages.schema[id_column].dataType.simpleString()
 
+    @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(globs)
         for b in batches:

@@ -6,6 +6,7 @@ block in NumPy, so the cost per character is a few nanoseconds whatever the voca
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -85,6 +86,22 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts
 
 
+def tidy(run):
+    """A function over batches that hands back to the system, at the end of a task, what its worker no longer needs."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def each(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts of a column, of which few at a time become Python strings."""
     for at in range(0, len(column), rows):
