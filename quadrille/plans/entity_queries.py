@@ -281,17 +281,17 @@ def i_degree(spark, d):
     return _flat(conflicts.degrees(_violations(spark, d, cons), _triple_ranks(spark, d, cons)))
 
 
-@BOOK.add("agg_incon_stats", f"{_VIO}{_RK} SELECT rule, count(*) AS violations, count(DISTINCT vi.s) AS subjects, max(least(coalesce(a.rank, 0.0), coalesce(b.rank, 0.0))) AS degree_max, round(sum(least(coalesce(a.rank, 0.0), coalesce(b.rank, 0.0))), 6) AS degree_sum FROM vi LEFT JOIN rc a ON first = a.k LEFT JOIN rc b ON second = b.k GROUP BY rule")
+@BOOK.add("agg_incon_stats", f"{_VIO}{_RK} SELECT rule, count(*) AS violations, count(DISTINCT (least(first, second), greatest(first, second))) AS pairs, count(DISTINCT vi.s) AS subjects, max(least(coalesce(a.rank, 0.0), coalesce(b.rank, 0.0))) AS degree_max, round(sum(least(coalesce(a.rank, 0.0), coalesce(b.rank, 0.0))), 6) AS degree_sum FROM vi LEFT JOIN rc a ON first = a.k LEFT JOIN rc b ON second = b.k GROUP BY rule")
 def agg_incon_stats(spark, d):
     cons = _consolidated(spark, d)
     return conflicts.rule_stats(conflicts.degrees(_violations(spark, d, cons), _triple_ranks(spark, d, cons))).withColumn("degree_sum", F.round("degree_sum", 6))
 
 
-@BOOK.add("agg_incon_sets", f"{_VIO} SELECT least(first, second) AS first, greatest(first, second) AS second, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules, count(*) AS n FROM vi GROUP BY 1, 2")
+@BOOK.add("agg_incon_sets", f"{_VIO} SELECT least(first, second) AS first, greatest(first, second) AS second, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules, count(*) AS n, count(DISTINCT rule) = 1 AS one_rule FROM vi GROUP BY 1, 2")
 def agg_incon_sets(spark, d):
     text = _flat(_violations(spark, d, _consolidated(spark, d)))
     g = conflicts.grouped(text)
-    return g.select(F.element_at("statements", 1).alias("first"), F.element_at("statements", -1).alias("second"), F.array_join("rules", ",").alias("rules"), "n")
+    return g.select(F.element_at("statements", 1).alias("first"), F.element_at("statements", -1).alias("second"), F.array_join("rules", ",").alias("rules"), "n", (F.size("rules") == 1).alias("one_rule"))
 
 
 @BOOK.add("i_provenance", f"{_CONS} SELECT s, p, o, array_to_string(list_sort(list(DISTINCT coalesce(s_orig, s))), ' ') AS ids FROM cons GROUP BY s, p, o")

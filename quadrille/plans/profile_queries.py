@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import stats
-from quadrille.plans.book import TYPE, Book, datatype, kind, lang, ns, pld, tld
-from quadrille.sources.quads import V, views
+from quadrille.operators import rank, stats
+from quadrille.plans.book import TYPE, Book, datatype, kind, lang, ns, pld, strip, tld
+from quadrille.session import written
+from quadrille.sources.quads import views
 
 BOOK = Book()
 _PS = ", g AS (SELECT s, p, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM quads) GROUP BY s, p), ps AS (SELECT coalesce(p, 'ALL') AS p, count(*) AS occurrences, sum(n)::BIGINT AS triples, sum(n)::DOUBLE / count(*) AS average FROM g GROUP BY ROLLUP (p))"
@@ -70,9 +71,20 @@ def sink_void(spark, d):
     return stats.void_lines(stats.dataset_profile(views(spark, d, "quads")[0]), "urn:dataset")
 
 
-@BOOK.add("agg_cspo_stats", f"SELECT 'pld' AS measure, {pld('c')} AS name, count(DISTINCT c) AS documents FROM quads GROUP BY 2 UNION ALL SELECT 'predicate', p, count(DISTINCT c) FROM quads GROUP BY p UNION ALL SELECT 'class', o, count(DISTINCT c) FROM quads WHERE p = {TYPE} GROUP BY o")
+_SPOTS = f"SELECT {strip('c')} AS src, s AS x FROM quads UNION ALL SELECT {strip('c')}, o FROM quads WHERE p <> {TYPE}"
+_PLD_LINKS = f", dl AS (SELECT DISTINCT {pld('src')} AS src, {pld('x')} AS dst FROM ({_SPOTS}) WHERE starts_with(x, '<'))"
+
+
+@BOOK.add("agg_cspo_stats", f"""{_PLD_LINKS} SELECT 'pld' AS measure, {pld('c')} AS name, count(DISTINCT c) AS n FROM quads GROUP BY 2 UNION ALL SELECT 'predicate', p, count(DISTINCT c) FROM quads GROUP BY p UNION ALL SELECT 'class', o, count(DISTINCT c) FROM quads WHERE p = {TYPE} GROUP BY o
+  UNION ALL SELECT 'pld_out', src, count(*) FROM dl WHERE src <> dst GROUP BY src UNION ALL SELECT 'pld_in', dst, count(*) FROM dl WHERE src <> dst GROUP BY dst""")
 def agg_cspo_stats(spark, d):
-    return stats.document_profile(views(spark, d, "quads")[0])
+    """Documents by domain, predicate and class; domains that each links to and that link to it."""
+    quads = views(spark, d, "quads")[0]
+    links = written(rank.domain_links(quads), "domain-links")
+    out = stats.document_profile(quads).withColumnRenamed("documents", "n")
+    for measure, end in (("pld_out", "src"), ("pld_in", "dst")):
+        out = out.union(links.groupBy(end).agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), F.col(end).alias("name"), "n"))
+    return out
 
 
 @BOOK.add("agg_classpred", f""", k AS (SELECT c, 'class' AS kind, o AS name FROM quads WHERE p = {TYPE} UNION ALL SELECT c, 'predicate', p FROM quads UNION ALL SELECT c, 'datatype', {datatype('o')} FROM quads WHERE starts_with(o, '"')),
@@ -94,12 +106,16 @@ def agg_dupes(spark, d):
     return stats.duplicate_contexts(a.unionByName(b))
 
 
-@BOOK.add("agg_rdfvocab", f", u AS (SELECT DISTINCT s, p, o FROM quads WHERE contains(p, '22-rdf-syntax-ns#') OR contains(o, '22-rdf-syntax-ns#')) SELECT 'class' AS kind, o AS name, count(*) AS n FROM u WHERE p = {TYPE} GROUP BY o UNION ALL SELECT 'predicate', p, count(*) FROM u GROUP BY p")
+@BOOK.add("agg_rdfvocab", f""", tr AS (SELECT DISTINCT s, p, o FROM quads), u AS (SELECT * FROM tr WHERE contains(p, '22-rdf-syntax-ns#') OR contains(o, '22-rdf-syntax-ns#'))
+  SELECT 'class' AS kind, o AS name, count(*) AS n FROM u WHERE p = {TYPE} GROUP BY o UNION ALL SELECT 'predicate', p, count(*) FROM u GROUP BY p
+  UNION ALL SELECT 'literal_predicate', p, count(*) FROM tr WHERE starts_with(o, '"') GROUP BY p UNION ALL SELECT 'datatype', {datatype('o')}, count(*) FROM tr WHERE starts_with(o, '"') GROUP BY 2""")
 def agg_rdfvocab(spark, d):
-    rdf = "22-rdf-syntax-ns#"
-    u = views(spark, d, "quads")[0].where(F.col("p").contains(rdf) | F.col("o").contains(rdf)).select("s", "p", "o").distinct()
-    c = u.where(F.col("p") == t.RDF_TYPE).groupBy(F.col("o").alias("name")).agg(F.count("*").alias("n")).select(F.lit("class").alias("kind"), "name", "n")
-    return c.union(u.groupBy(F.col("p").alias("name")).agg(F.count("*").alias("n")).select(F.lit("predicate").alias("kind"), "name", "n"))
+    """Classes and predicates of statements that use the RDF vocabulary; predicates of literals and datatypes of all."""
+    rdf, p, o = "22-rdf-syntax-ns#", F.col("p"), F.col("o")
+    used = p.contains(rdf) | o.contains(rdf)
+    kinds = (("class", F.when(used & (p == t.RDF_TYPE), o)), ("predicate", F.when(used, p)), ("literal_predicate", F.when(t.is_literal(o), p)), ("datatype", F.when(t.is_literal(o), t.datatype(o))))
+    spots = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in kinds)))
+    return views(spark, d, "quads")[0].select("s", "p", "o").distinct().select(spots.alias("e")).where("e.name IS NOT NULL").groupBy("e.kind", "e.name").agg(F.count("*").alias("n"))
 
 
 @BOOK.add("agg_ns", f", x AS (SELECT DISTINCT 'class' AS kind, o AS term FROM quads WHERE p = {TYPE} UNION SELECT 'predicate', p FROM quads) SELECT kind, {ns('term')} AS ns, count(*) AS n FROM x GROUP BY 1, 2 UNION ALL SELECT 'all', {ns('term')}, count(*) FROM x GROUP BY 2")
@@ -110,7 +126,11 @@ def agg_ns(spark, d):
     return both.groupBy("kind", "ns").agg(F.count("*").alias("n"))
 
 
-@BOOK.add("agg_patterncard", f"SELECT sum(CASE WHEN p = {TYPE} THEN 1 ELSE 0 END)::BIGINT AS types, sum(CASE WHEN p = '<{V}customer>' THEN 1 ELSE 0 END)::BIGINT AS customers, sum(CASE WHEN p = {TYPE} AND o = '<{V}OrderF>' THEN 1 ELSE 0 END)::BIGINT AS finished FROM quads")
+@BOOK.add("agg_patterncard", f", te AS (SELECT DISTINCT s AS term FROM tbox), pt AS (SELECT 'predicate' AS kind, term FROM te UNION ALL SELECT 'class', term FROM te) SELECT kind, term, count(q.s) AS n FROM pt LEFT JOIN quads q ON CASE WHEN kind = 'predicate' THEN q.p = term ELSE q.p = {TYPE} AND q.o = term END GROUP BY kind, term")
 def agg_patterncard(spark, d):
-    tests = {"types": F.col("p") == t.RDF_TYPE, "customers": F.col("p") == f"<{V}customer>", "finished": (F.col("p") == t.RDF_TYPE) & (F.col("o") == f"<{V}OrderF>")}
-    return views(spark, d, "quads")[0].agg(*(F.sum(x.cast("long")).alias(k) for k, x in tests.items()))
+    """Statements that each pattern with a term of the schema matches: (?, term, ?) and (?, type, term); none count 0."""
+    quads, tbox = views(spark, d, "quads", "tbox")
+    spots = F.explode(F.array(F.struct(F.lit("predicate").alias("kind"), F.col("p").alias("term")), F.struct(F.lit("class").alias("kind"), F.when(F.col("p") == t.RDF_TYPE, F.col("o")).alias("term"))))
+    met = quads.select(spots.alias("e")).groupBy("e.kind", "e.term").agg(F.count("*").alias("n"))
+    patterns = tbox.select(F.col("s").alias("term")).distinct().select(F.explode(F.array(F.lit("predicate"), F.lit("class"))).alias("kind"), "term")
+    return patterns.join(met, ["kind", "term"], "left").select("kind", "term", F.coalesce("n", F.lit(0)).alias("n"))
