@@ -112,3 +112,76 @@ def test_contradicting_members_part():
     ids = ["a", "b", "c", "d"]
     got = conflicts.partition_class(ids, {("a", "c"), ("b", "c")}, [("a", "b", 2.0, 0.0), ("b", "c", 1.0, 0.0), ("c", "d", 1.0, 0.0), ("a", "d", 0.5, 0.0)])
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_similarity_scores_by_hand(spark):
+    """Both ways: of a shared value the greatest confidence counts, noisy-or within predicate and way, by 1 / mean, then across."""
+    from quadrille.operators import entities
+
+    rows = [("<a>", "<p>", "<v>"), ("<b>", "<p>", "<v>"), ("<a>", "<p>", "<w>"), ("<b>", "<p>", "<w>"), ("<c>", "<p>", "<w>"), ("<a>", "<q>", '"x"'), ("<b>", "<q>", '"x"'), ("<v>", "<r>", "<a>"), ("<v>", "<r>", "<b>"), ("<v>", "<r>", '"y"')]
+    quads = spark.createDataFrame([(*r, "<doc>") for r in rows], "s string, p string, o string, c string")
+
+    def stats(way):
+        groups = {}
+        for s, p, o in rows:
+            groups.setdefault((p, s if way == "s" else o), set()).add(o if way == "s" else s)
+        by = {}
+        for (p, _), g in groups.items():
+            by.setdefault(p, []).append(len(g))
+        n, occ, tri = len(by) + 1, sum(map(len, by.values())), sum(map(sum, by.values()))
+        return groups, {p: ((sum(g) + tri / n) / (len(g) + occ / n), sum(g) / len(g)) for p, g in by.items()}
+
+    best = {}
+    for way in "so":
+        groups, means = stats(way)
+        for (p, shared), g in groups.items():
+            able = sorted(x for x in g if not x.startswith('"'))
+            for i, a in enumerate(able):
+                for b in able[i + 1 :]:
+                    best.setdefault((a, b), {}).setdefault(shared, []).append((-1 / (means[p][0] * len(g)), p, way, means[p][1]))
+    want = {}
+    for pair, values in best.items():
+        within = {}
+        for c, p, way, mean in map(min, values.values()):
+            within.setdefault((p, way, mean), []).append(-c)
+        left = 1.0
+        for (_, _, mean), confidences in within.items():
+            miss = 1.0
+            for c in confidences:
+                miss *= 1 - c
+            left *= 1 - (1 - miss) / mean
+        want[pair] = 1 - left
+    got = {(r.a, r.b): r.score for r in entities.aggregate_similarity(entities.concurrence(quads, entities.averages(quads))).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_repair_rescues_what_other_premises_derive(spark):
+    ranked = spark.createDataFrame([("a", "p", "x", 0.5), ("b", "p", "x", 0.4), ("c", "p", "x", 0.9)], "s string, p string, o string, rank double")
+    inferred = spark.createDataFrame([("t", "q", "y", 0.5, "a", "p", "x"), ("t", "q", "y", 0.4, "b", "p", "x"), ("u", "q", "y", 0.5, "a", "p", "x"), ("c", "p", "x", 0.2, "b", "p", "x")], "s string, p string, o string, rank double, s0 string, p0 string, o0 string")
+    gone = spark.createDataFrame([("a", "p", "x")], "s string, p string, o string")
+    got = sorted(tuple(r) for r in conflicts.repair(ranked, inferred, gone).collect())
+    assert got == [("b", "p", "x", 0.4, "asserted"), ("c", "p", "x", 0.9, "asserted"), ("t", "q", "y", 0.4, "inferred")]
+
+
+def test_collections_and_ranked_templates(spark):
+    from quadrille.operators import reason
+
+    first, rest, inter, sub = reason.FIRST, reason.REST, reason.OF_LISTS[0], f"<{reason.RDFS}subClassOf>"
+    schema = spark.createDataFrame([("<A>", inter, "<l1>", 0.5), ("<l1>", first, "<B>", 1.0), ("<l1>", rest, "<l2>", 1.0), ("<l2>", first, "<C>", 1.0), ("<l2>", rest, "<nil>", 1.0), ("<C>", sub, "<D>", 0.3), ("<A>", sub, "<E>", 0.2), ("<E>", sub, "<D>", 0.9)], "s string, p string, o string, rank double")
+    assert sorted(tuple(r) for r in reason.list_members(schema).collect() if r.head == "<l1>") == [("<l1>", "<B>"), ("<l1>", "<C>")]
+    got = {(r.n1, r.n2): r["rank"] for r in reason.templates(schema, rank=True).collect()}
+    assert got == {("<A>", "<B>"): 0.5, ("<A>", "<C>"): 0.5, ("<C>", "<D>"): 0.3, ("<A>", "<E>"): 0.2, ("<E>", "<D>"): 0.9, ("<A>", "<D>"): 0.3}
+
+
+def test_components_with_a_hub(spark):
+    from quadrille.operators.graph import components
+
+    edges = [(0, k) for k in range(1, 200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5), (7, None)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{k: 0 for k in range(200)}, **{1000 + k: 1000 for k in range(41)}}
+
+
+def test_places_in_an_order(spark):
+    rows = [(k % 3, k, "x" * (k % 5)) for k in range(60)] + [(1, 7, "y")] * 3
+    got = sorted((r.pos, r.a, r.b, r.c) for r in sets.numbered(spark.createDataFrame(rows, "a int, b int, c string").repartition(4), ["a"]).collect())
+    assert [p for p, *_ in got] == list(range(1, 64)) and [a for _, a, *_ in got] == sorted(r[0] for r in rows)
