@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import time
 import unicodedata
 from collections.abc import Iterator
 
@@ -86,18 +87,31 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts
 
 
+TIDY_SECONDS = 2.0
+
+
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):
-    """A function over batches that hands back to the system, at the end of a task, what its worker no longer needs."""
+    """A function over batches that hands back to the system, now and then and at the end of a task, memory that is free in its worker."""
 
     @functools.wraps(run)
     def tidied(batches):
+        since = time.monotonic()
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                del out
+                if time.monotonic() - since > TIDY_SECONDS:
+                    _hand_back()
+                    since = time.monotonic()
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _hand_back()
 
     return tidied
 
