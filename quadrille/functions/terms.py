@@ -56,10 +56,8 @@ def path(t: Column) -> Column:
 def pay_level_domain(t: Column) -> Column:
     """Registered domain of an IRI, or no_pld."""
     h = host(t)
-    tail = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
-    longer = F.regexp_extract(h, rf"([^.]+\.(?:{tail}))$", 1)
-    short = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
-    return F.when(~is_iri(t), "no_pld").when(longer != "", longer).when(short != "", short).when(h != "", h).otherwise("no_pld")
+    two = F.substring_index(h, ".", -2)
+    return F.when(~is_iri(t) | (h == ""), "no_pld").when(two.isin(*SUFFIXES), F.substring_index(h, ".", -3)).otherwise(two)
 
 
 def top_level_domain(t: Column) -> Column:

@@ -32,8 +32,12 @@ def host(x: str) -> str:
 
 
 def pld(x: str) -> str:
-    h, tail = host(x), "|".join(s.replace(".", "\\.") for s in SUFFIXES)
-    return f"CASE WHEN NOT starts_with({x}, '<') THEN 'no_pld' WHEN regexp_extract({h}, '([^.]+\\.(?:{tail}))$', 1) <> '' THEN regexp_extract({h}, '([^.]+\\.(?:{tail}))$', 1) WHEN regexp_extract({h}, '([^.]+\\.[^.]+)$', 1) <> '' THEN regexp_extract({h}, '([^.]+\\.[^.]+)$', 1) WHEN {h} <> '' THEN {h} ELSE 'no_pld' END"
+    labels, known = f"string_split({host(x)}, '.')", ", ".join(f"'{s}'" for s in SUFFIXES)
+
+    def last(n: int) -> str:
+        return f"array_to_string({labels}[greatest(1, len({labels}) - {n - 1}):], '.')"
+
+    return f"CASE WHEN NOT starts_with({x}, '<') OR {host(x)} = '' THEN 'no_pld' WHEN {last(2)} IN ({known}) THEN {last(3)} ELSE {last(2)} END"
 
 
 def tld(x: str) -> str:
