@@ -140,6 +140,7 @@ def _either(confidence) -> Column:
 
 def aggregate_similarity(evidence: DataFrame) -> DataFrame:
     """(a, b, score): of each shared value the greatest confidence counts; noisy-or within a predicate and way, scaled by 1 / mean, then across them."""
+    evidence = evidence.repartition("a", "b")  # one exchange serves all three groupings: their keys begin with the pair
     best = evidence.groupBy("a", "b", "shared").agg(F.min_by(F.struct("p", "way", "confidence", "mean"), F.struct(-F.col("confidence"), "p", "way")).alias("e")).select("a", "b", "e.*")
     within = best.groupBy("a", "b", "p", "way").agg((_either(F.col("confidence")) / F.first("mean")).alias("c"))
     return within.groupBy("a", "b").agg(_either(F.col("c")).alias("score"))
