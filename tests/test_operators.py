@@ -185,3 +185,22 @@ def test_places_in_an_order(spark):
     rows = [(k % 3, k, "x" * (k % 5)) for k in range(60)] + [(1, 7, "y")] * 3
     got = sorted((r.pos, r.a, r.b, r.c) for r in sets.numbered(spark.createDataFrame(rows, "a int, b int, c string").repartition(4), ["a"]).collect())
     assert [p for p, *_ in got] == list(range(1, 64)) and [a for _, a, *_ in got] == sorted(r[0] for r in rows)
+
+
+def test_similarity_of_lists_is_that_of_all_evidence(spark):
+    """Members that pair in several lists of a value count by the best; a pair's evidence moves with the lists, not as rows of its own."""
+    import random
+
+    draw = random.Random(3)
+    names = [f"<n{k}>" for k in range(25)] + ['"x"', '"y"']
+    rows = [(f"<n{draw.randrange(25)}>", f"<p{draw.randrange(4)}>", draw.choice(names), f"<d{k % 2}>") for k in range(400)]
+    quads = spark.createDataFrame(rows + [(f"<m{k}>", "<p0>", "<n3>", "<d>") for k in range(60)], QUADS)
+    lists, kinds = entities.sharing(quads)
+    means = entities.list_averages(lists, kinds)
+    assert lists.where("clash").count() and all(len(x.xs) <= entities.LIMIT for r in lists.collect() for x in r.lists)
+    want = {(r.a, r.b): r.score for r in entities.aggregate_similarity(entities.evidence(lists, means)).collect()}
+    scores = entities.similarity(lists, means)
+    got = {(r.a, r.b): r.score for r in scores.collect()}
+    assert got.keys() == want.keys() and len(want) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    top = scores.limit(3)
+    assert entities.evidence(lists, means, top).count() == entities.evidence(lists, means).join(top, ["a", "b"], "left_semi").count() > 2
