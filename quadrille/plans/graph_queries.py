@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import terms as t
 from quadrille.operators import joins, rank, stats
 from quadrille.plans.book import TYPE, Book, pld, strip
+from quadrille.session import written
 from quadrille.sources.quads import views
 
 BOOK = Book()
@@ -79,7 +80,7 @@ _DOMAINS = f"{_LINKS}, dl AS (SELECT DISTINCT {pld('src')} AS src, {pld('dst')}
 
 @BOOK.add("g_pagerank_na", f"{_DOMAINS}, dd AS (SELECT src, dst FROM dl WHERE src <> dst)" + _page_rank_sql("dd", "SELECT src AS node FROM dd UNION SELECT dst FROM dd"))
 def g_pagerank_na(spark, d):
-    links = rank.domain_links(views(spark, d, "quads")[0])
+    links = written(rank.domain_links(views(spark, d, "quads")[0]), "domain-links")
     return rank.page_rank(links, links.select(F.col("src").alias("node")).union(links.select("dst"))).select("node", F.round("rank", 9).alias("rank"))
 
 

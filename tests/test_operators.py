@@ -204,3 +204,37 @@ def test_similarity_of_lists_is_that_of_all_evidence(spark):
     assert got.keys() == want.keys() and len(want) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     top = scores.limit(3)
     assert entities.evidence(lists, means, top).count() == entities.evidence(lists, means).join(top, ["a", "b"], "left_semi").count() > 2
+
+
+AWKWARD = ["<http://a.b.org/x#y>", "<http://h.org#me>", "<http://h.org>", "<https://u:p@H.co.uk:80/x>", "<http://u#x@h.org/>", "<http:///p>", "<http://a.org?q=/b>", "<mailto:x@y.org>", "<urn:a://b.org/c>", "<a/b://c.org/d>", "<>", "<#a>", "<http#x://y.org/z>", "_:b/c/d/e", "_:x://y.org/z", '"see http://x.org/y/z"@en', '"x', '"a"@de-CH', '"@en', "http://x.org/y", "<ftp://F.net/a>", "<http://x.com/a://b>"]
+
+
+def test_authorities_tell_hosts_and_domains(spark):
+    rows = spark.createDataFrame([(x,) for x in AWKWARD], "x string")
+    x, pattern = F.col("x"), r"^<?[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@>]*@)?([^/:?#>]+)"
+    for a, term in ((t.authority(x), x), (t.document_authority(x), F.when(t.is_iri(x), F.regexp_replace(x, r"#[^>]*>$", ">")).otherwise(x))):
+        for r in rows.select("x", *(f(y) for f in (t.host, t.pay_level_domain, t.top_level_domain, t.kind) for y in (a, term)), F.lower(F.regexp_extract(term, pattern, 1))).collect():
+            assert r[1] == r[2] == r[9] and r[3] == r[4] and r[5] == r[6] and r[7] == r[8], r
+
+
+def test_domains_and_tags_of_awkward_terms(spark):
+    """Counted by authorities, as they would be term by term; a term's path is never a key of its own."""
+    from quadrille.operators import stats
+
+    rows = [(a, p, b, c) for k, a in enumerate(AWKWARD) for b, c in ((AWKWARD[k - 3], AWKWARD[k - 5]), (AWKWARD[k - 7], "<http://d.org/x>")) for p in ("<http://p.org/p>", t.RDF_TYPE)]
+    quads = spark.createDataFrame(rows, QUADS)
+    raw = rank.extract_links(quads)
+    want = {tuple(r) for r in raw.select(t.pay_level_domain(F.col("src")), t.pay_level_domain(F.col("dst"))).collect() if r[0] != r[1]}
+    links = rank.domain_links(quads)
+    assert {tuple(r) for r in links.collect()} == want
+    o, lit = F.col("o"), t.is_literal(F.col("o"))
+    got = {(r.measure, r.a, r.b): r.n for r in stats.language_stats(quads).collect()}
+    for measure, a, b in (("lang", F.when(lit, t.language(o)), F.lit("")), ("lang_tld", F.when(lit, t.language(o)), t.top_level_domain(F.col("c"))), ("tld_o", t.top_level_domain(o), F.lit("")), ("tld_type", F.when(F.col("p") == t.RDF_TYPE, t.top_level_domain(o)), F.lit(""))):
+        one = {(measure, r.a, r.b): r.n for r in quads.select(a.alias("a"), b.alias("b")).where("a IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+        assert one == {k: n for k, n in got.items() if k[0] == measure}
+    names = {r.pld: tuple(r)[1:] for r in stats.naming_stats(quads).collect()}
+    assert names["ALL_PLDS"] == (len(rows), len({r[0] for r in rows}), len({r[0] for r in rows if r[0].startswith("_:")}), len({r[3] for r in rows}), 2)
+    d_org = [r for r in rows if r[3] == "<http://d.org/x>"]
+    assert names["d.org"] == (len(d_org), len({r[0] for r in d_org}), len({r[0] for r in d_org if r[0].startswith("_:")}), 1, 2)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[plan.rindex("Aggregate") :]  # no domain is taken before quads are reduced
