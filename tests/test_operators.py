@@ -238,3 +238,28 @@ def test_domains_and_tags_of_awkward_terms(spark):
     assert names["d.org"] == (len(d_org), len({r[0] for r in d_org}), len({r[0] for r in d_org if r[0].startswith("_:")}), 1, 2)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan[plan.rindex("Aggregate") :]  # no domain is taken before quads are reduced
+
+
+def test_only_quads_that_a_class_touches_are_joined(spark):
+    from quadrille.operators import joins
+
+    rows = [(f"<n{k % 40}>", ("<p>", t.RDF_TYPE, t.SAME_AS)[k % 3], f"<n{k * 7 % 50}>" if k % 5 else '"x"', f"<d{k % 4}>") for k in range(300)] + [(f"<far{k}>", "<p>", f"<off{k}>", "<d>") for k in range(200)] + [("<n1>", "<p>", None, "<d>")]
+    quads = spark.createDataFrame(rows, QUADS)
+    pivots = spark.createDataFrame([(f"<n{k}>", f"<n{k - k % 4}>") for k in range(20)], "node string, pivot string")
+    asked, rest = joins.among(quads, pivots)
+    far = {r.s for r in rest.collect()}
+    assert asked.count() + rest.count() == len(rows) and sum(x.startswith("<far") for x in far) > 190 and not far & {f"<n{k}>" for k in range(20)}
+    for mode in ("rewrite", "filter", "buffer"):
+        want = joins.rewrite(joins.rewrite(quads, pivots, "s", mode, "s_orig"), pivots, "o", mode, "o_orig")
+        got = entities.consolidate(quads, pivots, aliases=True, mode=mode)
+        assert sorted(map(tuple, want.collect()), key=repr) == sorted(map(tuple, got.select(want.columns).collect()), key=repr)
+
+
+def test_violations_need_only_statements_that_rules_read(spark):
+    from quadrille.plans import entity_queries as q
+
+    data = "/root/testdata/sf0.001"
+    few, every = q._contradictable(spark, data), q._consolidated(spark, data)
+    assert 0 < few.count() * 3 < every.count()
+    found = [sorted(map(tuple, q._flat(q._violations(spark, data, x)).collect())) for x in (few, every)]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 12
