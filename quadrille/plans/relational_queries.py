@@ -257,8 +257,7 @@ def srt_merge(spark, d):
 
 @BOOK.add("srt_check", "SELECT CAST(0 AS BIGINT) AS unsorted")
 def srt_check(spark, d):
-    rows = _block(spark, d).withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id())
-    return sets.sortedness(rows, Q, "part").agg(F.count("*").alias("unsorted"))
+    return sets.unsorted_rows(_block(spark, d), Q).agg(F.coalesce(F.sum("unsorted"), F.lit(0)).cast("long").alias("unsorted"))
 
 
 @BOOK.add("lim_pld", f"SELECT url, n FROM (SELECT *, row_number() OVER (PARTITION BY {pld('url')} ORDER BY n DESC, url) AS k FROM (SELECT o AS url, count(*) AS n FROM q_line GROUP BY o)) WHERE k <= 10")

@@ -263,3 +263,15 @@ def test_violations_need_only_statements_that_rules_read(spark):
     assert 0 < few.count() * 3 < every.count()
     found = [sorted(map(tuple, q._flat(q._violations(spark, data, x)).collect())) for x in (few, every)]
     assert found[0] == found[1] and len({r[0] for r in found[0]}) == 12
+
+
+def test_rows_out_of_order_are_counted_where_they_are(spark):
+    rows = [("a", "b"), ("a", "a"), (None, "z"), ("a", None), ("b", "a"), ("b", "a"), ("a", "c")]
+    one = spark.createDataFrame(rows * 40, "x string, y string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = sets.unsorted_rows(one, ("x", "y"))
+        assert found.first()[0] == 4 * 40 - 1 and sets.unsorted_rows(one.sortWithinPartitions("x", "y"), ("x", "y")).first()[0] == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString()
