@@ -18,9 +18,15 @@ _GRAPH = f"""{_LINKS}, inner_links AS (SELECT DISTINCT l.src, coalesce(r.dst, l.
 graph AS (SELECT src, dst FROM inner_links WHERE dst IN (SELECT c FROM quads))"""
 
 
-def _graph(spark, d):
-    q, r = views(spark, d, "quads", "redirects")
-    return joins.within(joins.redirect(rank.extract_links(q), r), q.select("c"))
+def _documents(spark, d):
+    """(c): the documents of all quads, which are worked through for them once."""
+    return written(views(spark, d, "contexts")[0], "documents")
+
+
+def _graph(spark, d, documents=None):
+    documents = documents or _documents(spark, d)
+    q, r = views(spark, d, "quads", "redirects", given={"contexts": documents})
+    return rank.document_links(q, documents, r)
 
 
 def _page_rank_sql(graph: str, nodes: str) -> str:
@@ -53,8 +59,8 @@ def join_redirect(spark, d):
 
 @BOOK.add("join_semi_ctx", f"{_LINKS} SELECT src, dst FROM links WHERE dst IN (SELECT c FROM quads)")
 def join_semi_ctx(spark, d):
-    q = views(spark, d, "quads")[0]
-    return joins.within(rank.extract_links(q), q.select("c"))
+    q, documents = views(spark, d, "quads")[0], _documents(spark, d)
+    return joins.within(rank.extract_links(q, ends=documents.withColumnRenamed("c", "node")), documents)
 
 
 @BOOK.add("join_anti_redirect", ", k AS (SELECT DISTINCT c FROM q_ref WHERE c LIKE '%src2%') SELECT src, min(dst) AS dst FROM redirects WHERE src <> dst AND src NOT IN (SELECT c FROM k) GROUP BY src")
@@ -71,8 +77,8 @@ def g_rewrite(spark, d):
 
 @BOOK.add("g_pagerank", _GRAPH + _page_rank_sql("graph", "SELECT DISTINCT c AS node FROM quads"))
 def g_pagerank(spark, d):
-    nodes = views(spark, d, "quads")[0].select(F.col("c").alias("node"))
-    return rank.page_rank(_graph(spark, d), nodes).select("node", F.round("rank", 9).alias("rank"))
+    documents = _documents(spark, d)
+    return rank.page_rank(_graph(spark, d, documents), documents.withColumnRenamed("c", "node")).select("node", F.round("rank", 9).alias("rank"))
 
 
 _DOMAINS = f"{_LINKS}, dl AS (SELECT DISTINCT {pld('src')} AS src, {pld('dst')} AS dst FROM links)"

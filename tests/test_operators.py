@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import conflicts, entities, rank, search, sets
+from quadrille.operators import conflicts, entities, joins, rank, search, sets
 from quadrille.operators.graph import components
+from quadrille.session import bucketed
 from quadrille.sources import quads as src
 
 RANKED = "s string, p string, o string, c string, rank double"
@@ -275,3 +276,22 @@ def test_rows_out_of_order_are_counted_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_links_to_documents_pass_over_quads_that_name_none(spark):
+    rows = [
+        ("<http://x/1>", "<http://p>", "<http://d/1#f>", "<http://d/2>"), ("<http://d/2>", t.RDF_TYPE, "<http://d/1>", "<http://d/1#g>"), ("<http://d/9#h>", "<http://p>", '"text"', "<http://d/2>"),
+        (None, "<http://p>", "<http://d/1>", "<http://d/4>"), ("<http://x/1>", None, "<http://d/2>", "<http://d/4>"), ("<http://d/1>", "<http://p>", None, None), *((f"<http://x/{i}>", "<http://p>", f"<http://y/{i}>", "<http://d/1>") for i in range(2000)),
+    ]
+    quads = spark.createDataFrame(rows, QUADS)
+    documents, redirects = quads.select("c").distinct(), spark.createDataFrame([("<http://d/9>", "<http://d/1>"), ("<http://d/8>", "<http://d/2>")], "src string, dst string")
+    few, every = rank.extract_links(quads, ends=documents.select(F.col("c").alias("node")).union(redirects.select("src"))), rank.extract_links(quads)
+    assert few.count() * 3 < every.count() and few.exceptAll(every).isEmpty()
+    found = [sorted(map(tuple, x.collect())) for x in (rank.document_links(quads, documents, redirects), joins.within(joins.redirect(every, redirects), documents))]
+    assert found[0] == found[1] == [("<http://d/1>", "<http://d/2>"), ("<http://d/2>", "<http://d/1>"), ("<http://d/4>", "<http://d/1>")]
+
+
+def test_few_links_make_few_buckets(spark):
+    table, name = bucketed(spark.range(1000).select(F.col("id").alias("src")), "buckets", "src", 1)
+    assert table.rdd.getNumPartitions() == 1 and table.count() == 1000
+    spark.sql(f"DROP TABLE {name}")
