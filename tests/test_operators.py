@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import conflicts, entities, joins, rank, search, sets
+from quadrille.operators import conflicts, entities, joins, rank, search, sets, stats
 from quadrille.operators.graph import components
 from quadrille.session import bucketed
 from quadrille.sources import quads as src
@@ -295,3 +295,26 @@ def test_few_links_make_few_buckets(spark):
     table, name = bucketed(spark.range(1000).select(F.col("id").alias("src")), "buckets", "src", 1)
     assert table.rdd.getNumPartitions() == 1 and table.count() == 1000
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_terms_are_profiled_alike_whether_triples_come_again_or_not(spark):
+    s, o = [f"<http://a{i}.x.co.uk/1>" for i in range(3)], [f"<http://b.y.org/{i}>" for i in range(3)]
+    rows = [(s[i % 3], f"<p{i % 2}>", o[i % 2], f"<http://d{i % 4}.x.co.uk/{i % 5}>") for i in range(60)] + [(s[0], t.RDF_TYPE, o[2], o[0]), (s[1], "<q>", '"l"', s[1]), (s[1], "<q>", '"m"', s[1]), (o[1], "<q>", s[2], None), ("_:b", "<q>", "_:b", "<urn:d>")]
+    rows += [(f"<http://one/{i}>", "<q>", f"<http://two/{i}>", "<http://z.example.org/d>") for i in range(50)]
+    want = {}
+    for term in {r[k] for r in rows for k in (0, 2)}:
+        as_s, as_o = [r for r in rows if r[0] == term], [r for r in rows if r[2] == term and r[1] != t.RDF_TYPE and term[0] != '"']
+        if as_s or as_o:
+            docs = {r[3] for r in as_s + as_o if r[3]}
+
+            def pld(x):
+                host = x.split("/")[2] if "//" in x else ""
+                return ".".join(host.rstrip(">").split(".")[-3 if ".co.uk" in host else -2 :]) if host else "no_pld"
+
+            plds = {pld(x) for x in docs}
+            want[term] = (len({r[:3] for r in as_s}), len({r[:3] for r in as_o}), len(docs), len(plds), len(plds - {pld(term)}))
+    quads = spark.createDataFrame(rows, QUADS)
+    columns = ("as_subject", "as_object", "documents", "plds", "external_plds")
+    for data in (quads, quads.repartition(7)):
+        assert {r.term: tuple(r[c] for c in columns) for r in stats.term_stats(data).collect()} == want
+    assert stats.term_stats(quads.limit(0)).count() == 0
