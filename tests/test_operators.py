@@ -318,3 +318,21 @@ def test_terms_are_profiled_alike_whether_triples_come_again_or_not(spark):
     for data in (quads, quads.repartition(7)):
         assert {r.term: tuple(r[c] for c in columns) for r in stats.term_stats(data).collect()} == want
     assert stats.term_stats(quads.limit(0)).count() == 0
+
+
+def test_values_of_subjects_move_once_with_their_fields(spark):
+    name, comment, date = "<urn:name>", search.COMMENTS[0], '"2001-01-01"^^<http://www.w3.org/2001/XMLSchema#date>'
+    rows = [
+        ("<http://h/x>", name, '"b"', "<http://h/x#f>"), ("<http://h/x>", name, '"b"', "<urn:d>"), ("<http://h/x>", name, '"a"', "<urn:d>"), ("<http://h/x>", name, date, "<urn:d>"), ("<http://h/x>", comment, '"c"', "<urn:d>"), ("<http://h/x>", "<urn:p>", '"t"', "<urn:d>"),
+        ("<http://h/x>", "<urn:p>", date, "<urn:d>"), ("<http://h/x>", t.RDF_TYPE, "<urn:C>", "<http://h/x>"), ("<http://h/x>", t.RDF_TYPE, '"lit"', "<urn:d>"), ("<http://h/x>", t.SAME_AS, "<urn:y>", "<urn:d>"), ("<http://h/x>", "<urn:p>", "<http://h/i.JPEG>", "<urn:d>"), ("<http://h/x>", "<urn:p>", "<http://h/i.png.txt>", "<urn:d>"),
+        ("<http://h/x>", search.LAT, '"2"', "<urn:d>"), ("<http://h/x>", search.LAT, '"1"', "<urn:d>"), ("<http://h/x>", "<urn:p>", None, "<urn:d>"), ("<urn:same>", t.SAME_AS, "<urn:y>", "<urn:d>"), ("<urn:bare>", "<urn:p>", "<urn:z>", None), ("<urn:long>", name, '"' + "x" * search.MAX_LITERAL + '"', "<urn:d>"),
+    ]
+    ranks = spark.createDataFrame([("<http://h/x>", 0.5)], "node string, rank double")
+    found = search.subject_documents(spark.createDataFrame(rows, QUADS), (name,), ranks)
+    got = {r.s: r.asDict() for r in found.collect()}
+    assert sorted(got) == ["<http://h/x>", "<urn:bare>", "<urn:long>"] and sorted(r.s for r in search.described(spark.createDataFrame(rows, QUADS)).collect()) == sorted(got)
+    want = {"labels": [date, '"a"', '"b"'], "comments": ['"c"'], "dates": [date], "types": ['"lit"', "<urn:C>"], "auth_labels": ['"b"'], "auth_comments": [], "auth_dates": [], "auth_types": ["<urn:C>"], "texts": ['"lit"', '"t"'], "same_as": ["<urn:y>"], "images": ["<http://h/i.JPEG>"], "lat": '"1"', "long": None, "host": "h", "keywords": ["x"], "rank": 0.5}
+    assert {k: sorted(v) if isinstance(v, list) else v for k, v in got["<http://h/x>"].items() if k != "s"} == {k: sorted(v) if isinstance(v, list) else v for k, v in want.items()}
+    assert all(list(v) == sorted(v) for r in got.values() for v in r.values() if isinstance(v, list))
+    assert not any(v for r in ("<urn:bare>", "<urn:long>") for k, v in got[r].items() if k not in ("s", "host", "keywords", "rank"))
+    assert "collect_set" not in found._jdf.queryExecution().sparkPlan().toString()
