@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as t
-from quadrille.operators import conflicts, entities, joins, rank, search, sets, stats
+from quadrille.operators import conflicts, entities, joins, rank, reason, search, sets, stats
 from quadrille.operators.graph import components
 from quadrille.session import bucketed
 from quadrille.sources import quads as src
@@ -336,3 +336,12 @@ def test_values_of_subjects_move_once_with_their_fields(spark):
     assert all(list(v) == sorted(v) for r in got.values() for v in r.values() if isinstance(v, list))
     assert not any(v for r in ("<urn:bare>", "<urn:long>") for k, v in got[r].items() if k not in ("s", "host", "keywords", "rank"))
     assert "collect_set" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_triples_that_no_template_leads_to_are_not_regrouped(spark):
+    rows = [("a", "p", "b", 0.5), ("a", "q", "b", 0.2), ("b", "q", "a", 0.9), ("a", "r", "b", 0.4), (None, "r", "b", 0.1), ("a", None, "b", 0.3), ("a", t.RDF_TYPE, "C", 0.1), ("b", t.RDF_TYPE, "D", 0.7), ("a", "p", '"l"', 0.6), ("a", "is", "E", 0.8)]
+    closed = spark.createDataFrame([("p", "p", "p", "q", 0), ("p", "p", "t", "C", 1), ("t", "C", "t", "D", 0), ("p", "is", "p", t.RDF_TYPE, 0)], "k1 string, n1 string, k2 string, n2 string, turn int")
+    ranked = spark.createDataFrame(rows, "s string, p string, o string, rank double")
+    few, every = reason.infer_ranked(ranked, closed, unique=True), reason.infer_ranked(ranked, closed)
+    found = [sorted(map(tuple, x.collect()), key=repr) for x in (few, every)]
+    assert found[0] == found[1] and {("a", "q", "b", 0.5), ("b", t.RDF_TYPE, "C", 0.5), ("a", t.RDF_TYPE, "D", 0.1), ("a", t.RDF_TYPE, "E", 0.8), ("a", None, "b", 0.3)} <= set(found[0])
