@@ -6,7 +6,8 @@ skipped as stale. Decoding concatenates the vocabulary's byte strings.
 
 A batch of documents is cut into pretokens by the GPT-2 rule in NumPy, each distinct pretoken of the
 batch is encoded once (a cache of at most 2 * CACHE_WORDS short ones keeps them between batches, some 40 MB), and the ids are put back in
-order. Equal 64-bit hashes are compared character by character before they share an encoding.
+order. Equal 64-bit hashes are compared character by character before they share an encoding. Callers that only store or count ids
+leave the merges to a compiled library, which gets all distinct pretokens of a block in one call.
 
 Nulls: a null text has null ids and null counts. An empty text has an empty list. Repeated rows,
 ties and extra columns pass through; an extra column that bears the name of an output column raises
@@ -19,7 +20,7 @@ import base64
 import functools
 import heapq
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +92,15 @@ class Vocabulary:
                 push(heap, r << 40 | h)
         return tuple(s for s in sym if s >= 0)
 
-    def ids_of(self, pretokens: list[str], merge: Callable | None = None) -> list[bytes]:
+    def ids_of(self, pretokens: list[str]) -> list[bytes]:
         """Ids of each pretoken as the bytes of an int32 array."""
-        merge, old = merge or self.merge_word, self.old
+        old = self.old
         out = list(map(self.young.get, pretokens))
         for i in [i for i, got in enumerate(out) if got is None]:
             p = pretokens[i]
             got = old.get(p)
             if got is None:
-                got = array("i", merge(p.encode("utf-8", "surrogatepass"))).tobytes()
+                got = array("i", self.merge_word(p.encode("utf-8", "surrogatepass"))).tobytes()
             if len(p) <= CACHED_LENGTH:
                 if len(self.young) >= CACHE_WORDS:
                     self.old, self.young = self.young, {}
@@ -109,12 +110,36 @@ class Vocabulary:
         return out
 
     @functools.cached_property
-    def piece(self):
-        """A compiled encoder of one pretoken over the same ranks, for callers that only store or count ids."""
+    def library(self):
+        """A compiled encoder over the same ranks, to which U+0000 parts pretokens."""
         import tiktoken
 
-        ranks = {word: rank for rank, word in self.token.items()}
-        return tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        return tiktoken.Encoding("ranks", pat_str=r"[^\x00]+", mergeable_ranks=self.whole, special_tokens={"\0": self.size})
+
+    def by_merges(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of spans of cps, each a pretoken, in one array; where those of each span start in it, and how many they are."""
+        text = cps.tobytes().decode("utf-32-le", "surrogatepass")
+        lists = self.ids_of([text[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+        n = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        return np.frombuffer(b"".join(lists), np.int32), np.cumsum(n) - n, n
+
+    def by_library(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same by the library, in one call for all; U+0000 and surrogates, which it doesn't take, are left to `by_merges`."""
+        odd = np.flatnonzero((cps == 0) | (cps >> 11 == 0xD800 >> 11))
+        held = np.searchsorted(odd, begin) != np.searchsorted(odd, end)
+        if held.any():
+            ids, at, n = self.by_merges(cps, begin[held], end[held])
+            more, start, size = (self.by_library(cps, begin[~held], end[~held]) if not held.all() else (ids[:0], at[:0], n[:0]))
+            every, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+            every[held], every[~held], count[held], count[~held] = at, start + len(ids), n, size
+            return np.concatenate([ids, more]), every, count
+        stop = np.cumsum(end - begin + 1)
+        chars = cps[np.arange(stop[-1]) + np.repeat(end + 1 - stop, end - begin + 1)]
+        chars[stop - 1] = 0
+        ids = self.library.encode_to_numpy(chars[:-1].tobytes().decode("utf-32-le"), allowed_special={"\0"}).view(np.int32)
+        stop = np.append(np.flatnonzero(ids == self.size), len(ids))
+        at = np.concatenate([[0], stop[:-1] + 1])
+        return ids, at, stop - at
 
     def decode(self, ids) -> bytes:
         """The concatenated byte strings of the ids."""
@@ -171,8 +196,8 @@ def pretoken_starts(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def _pretokens(texts: list[str], vocab: Vocabulary, merge: Callable | None):
-    """Ids of the block's distinct pretokens (each as bytes), which of them each pretoken is, and the text that holds it."""
+def _pretokens(texts: list[str], vocab: Vocabulary, compiled: bool):
+    """Ids of the block's distinct pretokens in one array, where those of each start in it and how many they are; which of them each pretoken is, and the text that holds it."""
     cps, starts = vec.code_points(texts)
     begin = pretoken_starts(cps, starts)
     end = np.append(begin[1:], len(cps))
@@ -182,48 +207,40 @@ def _pretokens(texts: list[str], vocab: Vocabulary, merge: Callable | None):
     real = ~is_end[begin]
     begin, end = begin[real], end[real]
     if not len(begin):
-        return [], begin, begin
-    key = vec.Prefix(cps).span(begin, end)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        return np.zeros(0, np.int32), begin, begin, begin, begin
+    # numbered in the order in which they are met first
+    inverse = pa.array(vec.Prefix(cps).span(begin, end)).dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
     size = end - begin
-    same = size == size[first][inverse]
-    if same.all():
-        shift = np.repeat(begin[first][inverse] - begin, size)
+    same = (size == size[first][inverse]).all()
+    if same:
         # all characters of the block that belong to pretokens, against the first pretoken of the same hash
-        where = np.arange(len(cps))[~is_end]
-        same_chars = bool((cps[where] == cps[where + shift]).all())
-    else:
-        same_chars = False
-    joined = "\0".join(texts) + "\0"
-    if same_chars:
-        distinct = [joined[b:e] for b, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-    else:  # two pretokens share a hash: every pretoken stands for itself
-        inverse = np.arange(len(begin))
-        distinct = [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-    return vocab.ids_of(distinct, merge), inverse, vec.owner(starts, begin)
-
-
-def encode_block(texts: list[str], vocab: Vocabulary, merge: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+        where = np.arange(len(cps))
+        where[begin[0] :] += np.repeat(begin[first][inverse] - begin, np.diff(begin, append=len(cps)))
+        same = ((cps == cps[where]) | is_end).all()
+    if not same:  # two pretokens share a hash: every pretoken stands for itself
+        inverse = first = np.arange(len(begin))
+    found = (vocab.by_library if compiled else vocab.by_merges)(cps, begin[first], end[first])
+    return *found, inverse, vec.owner(starts, begin)
+
+
+def encode_block(texts: list[str], vocab: Vocabulary, compiled: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids before each text and at the end."""
-    lists, inverse, own = _pretokens(texts, vocab, merge)
+    flat, at, size, inverse, own = _pretokens(texts, vocab, compiled)
     counts = np.zeros(len(texts) + 1, np.int64)
-    if not lists:
+    if not len(inverse):
         return np.zeros(0, np.int32), counts
-    lens = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-    flat = np.frombuffer(b"".join(lists), np.int32)
-    offset = np.cumsum(lens) - lens
-    n = lens[inverse]
+    n = size[inverse]
     total = np.cumsum(n)
-    ids = flat[np.repeat(offset[inverse] - (total - n), n) + np.arange(total[-1])]
+    ids = flat[np.repeat(at[inverse] - (total - n), n) + np.arange(total[-1])]
     counts[1:] = np.cumsum(np.bincount(own, weights=n, minlength=len(texts)).astype(np.int64))
     return ids, counts
 
 
-def count_block(texts: list[str], vocab: Vocabulary, merge: Callable | None = None) -> np.ndarray:
+def count_block(texts: list[str], vocab: Vocabulary, compiled: bool = False) -> np.ndarray:
     """The number of ids of each text."""
-    lists, inverse, own = _pretokens(texts, vocab, merge)
-    lens = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-    return np.bincount(own, weights=lens[inverse], minlength=len(texts)).astype(np.int64)
+    _, _, size, inverse, own = _pretokens(texts, vocab, compiled)
+    return np.bincount(own, weights=size[inverse], minlength=len(texts)).astype(np.int64)
 
 
 @functools.lru_cache(2)
@@ -231,11 +248,11 @@ def _parsed(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
 
 
-def encode_texts(texts: list[str | None], vocab: Vocabulary, merge: Callable | None = None, check: bool = True) -> tuple[pa.Array, np.ndarray]:
+def encode_texts(texts: list[str | None], vocab: Vocabulary, compiled: bool = False, check: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Ids as an Arrow list column, null for null; and, if asked, whether decoding gave back each text's bytes."""
     ids, offsets, exact = [], [0], []
     for _, run in vec.blocks(texts):
-        flat, ends = encode_block(run, vocab, merge)
+        flat, ends = encode_block(run, vocab, compiled)
         if check:
             raw, at = vocab.decode_flat(flat)
             raw = raw.tobytes()
@@ -254,28 +271,28 @@ def load(spark, path: str = VOCABULARY):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY, compiled: bool = False, round_trip: bool = True) -> DataFrame:
+def encode(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY, compiled: bool = False, round_trip: bool = True, keep: bool = True) -> DataFrame:
     """docs with token_ids array<int>, n_tokens int, and, if asked, round_trip: decoding gives the text back.
 
-    `compiled` leaves the merges of a pretoken to a compiled library; ids are the same.
+    `compiled` leaves the merges to a compiled library; ids are the same. Without `keep`, the text doesn't come back from the workers.
     """
     made = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())][: 3 if round_trip else 2]
     if clash := {f.name for f in made} & set(docs.columns):
         raise ValueError(f"docs already has {sorted(clash)}")
     raw = load(docs.sparkSession, vocabulary)
-    schema = T.StructType([*docs.schema.fields, *made])
+    kept = [f for f in docs.schema.fields if keep or f.name != column]
+    schema = T.StructType([*kept, *made])
 
     @vec.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _parsed(raw.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(column).to_pylist()
-                ids, exact = encode_texts(texts, vocab, vocab.piece if compiled else None, round_trip)
-                null = np.array([t is None for t in texts], bool)
+            for at, texts in vec.blocks(whole.column(column)):
+                batch = whole.slice(at, len(texts))
+                null = batch.column(column).is_null().to_numpy(zero_copy_only=False)
+                ids, exact = encode_texts([None if gone else t for gone, t in zip(null, texts, strict=True)], vocab, compiled, round_trip)
                 n = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int32), mask=null)
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, n, *([pa.array(exact, mask=null)] if round_trip else [])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), ids, n, *([pa.array(exact, mask=null)] if round_trip else [])], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -292,7 +309,7 @@ def count(docs: DataFrame, column: str = "text", vocabulary: str = VOCABULARY) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _parsed(raw.value)
         for batch in batches:
-            n = [count_block(texts, vocab, vocab.piece) for _, texts in vec.blocks(batch.column(column))]
+            n = [count_block(texts, vocab, True) for _, texts in vec.blocks(batch.column(column))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -46,9 +46,9 @@ def write(docs: DataFrame, path: str, metadata=METADATA, vocabulary: str = bpe.V
     """Encodes docs' texts and writes (metadata, n_tokens, token_ids) to path."""
     if clash := {"token_ids", "n_tokens"} & set(metadata):
         raise ValueError(f"metadata may not be named {sorted(clash)}")
-    placed = docs.select(*metadata, "text").repartitionByRange("doc_id", F.xxhash64("text"))
-    coded = bpe.encode(placed, vocabulary=vocabulary, compiled=True, round_trip=False).select(*metadata, "n_tokens", "token_ids")
-    coded.sortWithinPartitions("doc_id").write.options(**options(row_group, page)).parquet(path)
+    placed = docs.select(*metadata, "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    coded = bpe.encode(placed, vocabulary=vocabulary, compiled=True, round_trip=False, keep=False)
+    coded.select(*metadata, "n_tokens", "token_ids").write.options(**options(row_group, page)).parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -359,6 +359,44 @@ def test_counts_are_those_of_the_encoding(spark, awkward, reference):
     assert got == {(i, x): len(reference.encode_ordinary(x or "")) for i, x in awkward}
 
 
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from("ab'st \0\ud800\udc00\n!é漢😀1"), max_size=30), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_library_gives_the_ids_of_the_own_merges(vocabulary, texts):
+    own, ok = bpe.encode_texts(texts, vocabulary)
+    assert bpe.encode_texts(texts, vocabulary, compiled=True, check=False)[0].to_pylist() == own.to_pylist() and ok.all()
+    assert bpe.count_block([t or "" for t in texts] or [""], vocabulary, compiled=True).tolist() == ([len(x or []) for x in own.to_pylist()] or [0])
+
+
+def test_pretokens_of_one_hash_are_told_apart(vocabulary, monkeypatch):
+    texts = [None, "", "to be or not to be", "be\0to \0", "not"]
+    want = bpe.encode_texts(texts, vocabulary)[0].to_pylist()
+    monkeypatch.setattr(vec.Prefix, "span", lambda self, start, end: (end - start).astype(np.uint64) // np.uint64(3))
+    assert all(bpe.encode_texts(texts, vocabulary, compiled=c)[0].to_pylist() == want for c in (False, True))
+
+
+def test_a_block_of_pretokens_is_one_call_of_the_library(vocabulary, monkeypatch):
+    calls = []
+
+    class Counting:
+        def encode_to_numpy(self, text, real=vocabulary.library, **options):
+            calls.append(len(text))
+            return real.encode_to_numpy(text, **options)
+
+    monkeypatch.setattr(vocabulary, "library", Counting())
+    rng = random.Random(8)
+    texts = [words(rng, 400) for _ in range(50)]
+    ids = bpe.encode_texts(texts, vocabulary, compiled=True, check=False)[0]
+    assert len(calls) == 1 and calls[0] < sum(map(len, texts)) and ids.to_pylist() == bpe.encode_texts(texts, vocabulary)[0].to_pylist()
+
+
+def test_texts_do_not_come_back_from_the_workers_of_token_files(spark, awkward, monkeypatch):
+    made = []
+    monkeypatch.setattr(tokens_out.bpe, "encode", lambda *a, real=bpe.encode, **k: made.append(real(*a, **k)) or made[-1])
+    path = fresh_path(spark, "no-texts")
+    tokens_out.write(docs(spark, awkward), path)
+    assert made[0].columns == ["doc_id", "lang", "source", "token_ids", "n_tokens"] and spark.read.parquet(path).count() == len(awkward)
+
+
 def test_token_files_hold_the_ids_of_the_encoder(spark, awkward):
     rng = random.Random(4)
     rows = [*awkward, *((rng.randrange(50), words(rng, 30)) for _ in range(300)), *((7, words(rng, 9)) for _ in range(100))]
