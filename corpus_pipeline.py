@@ -40,7 +40,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with its doc_id, language and source. A null text has null ids, an empty one an empty list; each repeated row has its own."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), keep=False)
 
 
 STAGES = [

@@ -35,7 +35,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
